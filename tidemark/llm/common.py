@@ -55,7 +55,7 @@ def partitions(df: DataFrame, mb: float = 8.0) -> int:
     without a known size get four times the shuffle partitions.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 60:
         return 4 * least
     return max(least, int(size / (mb * 1e6)) + 1)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import read_table
 from tidemark.llm.language import language_id
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.substrings import removal_report
 from tidemark.llm.tokens import token_counts
 
 
@@ -16,6 +17,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -25,7 +30,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_tokens, op7_language)}
+    return {f.__name__: f for f in (op1_quality, op2_substrings, op5_tokens, op7_language)}
 
 
 def oracle_sql() -> dict[str, str]:
