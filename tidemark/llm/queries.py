@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import read_table
 from tidemark.llm.language import language_id
 from tidemark.llm.lattice import document_likelihood
+from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.substrings import removal_report
 from tidemark.llm.tokens import token_counts
@@ -34,8 +35,12 @@ def op9_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_likelihood(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_substrings, op5_tokens, op7_language, op9_likelihood)}
+    return {f.__name__: f for f in (op1_quality, op2_substrings, op5_tokens, op7_language, op9_likelihood, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
