@@ -13,6 +13,7 @@ from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.substrings import removal_report
 from tidemark.llm.tokens import token_counts
+from tidemark.llm.vectors import vector_duplicates
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_substrings, op5_tokens, op7_language, op9_likelihood, op10_minhash)}
+    return {f.__name__: f for f in (op1_quality, op2_substrings, op4_vectors, op5_tokens, op7_language, op9_likelihood, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
