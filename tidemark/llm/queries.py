@@ -11,6 +11,7 @@ from tidemark.llm.language import language_id
 from tidemark.llm.lattice import document_likelihood
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.quality import quality_scores
+from tidemark.llm import secrets
 from tidemark.llm.substrings import removal_report
 from tidemark.llm.tokens import token_counts
 from tidemark.llm.vectors import vector_duplicates
@@ -36,6 +37,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op9_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_likelihood(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,8 +50,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_substrings, op4_vectors, op5_tokens, op7_language, op9_likelihood, op10_minhash)}
+    return {f.__name__: f for f in (op1_quality, op2_substrings, op4_vectors, op5_tokens, op7_language, op8_secrets, op9_likelihood, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_secrets": secrets.oracle_sql()}
