@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import mixing, secrets
 from tidemark.llm.common import read_table
 from tidemark.llm.language import language_id
 from tidemark.llm.lattice import document_likelihood
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.quality import quality_scores
-from tidemark.llm import secrets
 from tidemark.llm.substrings import removal_report
 from tidemark.llm.tokens import token_counts
 from tidemark.llm.vectors import vector_duplicates
@@ -25,6 +25,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -50,8 +54,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_substrings, op4_vectors, op5_tokens, op7_language, op8_secrets, op9_likelihood, op10_minhash)}
+    return {f.__name__: f for f in (op1_quality, op2_substrings, op3_mixing, op4_vectors, op5_tokens, op7_language, op8_secrets, op9_likelihood, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secrets": secrets.oracle_sql()}
+    return {"op3_mixing": mixing.oracle_sql(), "op8_secrets": secrets.oracle_sql()}
