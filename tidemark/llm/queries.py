@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, secrets
 from tidemark.llm.common import read_table
+from tidemark.llm.contamination import contamination
 from tidemark.llm.language import language_id
 from tidemark.llm.lattice import document_likelihood
 from tidemark.llm.minhash import near_duplicates
@@ -37,6 +38,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -54,7 +59,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_substrings, op3_mixing, op4_vectors, op5_tokens, op7_language, op8_secrets, op9_likelihood, op10_minhash)}
+    return {f.__name__: f for f in (op1_quality, op2_substrings, op3_mixing, op4_vectors, op5_tokens, op6_contamination, op7_language, op8_secrets, op9_likelihood, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
