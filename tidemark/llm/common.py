@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -30,21 +29,29 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold(doc_id, modulus) == F.lit(remainder), F.lit(False))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between stages, which all executors share.
 
-    The session's ``spark.checkpoint.dir`` is used; only where none is set (local
-    tests) a temporary folder is made.
+    The session's ``spark.checkpoint.dir``; only where none is set and Spark runs in one
+    process (tests) a temporary folder is made, once a session.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        now = sc._jsc.sc().getCheckpointDir()
+        if now.isDefined():
+            return now.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -61,6 +68,18 @@ def partitions(df: DataFrame, mb: float = 8.0) -> int:
     return max(least, int(size / (mb * 1e6)) + 1)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` has it (whatever the letters' case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dealt(df: DataFrame, n: int, *cols: str) -> Column:
     """A group number below ``n`` by the hash of ``cols``, so that nulls and repeats spread by the rest."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(n)).cast("int")
@@ -175,7 +194,3 @@ def window_hash(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     np.cumsum(x * power[:-1], out=total[1:])
     back = _powers(n, np.uint64(_inverse(int(base))))
     return mix64((total[size:] - total[:n]) * back + np.uint64(size))
-
-
-def env_cores(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))

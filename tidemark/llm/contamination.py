@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, spare
 
 #: Rows up to which a table of anchors, items or windows is broadcast; beyond it Catalyst joins by shuffle.
 SMALL = 200_000
@@ -150,12 +150,20 @@ def _verified(windows: DataFrame, items: DataFrame, percent: int, radius: int) -
     )
 
 
-def by_document(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Every column of ``docs`` plus item_ids (sorted) and similarity (largest); null where nothing was found."""
-    best = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
-    best = small(best).withColumnRenamed("text_key", "key_").withColumnRenamed("doc_id", "id_")
-    joined = docs.withColumn("key2_", F.xxhash64("text")).join(best, (F.col("key2_") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left")
-    return joined.drop("key_", "id_", "key2_")
+def by_document(docs: DataFrame, found: DataFrame, names: tuple[str, str] = ("item_ids", "similarity")) -> DataFrame:
+    """Every column of ``docs`` plus the sorted items found and the best similarity, null where nothing was; two free names."""
+    key, key2, id_ = spare(docs, "found_key", "found_key2", "found_id")
+    best = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias(names[0]), F.max("similarity").alias(names[1]))
+    best = small(best).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), *names)
+    joined = docs.withColumn(key2, F.xxhash64("text")).join(best, (F.col(key2) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    return joined.drop(key, key2, id_)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` without a window that holds a benchmark item. All columns stay."""
+    items, similarity_ = spare(docs, "item_ids", "similarity")
+    found = contaminated(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), **how)
+    return by_document(docs, found, (items, similarity_)).filter(F.col(items).isNull()).drop(items, similarity_)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_fold, rows_of
+from tidemark.llm.common import in_fold, rows_of, spare
 
 #: Characters looked at together; texts of any length pass through in such pieces.
 PIECE = 1 << 18
@@ -149,18 +149,25 @@ def learn_profiles(docs: DataFrame, size: int = 400, keep: int = 4096) -> Profil
     return Profiles({k: np.array([g for _, g in sorted(v)], np.uint64) for k, v in ranks.items()}, size)
 
 
-def with_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """Every column of ``docs`` plus lang_pred and score (both names must be free)."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double"
+def with_language(docs: DataFrame, profiles: Profiles, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Every column of ``docs`` plus the predicted language and its score under two free names."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{names[0]}` string, `{names[1]}` double"
 
     def run(batches):
         for b in rows_of(batches):
-            found = [profiles.predict(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            found = [profiles.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, least: float = 0.1, size: int = 400) -> DataFrame:
+    """The rows of ``docs`` in a language the profiles know: not ``und``, and a score of ``least`` or more. All columns stay."""
+    pred, score = spare(docs, "lang_pred", "score")
+    profiles = learn_profiles(docs.select("doc_id", "text", "lang"), size)
+    return with_language(docs, profiles, (pred, score)).filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
+
+
 def language_id(docs: DataFrame, size: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang).
 

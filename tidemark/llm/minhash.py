@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, checkpointed, mix64, partitions, rows_of, window_hash
+from tidemark.llm.common import Words, checkpointed, mix64, partitions, rows_of, spare, window_hash
 from tidemark.llm.components import connected_components, in_blocks, spanning_forest
 from tidemark.llm.exchange import unpacked
 
@@ -256,3 +256,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def first_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that near-duplicate groups keep: the smallest id of each, once. All columns stay.
+
+    Rows without an id stay; repeated rows of a kept document stay once.
+    """
+    (mark,) = spare(docs, "text_key")
+    dropped = near_duplicates(docs.select("doc_id", "text"), **how).filter("NOT kept").select(F.col("doc_id").alias(f"{mark}_id")).distinct()
+    left = docs.join(dropped, F.col("doc_id") == F.col(f"{mark}_id"), "left_anti")
+    return left.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)

@@ -91,7 +91,7 @@ def placed(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, entropy: float = 0.97, repeats: float = 4.0, budget: int | None = None, seed: int = 17) -> DataFrame:
-    """Every column of ``docs`` (doc_id, text, source among them) plus n_tokens, weight and n_copies.
+    """Every column of ``docs`` (doc_id, text, source among them) plus n_tokens, weight and n_copies, which replace any of those names.
 
     Source shares of tokens (words) are raised to an exponent bisected for ``entropy`` and
     ``repeats`` (see ``solve``) and normalised; weight is the source's. Each source's budget is
@@ -104,7 +104,7 @@ def mixed(docs: DataFrame, entropy: float = 0.97, repeats: float = 4.0, budget:
     most). The cut of a source's last block is found from sums over ``PARTS`` sub-ranges of the
     permutation, and only the one sub-range that holds the cut is ordered.
     """
-    rows = placed(docs, seed)
+    rows = placed(docs.select(F.struct("*").alias("row_"), "doc_id", "text", "source"), seed)  # no name of docs can clash
     part = F.shiftright("place_", 30).cast("int")  # 1024 sub-ranges of 2**40 places
     sums = checkpointed(rows.groupBy("source_", part.alias("part_")).agg(F.sum("n_tokens").alias("n")))
     totals = sums.groupBy("source_").agg(F.sum("n").alias("n")).limit(SOURCES + 1).collect()
@@ -133,7 +133,8 @@ def mixed(docs: DataFrame, entropy: float = 0.97, repeats: float = 4.0, budget:
     ends = edge.withColumn("upto", upto).filter("upto <= left_").groupBy("source_").agg(F.max("place_").alias("end_"))
     rows = rows.join(F.broadcast(ends), "source_", "left")
     again = F.when(F.col("part_") < F.col("cut_"), 1).when((F.col("part_") == F.col("cut_")) & (F.col("place_") <= F.col("end_")), 1).otherwise(0)
-    return rows.withColumn("n_copies", (F.col("blocks_") + again).cast("long")).drop("source_", "place_", "part_", "blocks_", "rest_", "cut_", "left_", "end_")
+    made = {"n_tokens": F.col("n_tokens"), "weight": F.col("weight"), "n_copies": (F.col("blocks_") + again).cast("long")}
+    return rows.select(*[F.col("row_")[c].alias(c) for c in docs.columns if c not in made], *[x.alias(c) for c, x in made.items()])
 
 
 def realised(mix: DataFrame) -> DataFrame:
@@ -148,7 +149,8 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, source, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n_tokens,
+  SELECT doc_id, source, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS n_tokens,
     ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS place
   FROM documents
 ), sizes AS (SELECT src, sum(n_tokens)::BIGINT AS n FROM docs GROUP BY src

@@ -10,6 +10,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import spare
+
 #: Alternatives that an exact set of strings may have before it counts as unknown.
 MOST_STRINGS = 64
 
@@ -180,8 +182,8 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     return F.when(F.size(found) > 0, walked).otherwise(none)
 
 
-def found_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + FURTHER) -> DataFrame:
-    """Every column of ``docs`` plus _spans, sorted by start and then by the order of the rules.
+def found_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + FURTHER, name: str = "_spans") -> DataFrame:
+    """Every column of ``docs`` plus an array of spans under a free name, sorted by start and then by the order of the rules.
 
     Each row keeps its own postings (an index partitioned like the documents): the rules'
     Boolean queries intersect them, and only texts that satisfy a rule's query are verified by
@@ -189,13 +191,14 @@ def found_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + FURTHER) -> Da
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     queries = [trigram_query(r.pattern) for r in rules]
-    rows = docs.withColumn("_postings", postings(text, set().union(*map(trigrams, queries))))
+    (held,) = spare(docs, "_postings")
+    rows = docs.withColumn(held, postings(text, set().union(*map(trigrams, queries))))
     none = F.array().cast(_SPAN)
     parts = []
     for place, (rule, query) in enumerate(zip(rules, queries)):
         spans = spans_of(text, rule, place)
-        parts.append(spans if query is None else F.when(satisfied(query, F.col("_postings")), spans).otherwise(none))
-    return rows.withColumn("_spans", F.array_sort(F.concat(*parts))).drop("_postings")
+        parts.append(spans if query is None else F.when(satisfied(query, F.col(held)), spans).otherwise(none))
+    return rows.withColumn(name, F.array_sort(F.concat(*parts))).drop(held)
 
 
 def _joined(spans: Column) -> Column:
@@ -226,11 +229,12 @@ def secret_scan(docs: DataFrame, further: tuple[Rule, ...] = FURTHER) -> DataFra
 def redacted(docs: DataFrame, further: tuple[Rule, ...] = FURTHER, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mask``; all rows and columns stay.
 
-    Overlapping spans of several rules are masked as one. Null texts stay null.
+    n_chars, if there, follows the text. Overlapping spans of several rules are masked as one. Null texts stay null.
     """
-    rows = found_spans(docs, BASE + tuple(further))
+    (spans,) = spare(docs, "_spans")
+    rows = found_spans(docs, BASE + tuple(further), spans)
     cut = F.aggregate(
-        "_spans",
+        spans,
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -238,7 +242,11 @@ def redacted(docs: DataFrame, further: tuple[Rule, ...] = FURTHER, mask: str = "
         ),
         lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"))),
     )
-    return rows.withColumn("text", F.when(F.size("_spans") > 0, cut).otherwise(F.col("text"))).drop("_spans")
+    some = F.size(spans) > 0
+    rows = rows.withColumn("text", F.when(some, cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(some, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return rows.drop(spans)
 
 
 ORACLE = r"""
