@@ -56,7 +56,7 @@ def frame_score(row: dict[str, Column]) -> Column:
     z = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     score = z(row["priority"]) + F.least(z(row["sharpness"]), F.lit(50.0)) * 0.8 + F.least(z(row["contrast"]), F.lit(80.0)) * 0.2 + F.least(z(row["scene_score"]), F.lit(1.0)) * 20
     score = score + F.when(F.size(row["target_ids"]) > 0, 30.0).otherwise(0.0) - F.when(F.coalesce(row["people"], F.lit(False)), 25.0).otherwise(0.0)
-    score = score + F.coalesce(F.least(row["text_chars"].cast("double"), F.lit(200.0)) / 200.0 * 15, F.lit(0.0))
+    score = score + F.when(row["text_chars"].isNotNull(), F.least(row["text_chars"].cast("double"), F.lit(200.0)) / 200.0 * 15).otherwise(0.0)
     far = F.array_min(F.transform(F.map_values(row["anchors"]), lambda a: F.abs(row["t"] - a)))
     return score + F.when(F.array_contains(row["target_kinds"], "action_result"), row["t"] * 0.0001).otherwise(-F.coalesce(far, F.lit(0.0)))
 
