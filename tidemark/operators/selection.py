@@ -181,7 +181,7 @@ def random_times(windows: DataFrame, keys: list[str], budget: int, seed: int) ->
     kinds = dict(windows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", i int, t double"
 
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(key, pdf):
         pdf = pdf[pdf["end"] > pdf["start"]].sort_values(["start", "end"])
         span = (pdf["end"] - pdf["start"]).to_numpy(float)
         upto = np.cumsum(span)

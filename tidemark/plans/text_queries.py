@@ -207,7 +207,7 @@ def order_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EVENTS}, x AS (SELECT user_id, pos, unnest(list_filter([CASE WHEN floor(value) NOT IN (0, 1) AND pos % 3 = 0 THEN 'number' END, CASE WHEN pos % 4 = 0 THEN 'identifier' END, CASE WHEN pos % 5 = 0 AND pos % 7 != 0 THEN 'negation' END], lambda c: c IS NOT NULL)) AS "check" FROM ev)
+    f"""WITH {EVENTS}, x AS (SELECT user_id, pos, unnest(list_filter([CASE WHEN floor(value) NOT IN (0, 1, 7) AND pos % 3 = 0 THEN 'number' END, CASE WHEN pos % 4 = 0 THEN 'identifier' END, CASE WHEN pos % 5 = 0 AND pos % 7 != 0 THEN 'negation' END], lambda c: c IS NOT NULL)) AS "check" FROM ev)
 SELECT user_id, pos::VARCHAR AS "where", "check" FROM x"""
 )
 def grounding_rules(spark: SparkSession, sf: str) -> DataFrame:
