@@ -121,7 +121,7 @@ def learn_profiles(docs: DataFrame, size: int = 400, keep: int = 4096) -> Profil
             for lang, parts in totals.items():
                 k, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 n = np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
             totals.clear()
 
         for b in rows_of(batches):
