@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, secrets
+from tidemark.llm import mixing, oracles, secrets
 from tidemark.llm.common import read_table
 from tidemark.llm.contamination import contamination
 from tidemark.llm.language import language_id
@@ -63,4 +63,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.oracle_sql(), "op8_secrets": secrets.oracle_sql()}
+    """SQL where it can express the operator's whole result; language, tokens, likelihood and the learned score are tested otherwise."""
+    return {
+        "op2_substrings": oracles.SUBSTRINGS,
+        "op3_mixing": mixing.oracle_sql(),
+        "op4_vectors": oracles.VECTORS,
+        "op6_contamination": oracles.CONTAMINATION,
+        "op8_secrets": secrets.oracle_sql(),
+        "op10_minhash": oracles.NEAR_DUPLICATES,
+    }
