@@ -14,7 +14,7 @@ from tidemark.llm.common import rows_of
 #: The split pattern that byte-level vocabularies of this family were made with.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries a worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
 
 class PairMerger:
