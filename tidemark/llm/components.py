@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import checkpointed
 
 
+#: Tasks that the edges of one node are dealt over.
+PARTS = 8
+
+
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is its smallest node.
 
     Alternating large-star and small-star steps: each round links every node to the smallest
     node it can see, and the number of rounds grows with the logarithm of the longest path.
-    Hubs are split like any skewed join; nothing but two numbers per round reaches the driver.
+    Hubs are dealt over ``PARTS`` tasks; nothing but two numbers per round reaches the driver.
     """
     star = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     star = checkpointed(star)
@@ -24,7 +28,10 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A hub's edges are dealt over several tasks, each with its own copy of the hub's one row.
+        low = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        dealt = both.filter("v > u").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+        large = dealt.join(low, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v")))
         star = checkpointed(small.distinct())
