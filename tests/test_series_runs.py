@@ -54,7 +54,7 @@ def test_two_shades_are_two_runs(spark):
 
 
 def test_a_slow_pan_is_one_run_only_where_drift_is_allowed(spark):
-    pan = [100 + 2 * i for i in range(20)]
+    pan = [100 + i for i in range(20)]
     assert _lengths(R.build_runs(_rows(spark, pan, "C"), ["k"])) == [20]
     assert len(_lengths(R.build_runs(_rows(spark, pan, "B"), ["k"]))) > 1
 
