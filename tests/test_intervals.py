@@ -53,6 +53,26 @@ def test_bucketed_join_equals_the_plain_join(spark):
     rng = random.Random(9)
     p = spark.createDataFrame([(rng.randrange(3), i, rng.uniform(0, 100)) for i in range(200)], "k int, id int, t double")
     s = spark.createDataFrame([(rng.randrange(3), i, a := rng.uniform(0, 100), a + rng.uniform(0, 30)) for i in range(60)], "k int, span int, start double, end double")
-    a = {(r.id, r.span) for r in I.bucketed_join(p, s, ["k"], 7.0, pad=0.5).collect()}
+    a = {(r.id, r.span) for r in I.bucketed_join(p, s, ["k"], 7.0, 0.5).collect()}
     b = {(r.id, r.span) for r in p.join(s, "k").filter(F.col("t").between(F.col("start") - 0.5, F.col("end") + 0.5)).collect()}
     assert a == b
+
+
+def test_buckets_change_nothing(spark):
+    rng = random.Random(11)
+    pts = spark.createDataFrame([(rng.randrange(2), i, rng.uniform(0, 60)) for i in range(80)], "k int, id int, t double")
+    spans = spark.createDataFrame([(rng.randrange(2), i, i, a := rng.uniform(0, 60), a + rng.choice([0.0, 1.0, 9.0, 30.0])) for i in range(40)], "k int, span_id int, pos int, start double, end double")
+    states = spans.filter("pos % 2 = 0").select("k", F.col("span_id").alias("state_id"), "start", "end")
+    other = spans.filter("pos % 2 = 1")
+    cases = [
+        lambda w: I.containing_first(pts, spans, ["k"], "id", 0.5, width=w),
+        lambda w: I.containing_or_nearest(pts, spans, ["k"], "id", 2.0, width=w),
+        lambda w: I.nearest_centre(pts, spans, ["k"], "id", 0.5, width=w),
+        lambda w: I.latest_start(pts, spans, ["k"], "id", 1.0, width=w),
+        lambda w: I.overlap_or_lead(states, other, ["k"], 3.0, width=w),
+        lambda w: I.overlap_mean(states, other.withColumn("value", F.col("pos").cast("double")), ["k"], width=w).withColumn("mean", F.round("mean", 9)),
+    ]
+    for case in cases:
+        want = sorted(map(str, case(None).collect()))
+        for w in (2.5, 40.0):
+            assert sorted(map(str, case(w).collect())) == want

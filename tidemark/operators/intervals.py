@@ -107,30 +107,33 @@ def uniform_times(windows: DataFrame, keys: list[str], budget: int) -> DataFrame
     return laid.select(*keys, "i", (F.col("start") + (F.col("i") + 0.5) * step - F.col("from")).alias("t"))
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str]):
-    out = F.lit(True)
-    for k in keys:
-        out = out & (left[k] == right[k])
-    return out
+def meet(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[Column, Column], right_span: tuple[Column, Column], width: float | None) -> DataFrame:
+    """Pairs of rows of a key that may overlap; the caller filters by its own predicate.
+
+    Without a ``width`` the join is on the keys alone: right for keys of ordinary size. With
+    one, both sides are cut into buckets of that many seconds and meet on (keys, bucket), so a
+    key with very many rows is spread over its buckets and only neighbours in time are
+    compared. A pair is kept in the first bucket that both touch, so it comes once. The spans
+    are closed and must cover the predicate.
+    """
+    if width is None:
+        return left.join(right, keys)
+    cut = lambda c: F.floor(c / width)
+    a = left.withColumn("first_", cut(left_span[0])).withColumn("bucket_", F.explode(F.sequence(F.col("first_"), F.greatest(F.col("first_"), cut(left_span[1])))))
+    b = right.withColumn("other_", cut(right_span[0])).withColumn("bucket_", F.explode(F.sequence(F.col("other_"), F.greatest(F.col("other_"), cut(right_span[1])))))
+    return a.join(b, [*keys, "bucket_"]).filter(F.col("bucket_") == F.greatest("first_", "other_")).drop("first_", "other_", "bucket_")
 
 
-def bucketed_join(points: DataFrame, spans: DataFrame, keys: list[str], width: float, how: str = "inner", pad: float = 0.0) -> DataFrame:
-    """Points (t) with every span (start, end) of their key whose closed interval, widened by ``pad``, holds them.
+def bucketed_join(points: DataFrame, spans: DataFrame, keys: list[str], width: float, pad: float = 0.0) -> DataFrame:
+    """Points (t) with every span (start, end) of their key whose closed interval, widened by ``pad``, holds them; each pair once.
 
-    Both sides meet on (keys, time bucket), so a key with very many rows is spread over its
-    buckets; a span is copied into each bucket it touches. Each pair comes once. Spans must
-    not have columns that points have, but for the keys.
+    Spans must not have columns that points have, but for the keys.
     """
-    p = points.withColumn("bucket_", F.floor(F.col("t") / width))
-    s = spans.withColumn("bucket_", F.explode(F.sequence(F.floor((F.col("start") - pad) / width), F.floor((F.col("end") + pad) / width))))
-    joined = p.join(s, [*keys, "bucket_"], how)
-    hit = F.col("t").between(F.col("start") - pad, F.col("end") + pad)
-    if how == "inner":
-        return joined.filter(hit).drop("bucket_")
-    raise ValueError("only inner joins; left out points are those an anti join finds")
+    met = meet(points, spans, keys, (F.col("t"), F.col("t")), (F.col("start") - pad, F.col("end") + pad), width)
+    return met.filter(F.col("t").between(F.col("start") - pad, F.col("end") + pad))
 
 
-def containing_first(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, tolerance: float = 0.05) -> DataFrame:
+def containing_first(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, tolerance: float = 0.05, width: float | None = None) -> DataFrame:
     """Each point with the first span (by start) whose [start, end) holds it; the last span of a key also takes what lies within ``tolerance`` of its end.
 
     ``spans`` has span_id, start, end; points without a span keep nulls.
@@ -138,14 +141,14 @@ def containing_first(points: DataFrame, spans: DataFrame, keys: list[str], point
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("start"), F.desc("span_id"))) == 1
     s = spans.select(*keys, "span_id", "start", "end").withColumn("is_last", last)
     hit = ((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))) | (F.col("is_last") & (F.abs(F.col("t") - F.col("end")) <= tolerance))
-    met = points.select(*keys, point_id, "t").join(s, keys).filter(hit)
+    met = meet(points.select(*keys, point_id, "t"), s, keys, (F.col("t"), F.col("t")), (F.col("start") - tolerance, F.col("end") + tolerance), width).filter(hit)
     first = met.groupBy(*keys, point_id).agg(F.min_by("span_id", F.struct("start", "span_id")).alias("span_id"))
     return points.join(first, [*keys, point_id], "left")
 
 
-def containing_or_nearest(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, tolerance: float = 1.0) -> DataFrame:
+def containing_or_nearest(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, tolerance: float = 1.0, width: float | None = None) -> DataFrame:
     """(keys, point, span_ids): all spans that hold the point, else the one with the nearest edge within ``tolerance`` (first on a tie), else none."""
-    met = points.select(*keys, point_id, "t").join(spans.select(*keys, "span_id", "pos", "start", "end"), keys)
+    met = meet(points.select(*keys, point_id, "t"), spans.select(*keys, "span_id", "pos", "start", "end"), keys, (F.col("t"), F.col("t")), (F.col("start") - tolerance, F.col("end") + tolerance), width)
     inside = (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))
     edge = F.least(F.abs(F.col("t") - F.col("start")), F.abs(F.col("t") - F.col("end")))
     met = met.filter(inside | (edge <= tolerance)).withColumn("inside", inside).withColumn("edge", edge)
@@ -157,21 +160,21 @@ def containing_or_nearest(points: DataFrame, spans: DataFrame, keys: list[str],
     return points.join(agg.select(*keys, point_id, ids.alias("span_ids")), [*keys, point_id], "left").withColumn("span_ids", F.coalesce("span_ids", F.array().cast(f"array<{dict(spans.dtypes)['span_id']}>")))
 
 
-def nearest_centre(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, tolerance: float = 0.05) -> DataFrame:
+def nearest_centre(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, tolerance: float = 0.05, width: float | None = None) -> DataFrame:
     """Each point with the span that holds it (widened by ``tolerance``) and whose centre is nearest, first on a tie."""
-    met = points.select(*keys, point_id, "t").join(spans.select(*keys, "span_id", "pos", "start", "end"), keys)
+    met = meet(points.select(*keys, point_id, "t"), spans.select(*keys, "span_id", "pos", "start", "end"), keys, (F.col("t"), F.col("t")), (F.col("start") - tolerance, F.col("end") + tolerance), width)
     met = met.filter(F.col("t").between(F.col("start") - tolerance, F.col("end") + tolerance))
     far = F.abs(F.col("t") - (F.col("start") + F.col("end")) / 2)
     return points.join(met.groupBy(*keys, point_id).agg(F.min_by("span_id", F.struct(far, "pos")).alias("span_id")), [*keys, point_id], "left")
 
 
-def overlap_or_lead(states: DataFrame, spans: DataFrame, keys: list[str], lead: float = 3.0) -> DataFrame:
+def overlap_or_lead(states: DataFrame, spans: DataFrame, keys: list[str], lead: float = 3.0, width: float | None = None) -> DataFrame:
     """(keys, state_id, span_ids, by): spans that overlap the state, else those that end within ``lead`` seconds before it.
 
     ``states`` and ``spans`` have start and end; ids come in the spans' order.
     """
     s = spans.select(*keys, "span_id", "pos", F.col("start").alias("s"), F.col("end").alias("e"))
-    met = states.select(*keys, "state_id", "start", "end").join(s, keys)
+    met = meet(states.select(*keys, "state_id", "start", "end"), s, keys, (F.col("start") - lead, F.col("end")), (F.col("s"), F.col("e")), width)
     over = (F.col("s") < F.col("end")) & (F.col("e") > F.col("start"))
     ahead = (F.col("e") >= F.col("start") - lead) & (F.col("e") <= F.col("start"))
     met = met.filter(over | ahead).withColumn("rank", F.when(over, 1).otherwise(2))
@@ -182,13 +185,13 @@ def overlap_or_lead(states: DataFrame, spans: DataFrame, keys: list[str], lead:
     return states.join(out, [*keys, "state_id"], "left")
 
 
-def fallback_attach(targets: DataFrame, states: DataFrame, keys: list[str], chapter: str, within: float = 6.0) -> DataFrame:
+def fallback_attach(targets: DataFrame, states: DataFrame, keys: list[str], chapter: str, within: float = 6.0, width: float | None = None) -> DataFrame:
     """(keys, target_id, state_id, step): an action takes the first state of its chapter that starts within ``within`` seconds after its anchor (step 1); else, all states of the chapter that overlap its window (2); else the first state anywhere that holds the anchor (3).
 
     ``targets`` has target_id, kind, anchor, lo, hi; ``states`` has state_id, pos, start, end.
     """
     s = states.select(*keys, F.col(chapter).alias("c_"), "state_id", "pos", "start", "end")
-    met = targets.select(*keys, chapter, "target_id", "kind", "anchor", "lo", "hi").join(s, keys)
+    met = meet(targets.select(*keys, chapter, "target_id", "kind", "anchor", "lo", "hi"), s, keys, (F.least("lo", "anchor"), F.greatest(F.col("hi"), F.col("anchor") + within)), (F.col("start"), F.col("end")), width)
     own = F.col(chapter) == F.col("c_")
     action = own & (F.col("kind") == "action_result") & F.col("start").between(F.col("anchor"), F.col("anchor") + within)
     window = own & (F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo"))
@@ -200,16 +203,16 @@ def fallback_attach(targets: DataFrame, states: DataFrame, keys: list[str], chap
     return met.select(*keys, "target_id", "state_id", "step")
 
 
-def overlap_mean(states: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
+def overlap_mean(states: DataFrame, bins: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
     """``states`` plus ``mean``: the plain mean of the values of the bins each overlaps, 0 without one."""
     b = bins.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), "value")
-    met = states.select(*keys, "state_id", "start", "end").join(b, keys).filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("start")))
+    met = meet(states.select(*keys, "state_id", "start", "end"), b, keys, (F.col("start"), F.col("end")), (F.col("s"), F.col("e")), width).filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("start")))
     return states.join(met.groupBy(*keys, "state_id").agg(F.avg("value").alias("mean")), [*keys, "state_id"], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
 
 
-def latest_start(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, early: float = 1.0) -> DataFrame:
+def latest_start(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str, early: float = 1.0, width: float | None = None) -> DataFrame:
     """Each point with the span that started last among those with start - ``early`` <= t <= end; first on a tie."""
-    met = points.select(*keys, point_id, "t").join(spans.select(*keys, "span_id", "pos", "start", "end"), keys)
+    met = meet(points.select(*keys, point_id, "t"), spans.select(*keys, "span_id", "pos", "start", "end"), keys, (F.col("t"), F.col("t")), (F.col("start") - early, F.col("end")), width)
     met = met.filter(F.col("t").between(F.col("start") - early, F.col("end")))
     return points.join(met.groupBy(*keys, point_id).agg(F.max_by("span_id", F.struct("start", (-F.col("pos")).alias("p"))).alias("span_id")), [*keys, point_id], "left")
 

@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.intervals import meet
+
 #: Seconds before its start at which a state counts as shown.
 LEAD = 1.0
 
 
-def hits(states: DataFrame, times: DataFrame, keys: list[str], lead: float = LEAD) -> DataFrame:
-    """States with at least one time in [start - lead, end] (a semi join)."""
-    t = times.select(*keys, F.col("t").alias("t_"))
-    on = [states[k] == t[k] for k in keys] + [F.col("t_").between(F.col("start") - lead, F.col("end"))]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return states.join(t, cond, "left_semi")
+def hits(states: DataFrame, times: DataFrame, keys: list[str], lead: float = LEAD, width: float | None = None) -> DataFrame:
+    """States (state_id) with at least one time in [start - lead, end]; with a ``width``, met in buckets of that many seconds."""
+    span = (F.col("start") - lead, F.col("end"))
+    met = meet(states.select(*keys, "state_id", "start", "end"), times.select(*keys, F.col("t").alias("t_")), keys, span, (F.col("t_"), F.col("t_")), width)
+    shown = met.filter(F.col("t_").between(*span)).select(*keys, "state_id").distinct()
+    return states.join(shown, [*keys, "state_id"], "left_semi")
 
 
-def recall(states: DataFrame, times: DataFrame, keys: list[str], lead: float = LEAD) -> DataFrame:
+def recall(states: DataFrame, times: DataFrame, keys: list[str], lead: float = LEAD, width: float | None = None) -> DataFrame:
     """(keys, essential, hit, recall) over states of class essential; recall is NaN where there is none."""
     need = states.filter("class = 'essential'")
-    got = hits(need, times, keys, lead).groupBy(*keys).agg(F.count("*").alias("hit"))
+    got = hits(need, times, keys, lead, width).groupBy(*keys).agg(F.count("*").alias("hit"))
     out = states.select(*keys).distinct().join(need.groupBy(*keys).agg(F.count("*").alias("essential")), keys, "left").join(got, keys, "left")
     out = out.select(*keys, F.coalesce("essential", F.lit(0)).alias("essential"), F.coalesce("hit", F.lit(0)).alias("hit"))
     return out.withColumn("recall", F.when(F.col("essential") > 0, F.col("hit") / F.col("essential")).otherwise(F.lit(float("nan"))))
 
 
-def state_of(times: DataFrame, states: DataFrame, keys: list[str], lead: float = LEAD) -> DataFrame:
+def state_of(times: DataFrame, states: DataFrame, keys: list[str], lead: float = LEAD, width: float | None = None) -> DataFrame:
     """``times`` (id, t) plus the state shown: the one that started last, the first on a tie; null without one."""
     s = states.select(*keys, "state_id", "pos", "start", "end", "class", "root")
-    met = times.select(*keys, "id", "t").join(s, keys).filter(F.col("t").between(F.col("start") - lead, F.col("end")))
+    met = meet(times.select(*keys, "id", "t"), s, keys, (F.col("t"), F.col("t")), (F.col("start") - lead, F.col("end")), width).filter(F.col("t").between(F.col("start") - lead, F.col("end")))
     best = met.groupBy(*keys, "id").agg(F.max_by(F.struct("state_id", "class", "root"), F.struct("start", (-F.col("pos")).alias("p"))).alias("s"))
     return times.join(best.select(*keys, "id", "s.*"), [*keys, "id"], "left")
 

@@ -97,7 +97,7 @@ def uniform_times(spark: SparkSession, sf: str) -> DataFrame:
 SELECT e.user_id, e.pos, m.span_id FROM ev e LEFT JOIN m ON m.user_id = e.user_id AND m.pos = e.pos AND m.rn = 1"""
 )
 def contain_first(spark: SparkSession, sf: str) -> DataFrame:
-    return I.containing_first(events(spark, sf), chapters(spark, sf), K, "pos").select("user_id", "pos", "span_id")
+    return I.containing_first(events(spark, sf), chapters(spark, sf), K, "pos", width=259200.0).select("user_id", "pos", "span_id")
 
 
 _ERRORS = "er AS (SELECT user_id, pos AS id, t FROM ev WHERE kind = 'error'), sp AS (SELECT user_id, pos AS span_id, pos, t AS start, t + value * 360 AS \"end\" FROM ev WHERE kind = 'purchase')"
@@ -116,7 +116,7 @@ SELECT er.user_id, er.id, CASE WHEN k.held IS NOT NULL THEN k.held WHEN k.near I
 )
 def nearest_asof(spark: SparkSession, sf: str) -> DataFrame:
     points, spans = _errors(spark, sf)
-    return I.containing_or_nearest(points, spans, K, "id", 3600.0).select("user_id", "id", "span_ids")
+    return I.containing_or_nearest(points, spans, K, "id", 3600.0, width=7200.0).select("user_id", "id", "span_ids")
 
 
 @query(
@@ -125,7 +125,7 @@ SELECT er.user_id, er.id, m.span_id FROM er LEFT JOIN m ON m.user_id = er.user_i
 )
 def nearest_centre(spark: SparkSession, sf: str) -> DataFrame:
     points, spans = _errors(spark, sf)
-    return I.nearest_centre(points, spans, K, "id", 600.0).select("user_id", "id", "span_id")
+    return I.nearest_centre(points, spans, K, "id", 600.0, width=7200.0).select("user_id", "id", "span_id")
 
 
 @query(
@@ -134,7 +134,7 @@ SELECT er.user_id, er.id, m.span_id FROM er LEFT JOIN m ON m.user_id = er.user_i
 )
 def latest_start_asof(spark: SparkSession, sf: str) -> DataFrame:
     points, spans = _errors(spark, sf)
-    return I.latest_start(points, spans, K, "id", 900.0).select("user_id", "id", "span_id")
+    return I.latest_start(points, spans, K, "id", 900.0, width=7200.0).select("user_id", "id", "span_id")
 
 
 @query(
@@ -147,7 +147,7 @@ def overlap_lead_join(spark: SparkSession, sf: str) -> DataFrame:
     s = segments(spark, sf)
     states = s.filter("text = 'error'").select("user_id", F.col("pos").alias("state_id"), "start", "end")
     spans = s.filter("text = 'purchase'").select("user_id", F.col("pos").alias("span_id"), "pos", "start", "end")
-    return I.overlap_or_lead(states, spans, K, 3600.0).select("user_id", "state_id", "span_ids", "by")
+    return I.overlap_or_lead(states, spans, K, 3600.0, width=7200.0).select("user_id", "state_id", "span_ids", "by")
 
 
 @query(
@@ -161,7 +161,7 @@ def fallback_join(spark: SparkSession, sf: str) -> DataFrame:
     states = e.filter("kind != 'error'").select("user_id", "chapter", F.col("pos").alias("state_id"), "pos", F.col("t").alias("start"), (F.col("t") + F.col("value") * 360).alias("end"))
     kind = F.when(F.col("pos") % 2 == 0, "action_result").otherwise("state")
     targets = e.filter("kind = 'error'").select("user_id", "chapter", F.col("pos").alias("target_id"), kind.alias("kind"), F.col("t").alias("anchor"), (F.col("t") - 1800).alias("lo"), (F.col("t") + 1800).alias("hi"))
-    return I.fallback_attach(targets, states, K, "chapter", 7200.0)
+    return I.fallback_attach(targets, states, K, "chapter", 7200.0, width=14400.0)
 
 
 @query(
@@ -171,7 +171,7 @@ m AS (SELECT st.user_id, st.state_id, avg(b.value) AS mean FROM st JOIN b ON st.
 def overlap_mean(spark: SparkSession, sf: str) -> DataFrame:
     s = segments(spark, sf).filter("text = 'error'").select("user_id", F.col("pos").alias("state_id"), "start", "end")
     bins = events(spark, sf).filter("kind = 'view'").select("user_id", F.col("t").alias("start"), (F.col("t") + 3600).alias("end"), "value")
-    return rounded(I.overlap_mean(s, bins, K).select("user_id", "state_id", "mean"))
+    return rounded(I.overlap_mean(s, bins, K, width=7200.0).select("user_id", "state_id", "mean"))
 
 
 @query(
@@ -190,7 +190,7 @@ def asof_backward(spark: SparkSession, sf: str) -> DataFrame:
 def bucketed_join(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     spans = e.filter("kind = 'click'").select("user_id", F.col("pos").alias("span"), F.col("t").alias("start"), (F.col("t") + F.col("value") * 360).alias("end"))
-    return I.bucketed_join(e.filter("kind = 'error'").select("user_id", "pos", "t"), spans, K, 7200.0, pad=60.0).select("user_id", "pos", "span")
+    return I.bucketed_join(e.filter("kind = 'error'").select("user_id", "pos", "t"), spans, K, 7200.0, 60.0).select("user_id", "pos", "span")
 
 
 @query(
