@@ -62,7 +62,7 @@ def test_profiles():
 def test_columns(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(O.target_times(F.lit("action_result"), F.lit(10.0), F.lit(9.85), F.lit(11.0), O.PROFILES["standard"])) == [10.2, 10.8, 11.0]
-    assert one(O.target_times(F.lit("slide"), F.lit(10.0), F.lit(0.0), F.lit(20.0), O.PROFILES["high"])) == [10.0, 6.0, 14.0]
+    assert one(O.target_times(F.lit("slide"), F.lit(10.0), F.lit(0.0), F.lit(20.0), O.PROFILES["high"])) == [10.0, 19.75, 6.0, 14.0]
     assert one(O.first_known(F.lit(""), F.lit("xx"), F.lit("he"), among=("en", "he"), default="en")) == "he"
     assert one(O.caption_fields(F.lit('{"shows": "a", "why": "b"}'))).shows == "a" and one(O.caption_fields(F.lit('"plain"'))).shows == "plain"
     assert one(O.metadata(F.lit('{"title": "t", "uploader": "u", "duration": 5}'))).channel == "u"

@@ -53,3 +53,19 @@ def test_greedy_fill_takes_all_if_there_is_room(spark):
     df = spark.createDataFrame(rows, "k string, id int, t double, pos int, score double, target_ids array<string>, chapter_id string, needs_frames boolean, importance double, signature array<int>")
     assert S.greedy_fill(S.reserve_and_cap(df, ["k"], 1, 10, 2), ["k"]).count() == 6
     assert S.greedy_fill(S.reserve_and_cap(df, ["k"], 1, 3, 2, hard=True), ["k"]).count() == 3
+
+
+def test_sheets_and_random_times_follow_pythons_generator(spark):
+    import random
+
+    rows = spark.createDataFrame([("v", i, float(i), i) for i in range(20)], "k string, id int, t double, pos int")
+    rng, want = random.Random(7), []
+    for sheet, n in ((0, 15), (1, 5)):
+        at = rng.randint(1, n)
+        name = f"x_{sheet:02d}{rng.randint(10, 99)}"
+        want += [(sheet, at, name, i + (i >= at)) for i in range(n)]
+    assert [(r.sheet, r.sentinel, r.sentinel_id, r.slot) for r in S.sheet_pages(rows, ["k"]).orderBy("id").collect()] == want
+    w = spark.createDataFrame([("v", 0.0, 10.0), ("v", 50.0, 60.0)], "k string, start double, end double")
+    rng = random.Random(3)
+    xs = [rng.random() * 20 for _ in range(6)]
+    assert [r.t for r in S.random_times(w, ["k"], 6, 3).orderBy("i").collect()] == [round(x if x <= 10 else 40 + x, 3) for x in xs]

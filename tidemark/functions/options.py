@@ -40,18 +40,22 @@ def profile_digest(profile: dict) -> str:
     return hashlib.sha256(json.dumps(profile, sort_keys=True).encode()).hexdigest()
 
 
-def target_times(kind: Column, anchor: Column, lo: Column, hi: Column, profile: dict) -> Column:
-    """Sample times of a target, within its window, equal ones (to a microsecond) once, first come first."""
-    offsets = lambda xs: [anchor + x for x in xs]
-    parts = lambda xs: [lo + (hi - lo) * x for x in xs]
-    lists = {"action_result": offsets(profile["action_offsets"]), "state": [*offsets(profile["state_offsets"]), *parts(profile["state_fractions"])]}
-    other = [anchor, *parts(profile["slide_fractions"])]
-    clamp = lambda xs: F.array_distinct(F.array(*[F.round(F.greatest(lo, F.least(x, hi)), 6) for x in xs]))
-    out = clamp(other)
-    for k, xs in lists.items():
-        if xs:
-            out = F.when(kind == k, clamp(xs)).otherwise(out)
-    return out
+def target_times(kind: Column, anchor: Column, lo: Column, hi: Column, profile: dict, terminal: Column | None = None) -> Column:
+    """Sample times of a target, kept within its window.
+
+    Actions: offsets from the anchor. Slides and diagrams: the anchor, then where the picture
+    is complete (``terminal``, else 0.25 before the window's end), then fractions of the
+    window. Others: offsets, then fractions; equal times (to a microsecond) once, in order.
+    """
+    clamp = lambda x: F.least(hi, F.greatest(lo, x))
+    span = F.greatest(F.lit(0.05), hi - lo)
+    parts = lambda xs: [lo + span * x for x in xs]
+    once = lambda xs: F.array_distinct(F.array(*[F.round(x, 6) for x in xs])) if xs else F.array().cast("array<double>")
+    full = F.greatest(lo, hi - 0.25) if terminal is None else F.coalesce(clamp(terminal), F.greatest(lo, hi - 0.25))
+    action = F.array(*[F.round(clamp(anchor + x), 6) for x in profile["action_offsets"]])
+    slide = once([clamp(anchor), full, *parts(profile["slide_fractions"])])
+    other = once([*[clamp(anchor + x) for x in profile["state_offsets"]], *parts(profile["state_fractions"])])
+    return F.when(kind == "action_result", action).when(kind.isin("diagram", "slide"), slide).otherwise(other)
 
 
 def first_known(*values: Column, among: tuple[str, ...] | None = None, default: str | None = None) -> Column:

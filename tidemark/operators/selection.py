@@ -103,7 +103,8 @@ def greedy_fill(rows: DataFrame, keys: list[str]) -> DataFrame:
             return pdf.assign(kept=kept | free)
         t = pdf["t"].to_numpy(float)
         sig = np.array([np.asarray(s, float) for s in pdf["signature"]])
-        span = max(t.max() - t.min(), 1e-9)
+        shown = t[kept | free]
+        span = max(shown.max() - shown.min(), 1.0)
         novelty, gap = np.ones(len(pdf)), np.ones(len(pdf))
 
         def see(i: int) -> None:
@@ -142,18 +143,30 @@ def reading_cost(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sheet_pages(rows: DataFrame, keys: list[str], tiles: int = 16, seed: int = 7) -> DataFrame:
-    """``rows`` plus sheet and slot: pages of ``tiles`` - 1 in time order, and on each page one sentinel's slot that rows step over.
+    """``rows`` plus sheet, slot, sentinel (its slot) and sentinel_id: pages of ``tiles`` - 1 in time order with one sentinel, never first, that rows step over.
 
-    The sentinel's slot and number come from Python's generator with ``seed``, page after page,
-    so they equal those of any program that draws them so.
+    Slot and number of the sentinels are drawn page after page by Python's generator with
+    ``seed``, anew for each key: only the number of rows of a key goes there.
     """
-    per = tiles - 1
+    per = max(1, tiles - 1)
+    kinds = dict(rows.dtypes)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("t", "pos")) - 1
     rows = rows.withColumn("sheet", F.floor(place / per).cast("int")).withColumn("at_", (place % per).cast("int"))
-    draws = random.Random(seed)
-    slots = [draws.randrange(tiles) for _ in range(1000)]
-    slot = F.element_at(F.array(*map(F.lit, slots)), (F.col("sheet") % 1000 + 1).cast("int"))
-    return rows.withColumn("sentinel", slot).withColumn("slot", F.col("at_") + F.when(F.col("at_") >= F.col("sentinel"), 1).otherwise(0)).drop("at_")
+
+    def draw(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                rng = random.Random(seed)
+                for sheet in range(-(-row[-1] // per)):
+                    n = min(per, row[-1] - sheet * per)
+                    slot = rng.randint(1, n) if n > 1 else 1
+                    out.append((*row[:-1], sheet, slot, f"x_{sheet:02d}{rng.randint(10, 99)}"))
+            yield pd.DataFrame(out, columns=[*keys, "sheet", "sentinel", "sentinel_id"])
+
+    sizes = rows.groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
+    drawn = sizes.mapInPandas(draw, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sheet int, sentinel int, sentinel_id string")
+    return rows.join(drawn, [*keys, "sheet"]).withColumn("slot", F.col("at_") + F.when(F.col("at_") >= F.col("sentinel"), 1).otherwise(0)).drop("at_")
 
 
 def strip_groups(rows: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
@@ -177,18 +190,20 @@ def newest(rows: DataFrame, keys: list[str], at: str, most: int) -> DataFrame:
 
 
 def random_times(windows: DataFrame, keys: list[str], budget: int, seed: int) -> DataFrame:
-    """(keys, i, t): ``budget`` sorted random times over each key's windows laid end to end, drawn by Python's generator with ``seed``."""
+    """(keys, i, t): ``budget`` random times over each key's windows laid end to end, in the order Python's generator with ``seed`` draws them, to 3 places."""
     kinds = dict(windows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", i int, t double"
 
     def draw(key, pdf):
-        pdf = pdf[pdf["end"] > pdf["start"]].sort_values(["start", "end"])
-        span = (pdf["end"] - pdf["start"]).to_numpy(float)
-        upto = np.cumsum(span)
+        pdf = pdf.sort_values(["start", "end"])
+        starts, spans = pdf["start"].to_numpy(float), (pdf["end"] - pdf["start"]).to_numpy(float)
+        upto = np.cumsum(spans)
         rng = random.Random(seed)
-        x = np.array(sorted(rng.uniform(0, float(upto[-1])) for _ in range(budget))) if len(upto) else np.zeros(0)
-        w = np.minimum(np.searchsorted(upto, x, "left"), max(len(upto) - 1, 0))
-        t = pdf["start"].to_numpy(float)[w] + x - (upto - span)[w] if len(x) else x
-        return pd.DataFrame({**dict(zip(keys, key)), "i": range(len(t)), "t": t}, columns=[*keys, "i", "t"])
+        times = []
+        for _ in range(budget):
+            x = rng.random() * upto[-1]
+            w = min(int(np.searchsorted(upto, x, "left")), len(upto) - 1)
+            times.append(round(float(starts[w] + x - (upto[w] - spans[w])), 3))
+        return pd.DataFrame({**{k: [v] * len(times) for k, v in zip(keys, key)}, "i": range(len(times)), "t": times}, columns=[*keys, "i", "t"])
 
     return windows.select(*keys, "start", "end").groupBy(*keys).applyInPandas(draw, schema)

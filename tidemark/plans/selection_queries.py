@@ -87,7 +87,7 @@ def token_cost_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def sheet_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return S.sheet_pages(rows(spark, sf), ["grp"]).select("grp", "id", "sheet", "sentinel", "slot")
+    return S.sheet_pages(rows(spark, sf), ["grp"]).select("grp", "id", "sheet", "sentinel", "sentinel_id", "slot")
 
 
 @query(

@@ -77,13 +77,13 @@ def heat_bins(info: DataFrame, keys: list[str]) -> DataFrame:
 def speech_segments(responses: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Segments and rejects of speech responses (JSON ``body``, ``offset`` and ``duration`` of the chunk in seconds).
 
-    Segments without finite times, with end <= start, or that start beyond the chunk are
+    Segments without finite times, with end <= start, or that end beyond the chunk are
     rejects; blank texts are left out; times get the chunk's offset.
     """
     kind = "struct<segments:array<struct<start:double,end:double,text:string>>>"
     s = responses.select(*keys, "offset", "duration", F.posexplode(F.from_json("body", kind)["segments"]).alias("pos", "s")).select(*keys, "offset", "duration", "pos", "s.*")
     finite = F.col("start").isNotNull() & F.col("end").isNotNull() & ~F.isnan("start") & ~F.isnan("end")
-    good = F.coalesce(finite & (F.col("end") > F.col("start")) & (F.col("start") <= F.col("duration")) & (F.col("start") >= 0), F.lit(False))
+    good = F.coalesce(finite & (F.col("end") > F.col("start")) & (F.col("end") <= F.col("duration") + 1e-6) & (F.col("start") >= 0), F.lit(False))
     text = F.trim(F.coalesce("text", F.lit("")))
     kept = s.filter(good & (text != "")).select(*keys, "pos", F.round(F.col("start") + F.col("offset"), 3).alias("start"), F.round(F.col("end") + F.col("offset"), 3).alias("end"), text.alias("text"))
     return kept, s.filter(~good).select(*keys, "pos", F.lit("untimed or out of range").alias("fault"))
@@ -93,16 +93,16 @@ def merge_chunks(kept: DataFrame, incoming: DataFrame, keys: list[str]) -> DataF
     """``incoming`` (pos, start, end, text, overlap_start, overlap_end) without what ``kept`` has said already.
 
     In the overlap of two chunks, an incoming segment goes if a kept one overlaps it in time
-    and has the same words, or two or more words of one are a run of the other's.
+    and has the same words, or holds its words (two or more) as a run.
     """
     from tidemark.functions.text import tokens
 
     word = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-    k = kept.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), word(F.col("text")).alias("said"), F.size(tokens(F.col("text"))).alias("many"))
+    k = kept.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), word(F.col("text")).alias("said"))
     i = incoming.withColumn("words", word(F.col("text"))).withColumn("n", F.size(tokens(F.col("text"))))
-    zone = i.filter((F.col("end") > F.col("overlap_start")) & (F.col("start") < F.col("overlap_end")))
-    met = zone.join(k, keys).filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("start")))
-    same = (F.col("words") == F.col("said")) | ((F.col("n") >= 2) & F.contains("said", F.col("words"))) | ((F.col("many") >= 2) & F.contains("words", F.col("said")))
+    zone = i.filter((F.col("end") >= F.col("overlap_start")) & (F.col("start") <= F.col("overlap_end")) & (F.col("n") > 0))
+    met = zone.join(k, keys).filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("start")) & (F.col("e") >= F.col("overlap_start")) & (F.col("s") <= F.col("overlap_end")))
+    same = (F.col("words") == F.col("said")) | ((F.col("n") >= 2) & F.contains("said", F.col("words")))
     gone = met.filter(same).select(*keys, "pos").distinct()
     return incoming.join(gone, [*keys, "pos"], "left_anti")
 
