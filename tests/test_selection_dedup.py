@@ -39,7 +39,11 @@ def test_leaders_are_not_components(spark):
 def test_families_keep_a_row_of_each_protected_chapter(spark):
     rows = [("v", i, float(i), i, c, s, r, [50] * 4, [0] * 4) for i, (c, s, r) in enumerate([("a", 1.0, ["scene"]), ("a", 3.0, ["target"]), ("b", 2.0, ["target"]), ("b", 9.0, ["scene"])])]
     df = spark.createDataFrame(rows, "k string, id int, t double, pos int, chapter_id string, score double, reasons array<string>, pixels array<int>, edges array<int>")
-    assert [r.status for r in D.deduplicate_frames(df, ["k"]).orderBy("id").collect()] == ["dedup", "kept", "dedup", "kept"]
+    got = D.deduplicate_frames(df, ["k"]).orderBy("id").collect()
+    assert [(r.status, r.kept_by, r.revisit, r.family_id) for r in got] == [("dedup", 1, False, "f_001"), ("kept", 1, False, "f_001"), ("dedup", 3, False, "f_001"), ("kept", 3, False, "f_001")]
+    plain = df.withColumn("reasons", F.array(F.lit("scene"))).withColumn("target_ids", F.array().cast("array<string>"))
+    assert [(r.status, r.kept_by, r.revisit) for r in D.deduplicate_frames(plain, ["k"]).orderBy("id").collect()] == [("dedup", 3, True), ("dedup", 3, True), ("dedup", 3, False), ("kept", 3, False)]
+    assert [r.status for r in D.deduplicate_frames(plain, ["k"], "chapter").orderBy("id").collect()] == ["dedup", "kept", "dedup", "kept"]
 
 
 def test_chains_and_cycles(spark):

@@ -48,7 +48,7 @@ def coverage(rows: DataFrame, keys: list[str], duration: str, long_gap: float =
         F.max(duration).alias("duration"),
         F.count_if(F.col("start") < F.col("prev")).alias("out_of_order"),
         F.count_if(F.col("end") <= F.col("start")).alias("empty"),
-        F.count_if(F.col("end") > F.col(duration) + 2).alias("beyond"),
+        F.count_if((F.col(duration) > 0) & (F.col("start") > F.col(duration) + 2)).alias("beyond"),
     )
     tail = F.greatest(F.lit(0.0), F.col("duration") - F.col("last"))
     return out.withColumn("tail", tail).select(

@@ -43,7 +43,7 @@ def padded_sections(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {SEGMENTS}, w AS (SELECT *, coalesce(max("end") OVER (PARTITION BY user_id ORDER BY start, "end", pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, lag(start) OVER (PARTITION BY user_id ORDER BY pos) AS prev FROM sg),
 a AS (SELECT user_id, count(*) AS segments, sum(greatest(0, "end" - greatest(start, before))) AS covered, max(greatest(0, start - before)) AS largest, count(*) FILTER (greatest(0, start - before) > 30) AS long_gaps, max("end") AS last, max(duration) AS duration,
- count(*) FILTER (start < prev) AS out_of_order, count(*) FILTER ("end" <= start) AS "empty", count(*) FILTER ("end" > duration + 2) AS beyond FROM w GROUP BY user_id)
+ count(*) FILTER (start < prev) AS out_of_order, count(*) FILTER ("end" <= start) AS "empty", count(*) FILTER (start > duration + 2) AS beyond FROM w GROUP BY user_id)
 SELECT user_id, segments, round(covered, 6) AS covered, round(covered / duration, 6) AS ratio, round(greatest(largest, greatest(0, duration - last)), 6) AS largest_gap, long_gaps + CASE WHEN greatest(0, duration - last) > 30 THEN 1 ELSE 0 END AS long_gaps, out_of_order, "empty", beyond FROM a"""
 )
 def coverage_health(spark: SparkSession, sf: str) -> DataFrame:

@@ -182,7 +182,7 @@ def leader_families(spark: SparkSession, sf: str) -> DataFrame:
 def deduplicate_frames(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf).withColumn("edges", G.edge_map(F.col("q"), 8))
     r = v.select((F.col("vec_id") % 10).alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("t"), F.col("vec_id").alias("pos"), (F.col("vec_id") % 3).alias("chapter_id"), (F.col("vec_id") % 17).cast("double").alias("score"), F.array(F.when(F.col("vec_id") % 4 == 0, "target").otherwise("scene")).alias("reasons"), F.transform("q", lambda x: (x / 16).cast("int")).alias("pixels"), F.transform("edges", lambda x: (x / 16).cast("int")).alias("edges"))
-    return D.deduplicate_frames(r, ["grp"]).select("grp", "id", "cluster", "family_id", "status")
+    return D.deduplicate_frames(r, ["grp"]).select("grp", "id", "cluster", "family_id", "status", "kept_by", "revisit")
 
 
 @query("WITH s AS (SELECT o_custkey, o_orderkey, o_orderpriority AS grp FROM orders) SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey, grp ORDER BY o_orderkey) > 1 AS redundant FROM s")

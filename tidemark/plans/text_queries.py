@@ -176,7 +176,7 @@ def unknown_refs(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {SEGMENTS}, p AS (SELECT *, list(text) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS recent, coalesce(max("end") OVER (PARTITION BY user_id ORDER BY start, "end", pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sg),
 a AS (SELECT user_id, count(*) AS n, sum(greatest(0, "end" - greatest(start, before))) AS covered, avg(CASE WHEN list_contains(recent, text) THEN 1.0 ELSE 0.0 END) AS rep, greatest(max(greatest(0, start - before)), greatest(0, max(duration) - max("end"))) AS gap FROM p GROUP BY user_id)
 SELECT user_id, n AS segments, n AS words, round(covered, 6) AS covered, round(covered / 2592000, 3) AS coverage, round(gap, 6) AS largest_gap, round(rep, 3) AS repetition, round(n / (2592000 / 60.0), 2) AS per_minute,
- list_filter([CASE WHEN round(covered / 2592000, 3) < 0.6 THEN 'low_coverage' END, CASE WHEN gap > 120 THEN 'large_gap' END, CASE WHEN rep > 0.3 THEN 'repetition' END, CASE WHEN n / (covered / 60) < 40 THEN 'wpm' END, CASE WHEN round(n / (2592000 / 60.0), 2) < 2 THEN 'sparse_segments' END, CASE WHEN (SELECT bool_or("end" > duration + 2) FROM sg s WHERE s.user_id = a.user_id) THEN 'beyond_duration' END], lambda x: x IS NOT NULL) AS flags, 'thin' AS status FROM a"""
+ list_filter([CASE WHEN round(covered / 2592000, 3) < 0.6 THEN 'low_coverage' END, CASE WHEN gap > 120 THEN 'large_gap' END, CASE WHEN rep > 0.3 THEN 'repetition' END, CASE WHEN n / (covered / 60) < 40 THEN 'wpm' END, CASE WHEN round(n / (2592000 / 60.0), 2) < 2 THEN 'sparse_segments' END, CASE WHEN (SELECT bool_or(start > duration + 2) FROM sg s WHERE s.user_id = a.user_id) THEN 'beyond_duration' END], lambda x: x IS NOT NULL) AS flags, 'thin' AS status FROM a"""
 )
 def transcript_health(spark: SparkSession, sf: str) -> DataFrame:
     h = A.transcript_health(segments(spark, sf), ["user_id"])
