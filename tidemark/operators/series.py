@@ -64,11 +64,12 @@ def lag_features(rows: DataFrame, keys: list[str], part: str, order: list[str],
     return rows.withColumn("delta", F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(*keys, part).orderBy(*order))))
 
 
-def anchored_windows(rows: DataFrame, keys: list[str], seconds: float, motion: str, luma: str, edge: str, least: int = 2) -> DataFrame:
+def anchored_windows(rows: DataFrame, keys: list[str], seconds: float, changed: str, moved: str, luma: str, edge: str, ink: str, least: int = 2) -> DataFrame:
     """(keys, window_no, start, end, mode, ...): tumbling windows from each key's first row; those of under ``least`` rows are left out.
 
-    mode: A if over half of the rows move a lot (> 0.25), B if under 15 % move (> 0.02), C if
-    bright (luma > 150) and plain (edge < 14), else D. The first row of a window has no motion.
+    mode: A if over half of the rows move a lot (``moved`` > 0.25), B if under 15 % change
+    (``changed`` > 0.02), C if bright (luma > 150) and plain (edge < 14), else D. The first row
+    of a window counts for neither. ink_first and ink_last are means of its first and last quarter.
     """
     t0 = F.min("t").over(Window.partitionBy(*keys))
     rows = rows.withColumn("window_no", F.floor((F.col("t") - t0) / seconds))
@@ -81,12 +82,12 @@ def anchored_windows(rows: DataFrame, keys: list[str], seconds: float, motion: s
         F.count("*").alias("n"),
         F.min("t").alias("start"),
         (F.max("t") + 0.5).alias("end"),
-        share(F.col(motion) > 0.02).alias("motion_freq"),
-        share(F.col(motion) > 0.25).alias("big_motion"),
+        share(F.col(changed) > 0.02).alias("motion_freq"),
+        share(F.col(moved) > 0.25).alias("big_motion"),
         F.avg(luma).alias("luma"),
         F.avg(edge).alias("edge"),
-        F.avg(F.when(F.col("rn") <= quarter, F.col(edge))).alias("edge_first"),
-        F.avg(F.when(F.col("rn") > F.col("n") - quarter, F.col(edge))).alias("edge_last"),
+        F.avg(F.when(F.col("rn") <= quarter, F.col(ink))).alias("ink_first"),
+        F.avg(F.when(F.col("rn") > F.col("n") - quarter, F.col(ink))).alias("ink_last"),
     )
     mode = F.when(F.col("big_motion") > 0.5, "A").when(F.col("motion_freq") < 0.15, "B").when((F.col("luma") > 150) & (F.col("edge") < 14), "C").otherwise("D")
     return out.filter(F.col("n") >= least).withColumn("mode", mode)

@@ -71,15 +71,15 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 
 _MODES = f"""w0 AS (SELECT *, floor((t - min(t) OVER (PARTITION BY user_id)) / 259200)::BIGINT AS window_no FROM fr), w1 AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_no ORDER BY t, pos) AS rn, count(*) OVER (PARTITION BY user_id, window_no) AS n FROM w0),
 w2 AS (SELECT user_id, window_no, count(*) AS n, min(t) AS start, max(t) + 0.5 AS "end", avg(CASE WHEN rn > 1 THEN CASE WHEN motion > 0.02 THEN 1.0 ELSE 0.0 END END) AS motion_freq, avg(CASE WHEN rn > 1 THEN CASE WHEN motion > 0.25 THEN 1.0 ELSE 0.0 END END) AS big_motion, avg(luma) AS luma, avg(edge) AS edge,
- avg(CASE WHEN rn <= greatest(1, n // 4) THEN edge END) AS edge_first, avg(CASE WHEN rn > n - greatest(1, n // 4) THEN edge END) AS edge_last FROM w1 GROUP BY user_id, window_no),
+ avg(CASE WHEN rn <= greatest(1, n // 4) THEN ink END) AS ink_first, avg(CASE WHEN rn > n - greatest(1, n // 4) THEN ink END) AS ink_last FROM w1 GROUP BY user_id, window_no),
 w3 AS (SELECT *, CASE WHEN big_motion > 0.5 THEN 'A' WHEN motion_freq < 0.15 THEN 'B' WHEN luma > 150 AND edge < 14 THEN 'C' ELSE 'D' END AS mode FROM w2 WHERE n >= 2)"""
 
 
 @query(
-    f"WITH {EVENTS}, {_FRAMES}, {_MODES} SELECT user_id, window_no, n, round(start, 6) AS start, round(\"end\", 6) AS \"end\", round(motion_freq, 6) AS motion_freq, round(big_motion, 6) AS big_motion, round(luma, 6) AS luma, round(edge, 6) AS edge, round(edge_first, 6) AS edge_first, round(edge_last, 6) AS edge_last, mode FROM w3"
+    f"WITH {EVENTS}, {_FRAMES}, {_MODES} SELECT user_id, window_no, n, round(start, 6) AS start, round(\"end\", 6) AS \"end\", round(motion_freq, 6) AS motion_freq, round(big_motion, 6) AS big_motion, round(luma, 6) AS luma, round(edge, 6) AS edge, round(ink_first, 6) AS ink_first, round(ink_last, 6) AS ink_last, mode FROM w3"
 )
 def tumbling_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.anchored_windows(frames(spark, sf), K, 259200.0, "motion", "luma", "edge"))
+    return rounded(S.anchored_windows(frames(spark, sf), K, 259200.0, "motion", "motion", "luma", "edge", "ink"))
 
 
 
@@ -89,7 +89,7 @@ def tumbling_mode(spark: SparkSession, sf: str) -> DataFrame:
 st AS (SELECT user_id, window_no, i, mode FROM nn WHERE i = 1 UNION ALL SELECT nn.user_id, nn.window_no, nn.i, CASE WHEN nn.nxt = st.mode THEN st.mode ELSE nn.mode END FROM st JOIN nn ON nn.user_id = st.user_id AND nn.i = st.i + 1) SELECT user_id, window_no, mode FROM st"""
 )
 def smooth_modes(spark: SparkSession, sf: str) -> DataFrame:
-    return S.smooth_modes(S.anchored_windows(frames(spark, sf), K, 259200.0, "motion", "luma", "edge"), K)
+    return S.smooth_modes(S.anchored_windows(frames(spark, sf), K, 259200.0, "motion", "motion", "luma", "edge", "ink"), K)
 
 
 @query(
@@ -97,7 +97,7 @@ def smooth_modes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p.user_id, p.pos, coalesce(m.own, CASE WHEN m.t >= m.over THEN m.final END, 'B') AS mode FROM p LEFT JOIN m ON m.user_id = p.user_id AND m.pos = p.pos"""
 )
 def mode_at(spark: SparkSession, sf: str) -> DataFrame:
-    w = S.anchored_windows(frames(spark, sf), K, 259200.0, "motion", "luma", "edge")
+    w = S.anchored_windows(frames(spark, sf), K, 259200.0, "motion", "motion", "luma", "edge", "ink")
     return S.mode_at(events(spark, sf).filter("kind = 'error'"), w, K, "pos").select("user_id", "pos", "mode")
 
 
