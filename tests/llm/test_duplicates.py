@@ -195,3 +195,39 @@ def test_vector_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got, want = sorted((tuple(r) for r in vector_duplicates(df).collect()), key=repr), brute_vectors([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
     assert all(a[1] <= b[1] for a, b in zip(got, want)) and sum(r[1] for r in got) >= 0.9 * sum(r[1] for r in want)
+
+
+def many_groups(seed=3, groups=24, d=64, noise=0.1):
+    """One shard of groups of 30 to 300 distinct near copies."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for size in np.linspace(30, 300, groups).astype(int):
+        base = rng.normal(size=d)
+        rows += list(base + noise * rng.normal(size=(size, d)))
+    x = np.array(rows)[rng.permutation(len(rows))].astype(np.float32)
+    return [(int(i), [float(v) for v in row]) for i, row in enumerate(x)]
+
+
+def exact_vectors(rows, least=0.95):
+    """brute_vectors by one product."""
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= least
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near, label, len(x)).min(1))
+        if (new == label).all():
+            return [(i, int(near[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(len(x))]
+        label = new
+
+
+def test_no_group_of_near_copies_is_lost(spark, monkeypatch):
+    import tidemark.llm.vectors as v
+
+    rows = many_groups()
+    monkeypatch.setattr(v, "SHARD", len(rows))  # one shard
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = vector_duplicates(df)
+    assert sorted(tuple(r) for r in found.collect()) == exact_vectors(rows)
+    assert recall(df, found, every=5) == 1.0

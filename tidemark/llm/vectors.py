@@ -1,4 +1,4 @@
-"""Near-duplicate vectors over a robust-pruned flat graph built on overlapping cluster shards."""
+"""Near-duplicate vectors by exact comparison within overlapping cluster shards."""
 
 from __future__ import annotations
 
@@ -38,173 +38,48 @@ def centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray
     return c
 
 
-def robust_prune(x: np.ndarray, degree: int, pool: int, alpha: float) -> np.ndarray:
-    """Neighbours of each vector: from its ``pool`` nearest, nearest first, those that no kept one is nearer to by ``alpha``. -1 fills up."""
-    m = len(x)
-    pool = min(pool, m - 1)
-    out = np.full((m, degree), -1, np.int64)
-    if pool < 1:
-        return out
-    near = np.empty((m, pool), np.int64)
-    for i in range(0, m, 512):
-        s = x[i : i + 512] @ x.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-        part = np.argpartition(-s, pool - 1, axis=1)[:, :pool]
-        near[i : i + 512] = np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1, kind="stable"), 1)
-    for i in range(0, m, 256):
-        n = near[i : i + 256]
-        v = x[n]
-        own = 2 - 2 * np.einsum("qpd,qd->qp", v, x[i : i + 256])
-        between = 2 - 2 * np.einsum("qpd,qrd->qpr", v, v)
-        alive = np.ones(n.shape, bool)
-        rows = np.arange(len(n))
-        for d in range(degree):
-            first = alive.argmax(1)
-            some = alive[rows, first]
-            out[i + rows[some], d] = n[rows[some], first[some]]
-            alive &= ~(alpha * between[rows, first] <= own) | ~some[:, None]
-            alive[rows, first] = False
-    return out
+def _compare(threshold: float):
+    """(cls, n) and edges (a, b) of every pair of a shard, or of two of its blocks, with cosine >= ``threshold``."""
 
-
-def greedy_search(x: np.ndarray, links: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) with cosine >= ``radius`` that best-first search meets on its way from the entries.
-
-    The search of a query ends when its ``beam`` nearest seen are expanded. Where all of them
-    are in range, the beam is doubled, up to four times.
-    """
-    m, full = len(x), beam * 4
-    found_q, found_v = [], []
-    for at in range(0, len(queries), 256):
-        q = queries[at : at + 256]
-        rows = np.arange(len(q))
-        seen = np.zeros((len(q), m + 1), bool)
-        seen[:, m] = True
-        ids = np.full((len(q), full + links.shape[1]), m, np.int64)
-        score = np.full(ids.shape, -3.0)
-        open_ = np.zeros(ids.shape, bool)
-        ids[:, : len(entries)] = entries
-        seen[:, entries] = True
-        score[:, : len(entries)] = x[q] @ x[entries].T
-        open_[:, : len(entries)] = True
-        width = np.full(len(q), beam)
-        while True:
-            order = np.argsort(-score, axis=1, kind="stable")
-            ids, score, open_ = (np.take_along_axis(a, order, 1) for a in (ids, score, open_))
-            last = score[rows, np.minimum(width, full) - 1]
-            width = np.where((last >= radius) & (width < full), width * 2, width)
-            can = open_ & (np.arange(ids.shape[1]) < width[:, None])
-            go = can.any(1)
-            if not go.any():
-                break
-            pick = can.argmax(1)
-            open_[rows[go], pick[go]] = False
-            next_ = np.where(go[:, None], links[np.where(go, ids[rows, pick], 0)], -1)
-            next_ = np.where(next_ < 0, m, next_)
-            fresh = ~np.take_along_axis(seen, next_, 1)
-            seen[rows[:, None], next_] = True
-            next_ = np.where(fresh, next_, m)
-            near = np.where(fresh, np.einsum("qrd,qd->qr", x[np.minimum(next_, m - 1)], x[q]), -3.0)
-            ids[:, full:], score[:, full:], open_[:, full:] = next_, near, fresh
-        hit = (score >= radius) & (ids < m)
-        r, c = np.nonzero(hit)
-        found_q.append(q[r])
-        found_v.append(ids[r, c])
-    return np.concatenate(found_q) if found_q else np.zeros(0, np.int64), np.concatenate(found_v) if found_v else np.zeros(0, np.int64)
-
-
-def _build(degree: int, pool: int, alpha: float):
-    def run(t):
-        dim, shard, lo, hi, cls = (t.column(c).to_numpy() for c in ("dim", "shard", "lo", "hi", "cls"))
-        vectors = t.column("embedding").to_pylist()
-        src, dst = [], []
-        for rows in _segments(hi, lo, shard, dim):
-            if len(rows) > 1:
-                links = robust_prune(unit([vectors[r] for r in rows]), degree, pool, alpha)
-                for r, n in zip(rows, links):
-                    src.append(int(cls[r]))
-                    dst.append(cls[rows[n[n >= 0]]].tolist())
-        return pa.table({"cls": pa.array(src, pa.int64()), "links": pa.array(dst, pa.list_(pa.int64()))})
-
-    return run
-
-
-def _links_table(cls: np.ndarray, links: list, degree: int) -> np.ndarray:
-    """Local numbers of each node's neighbours, with every link both ways as far as room allows."""
-    number = {c: i for i, c in enumerate(cls.tolist())}
-    near: list[dict] = [{} for _ in number]
-    for i, n in enumerate(links):
-        for c in n or ():
-            j = number.get(c)
-            if j is not None and j != i:
-                near[i][j] = None
-    for i in range(len(near)):
-        for j in list(near[i]):
-            near[j].setdefault(i, None)
-    width = max(1, min(max(map(len, near)), 4 * degree))
-    out = np.full((len(near), width), -1, np.int64)
-    for i, n in enumerate(near):
-        n = list(n)[:width]
-        out[i, : len(n)] = n
-    return out
-
-
-def _search(threshold: float, degree: int, beam: int):
     def run(t):
         dim, shard, lo, hi, cls, copies, blocks = (t.column(c).to_numpy() for c in ("dim", "shard", "lo", "hi", "cls", "copies", "blocks"))
-        vectors, links, homes = (t.column(c).to_pylist() for c in ("embedding", "links", "homes"))
+        vectors, homes = (t.column(c).to_pylist() for c in ("embedding", "homes"))
         out_cls, out_n, out_a, out_b = [], [], [], []
         for rows in _segments(hi, lo, shard, dim):
             m = len(rows)
             if m < 2:
                 continue
             x = unit([vectors[r] for r in rows])
-            table = _links_table(cls[rows], [links[r] for r in rows], degree)
-            mean = x.mean(0)
-            medoids = np.unique([int((x @ mean).argmax()), *(int((x @ v).argmax()) for v in x[:: max(1, m // 8)])])
-            a, b = greedy_search(x, table, medoids, np.arange(m), beam, threshold - 1e-9)
-            root = np.arange(m)
-
-            def find(i):
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for i, j in zip(a.tolist(), b.tolist()):
-                i, j = find(i), find(j)
-                if i != j:
-                    root[max(i, j)] = min(i, j)
-            root = np.array([find(i) for i in range(m)])
             here = int(shard[rows[0]])
-            half, cross = blocks[rows], lo[rows[0]] != hi[rows[0]]
+            mult, half, cross = copies[rows], blocks[rows], lo[rows[0]] != hi[rows[0]]
             wide = max(len(homes[r]) for r in rows)
             own = np.full((m, wide), -1, np.int64)  # the shards before this one that hold it too
             for i, r in enumerate(rows):
                 before = [s for s in homes[r] if s < here]
                 own[i, : len(before)] = before
-            for group in _segments(root):
-                if len(group) < 2:
-                    continue
-                v, mult, home, part = x[group], copies[rows[group]], own[group], half[group]
-                n = np.zeros(len(group), np.int64)
-                for i in range(0, len(group), 512):
-                    near = v[i : i + 512] @ v.T >= threshold
-                    near[np.arange(len(near)), np.arange(i, i + len(near))] = False
-                    # A pair counts in its first common shard, and once among the pairs of blocks.
-                    for p in range(home.shape[1]):
-                        for r in range(home.shape[1]):
-                            same = (home[i : i + 512, p][:, None] == home[:, r]) & (home[:, r] >= 0)
-                            near &= ~same
-                    if cross:
-                        near &= part[i : i + 512][:, None] != part
-                    n[i : i + 512] = near @ mult
-                for k in np.flatnonzero(n):
-                    out_cls.append(int(cls[rows[group[k]]]))
-                    out_n.append(int(n[k]))
-                for e in spanning_forest(len(v), lambda i, left: v[left] @ v[i] >= threshold):
-                    out_a.append(int(cls[rows[group[e[0]]]]))
-                    out_b.append(int(cls[rows[group[e[1]]]]))
+            n = np.zeros(m, np.int64)
+            bits = np.zeros((m, -(-m // 8)), np.uint8)
+            for i in range(0, m, 512):
+                near = x[i : i + 512] @ x.T >= threshold
+                near[np.arange(len(near)), np.arange(i, i + len(near))] = False
+                bits[i : i + 512] = np.packbits(near, axis=1)
+                some, with_ = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                near = near[np.ix_(some, with_)]
+                # A pair counts in its first common shard, which compares it like any other, and once among the pairs of blocks.
+                for p in range(wide):
+                    for r in range(wide):
+                        mine, other = own[i + some, p], own[with_, r]
+                        near &= ~((mine[:, None] == other) & (other >= 0))
+                if cross:
+                    near &= half[i + some][:, None] != half[with_]
+                n[i + some] = near @ mult[with_]
+            for k in np.flatnonzero(n):
+                out_cls.append(int(cls[rows[k]]))
+                out_n.append(int(n[k]))
+            linked = np.flatnonzero(bits.any(1))
+            for i, j in spanning_forest(len(linked), lambda i, left: np.unpackbits(bits[linked[i]], count=m)[linked[left]].view(bool)):
+                out_a.append(int(cls[rows[linked[i]]]))
+                out_b.append(int(cls[rows[linked[j]]]))
         return pa.table(
             {
                 "cls": pa.array(out_cls + [None] * len(out_a), pa.int64()),
@@ -217,7 +92,7 @@ def _search(threshold: float, degree: int, beam: int):
     return run
 
 
-def vector_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int = 3, degree: int = 24, pool: int = 64, alpha: float = 1.2, beam: int = 32) -> DataFrame:
+def vector_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int = 3) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding).
 
     Links are pairs with cosine >= ``threshold`` in double precision. Vectors that are null,
@@ -226,11 +101,9 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int
     count, so copies cost nothing; each repeated row counts as a further vector.
 
     Centres are fitted on at most ``SAMPLE`` vectors; every class goes to its ``overlap``
-    nearest shards. Each shard builds a robust-pruned graph; the adjacency lists of a class
-    from all its shards are united; best-first search from the shard's medoids, whose beam
-    widens while it is in range, finds the neighbourhood of each vector; and within what the
-    search connects, cosines are verified and counted block by block. Shards above ``BLOCK``
-    vectors are worked on in pairs of blocks. ``recall`` audits the result.
+    nearest shards. Each shard compares all its pairs, so a pair with a common shard is always
+    found; one without is not. Shards above ``BLOCK`` vectors are worked on in pairs of blocks.
+    ``recall`` audits the result.
     """
     n = partitions(vectors, 2.0)
     whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull()
@@ -268,11 +141,9 @@ def vector_duplicates(vectors: DataFrame, threshold: float = 0.95, overlap: int
     spread = spread.join(F.broadcast(blocks), ["dim", "shard"])  # at most CENTRES rows a length
     spread = spread.withColumnRenamed("blocks", "parts")
     spread = in_blocks(spread, "shard", "cls", "parts").withColumn("blocks", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    spread = checkpointed(spread.withColumn("task", F.pmod(F.xxhash64("dim", "shard", "lo", "hi"), F.lit(max(n, 64)))))
-    built = spread.select("task", "dim", "shard", "lo", "hi", "cls", "embedding").groupBy("task").applyInArrow(_build(degree, pool, alpha), "cls long, links array<long>")
-    united = built.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
-    graph = spread.join(united, "cls", "left").select("task", "dim", "shard", "lo", "hi", "cls", "copies", "blocks", "embedding", "homes", "links")
-    found = checkpointed(graph.groupBy("task").applyInArrow(_search(threshold, degree, beam), "cls long, n long, a long, b long"))
+    spread = spread.withColumn("task", F.pmod(F.xxhash64("dim", "shard", "lo", "hi"), F.lit(max(n, 64))))
+    spread = spread.select("task", "dim", "shard", "lo", "hi", "cls", "copies", "blocks", "embedding", "homes")
+    found = checkpointed(spread.groupBy("task").applyInArrow(_compare(threshold), "cls long, n long, a long, b long"))
     counts = found.filter("cls IS NOT NULL").groupBy("cls").agg(F.sum("n").alias("n"))
     component = connected_components(found.filter("a IS NOT NULL").select("a", "b"))
     final = classes.select("embedding", "cls", "copies").join(counts, "cls", "left").join(component, F.col("cls") == F.col("node"), "left")
