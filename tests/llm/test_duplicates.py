@@ -231,3 +231,13 @@ def test_no_group_of_near_copies_is_lost(spark, monkeypatch):
     found = vector_duplicates(df)
     assert sorted(tuple(r) for r in found.collect()) == exact_vectors(rows)
     assert recall(df, found, every=5) == 1.0
+
+
+def test_links_found_in_any_common_shard_count_once(spark, monkeypatch):
+    import tidemark.llm.vectors as v
+
+    rows = many_groups(11, 12)
+    monkeypatch.setattr(v, "SHARD", len(rows) // 8)  # 8 shards, each class in 3
+    got, want = sorted(tuple(r) for r in vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), exact_vectors(rows)
+    short = [(a, b) for a, b in zip(got, want) if a[2:] == b[2:] and a[1] != b[1]]  # the forest links them, the count does not
+    assert not short and got == want
