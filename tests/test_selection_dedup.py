@@ -59,6 +59,34 @@ def test_greedy_fill_takes_all_if_there_is_room(spark):
     assert S.greedy_fill(S.reserve_and_cap(df, ["k"], 1, 3, 2, hard=True), ["k"]).count() == 3
 
 
+def test_greedy_fill_query_chooses_among_all_candidates(spark):
+    from tidemark.plans.selection_queries import QUERIES, rows
+
+    sf = "/root/testdata/sf0.001"
+    r = rows(spark, sf).withColumn("importance", F.col("score") / 1e5).withColumn("signature", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(256)).cast("int") for i in range(16)]))
+    groups = {}
+    for x in S.reserve_and_cap(r, ["grp"], 1, 20, 6).collect():
+        groups.setdefault(x.grp, []).append(x)
+    want = set()
+    for g, xs in groups.items():
+        xs.sort(key=lambda x: x.pos)
+        kept, free = ([x for x in xs if x.status == s] for s in ("reserved", "free"))
+        times = [float(x.t) for x in kept + free]
+        quarter = max(max(times) - min(times), 1.0) / 4
+
+        def gain(x):
+            far = min([1.0, *(sum(abs(x.signature[j] - y.signature[j]) for j in (0, 4, 8, 12)) / 4 / 12 for y in kept)])
+            gap = min([1.0, *(abs(float(x.t) - float(y.t)) / quarter for y in kept)])
+            return 0.5 * float(x.importance) + 0.3 * far + 0.2 * gap
+
+        while free and len(kept) < xs[0].cap_eff:
+            best = max(free, key=gain)
+            kept.append(best)
+            free.remove(best)
+        want |= {(g, x.id) for x in kept}
+    assert {(x.grp, x.id) for x in QUERIES["greedy_fill"][0](spark, sf).collect()} == want
+
+
 def test_sheets_and_random_times_follow_pythons_generator(spark):
     import random
 

@@ -106,6 +106,7 @@ def greedy_fill(rows: DataFrame, keys: list[str]) -> DataFrame:
         shown = t[kept | free]
         span = max(shown.max() - shown.min(), 1.0)
         novelty, gap = np.ones(len(pdf)), np.ones(len(pdf))
+        importance = pdf["importance"].to_numpy(float)
 
         def see(i: int) -> None:
             np.minimum(novelty, np.minimum(1.0, np.abs(sig[:, ::4] - sig[i, ::4]).mean(1) / 12), out=novelty)
@@ -114,13 +115,14 @@ def greedy_fill(rows: DataFrame, keys: list[str]) -> DataFrame:
         for i in np.flatnonzero(kept):
             see(i)
         for _ in range(max(0, slots)):
-            score = np.where(free, 0.5 * pdf["importance"].to_numpy(float) + 0.3 * novelty + 0.2 * gap, -np.inf)
+            score = np.where(free, 0.5 * importance + 0.3 * novelty + 0.2 * gap, -np.inf)
             i = int(score.argmax())
             kept[i], free[i] = True, False
             see(i)
         return pdf.assign(kept=kept)
 
-    return rows.groupBy(*keys).applyInPandas(fill, schema).filter("kept").drop("kept")
+    # Rows lost to the cap are neither kept nor seen by the choice.
+    return rows.filter("status IN ('reserved', 'free')").groupBy(*keys).applyInPandas(fill, schema).filter("kept").drop("kept")
 
 
 def coverage_status(chapters: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,7 +52,7 @@ def cap_with_floor(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def greedy_fill(spark: SparkSession, sf: str) -> DataFrame:
-    r = rows(spark, sf).filter("id % 7 = 0").withColumn("importance", F.col("score") / 1e5).withColumn("signature", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(256)).cast("int") for i in range(16)]))
+    r = rows(spark, sf).withColumn("importance", F.col("score") / 1e5).withColumn("signature", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(256)).cast("int") for i in range(16)]))
     return S.greedy_fill(S.reserve_and_cap(r, ["grp"], 1, 20, 6), ["grp"]).select("grp", "id", "status")
 
 
