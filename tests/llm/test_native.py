@@ -151,6 +151,13 @@ def test_contamination(spark):
     assert kept.columns == frame(spark, clash=True).columns and {60, 63} & {r.doc_id for r in kept.collect()} == {60}
 
 
+def test_texts_that_share_an_item_id_are_found_each(spark):
+    items = [(1, "the cat sat on the mat and looked at the moon all night"), (1, "seven grey ships went down to sea in storm and heavy rain again"), (1, "a far shorter line of seven words"), (2, "quite another item of the benchmark")]
+    rows = [(70 + i, f"alpha beta gamma {t} delta epsilon") for i, (_, t) in enumerate(items)] + [(80, "alpha beta gamma delta epsilon zeta eta theta iota")]
+    out = C.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_ids, r.similarity, r.kept) for r in out.collect()) == [(70, [1], 1.0, False), (71, [1], 1.0, False), (72, [1], 1.0, False), (73, [2], 1.0, False), (80, [], 0.0, True)]
+
+
 @pytest.mark.parametrize("radius", [3, 20])
 def test_blocks_guarantee_the_radius(spark, radius):
     rows = [(i, j) for i in range(200) for j in range(1)]

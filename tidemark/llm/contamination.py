@@ -51,21 +51,22 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def benchmark_items(benchmark: DataFrame, size: int, radius: int) -> DataFrame:
-    """item_id, m (words), k (words of a shingle), the distinct shingles with count and weight, code, blocks.
+    """item_id, words_key (a hash of the words), m (words), k (words of a shingle), the distinct shingles with count and weight, code, blocks.
 
     The weight of a shingle is ln(1 + items / items that hold it), in thousandths. Items
     without a word are left out; shorter ones than ``size`` words have one shingle of all.
+    Different texts with one item_id are items of their own.
     """
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", words_of(F.col("text")).alias("words")).distinct()
-    items = items.withColumn("m", F.size("words")).filter("m > 0").withColumn("k", F.least(F.lit(size), "m"))
+    items = items.withColumn("words_key", F.xxhash64("words")).withColumn("m", F.size("words")).filter("m > 0").withColumn("k", F.least(F.lit(size), "m"))
     items = items.withColumn("shingles", shingles_of(F.col("words"), F.col("k")))
-    one = items.select("item_id", "m", "k", F.explode("shingles").alias("h")).groupBy("item_id", "m", "k", "h").agg(F.count("*").alias("c"))
+    one = items.select("item_id", "words_key", "m", "k", F.explode("shingles").alias("h")).groupBy("item_id", "words_key", "m", "k", "h").agg(F.count("*").alias("c"))
     held = one.groupBy("h").agg(F.countDistinct("item_id").alias("df"))
     total = items.agg(F.countDistinct("item_id").alias("items"))
     weight = F.round(F.log(1 + F.col("items") / F.col("df")) * ONE).cast("long")
     full = one.join(held, "h").crossJoin(F.broadcast(total)).withColumn("w", weight).withColumn("top", F.round(F.log(1 + F.col("items")) * ONE).cast("long"))  # total: one row
-    packed = full.groupBy("item_id", "m", "k").agg(F.array_sort(F.collect_list(F.struct("h", "c", "w"))).alias("bag"), F.max("top").alias("top"))
-    again = items.select("item_id", "m", "words", "shingles").join(packed, ["item_id", "m"])
+    packed = full.groupBy("item_id", "words_key", "m", "k").agg(F.array_sort(F.collect_list(F.struct("h", "c", "w"))).alias("bag"), F.max("top").alias("top"))
+    again = items.select("item_id", "words_key", "m", "words", "shingles").join(packed, ["item_id", "words_key", "m"])
     mine = lambda h: F.coalesce(F.get(F.filter("bag", lambda b: b["h"] == h), 0)["w"], F.col("top"))
     return again.withColumn("code", simhash(F.col("shingles"), mine)).withColumn("blocks", blocks_of(F.col("code"), radius))
 
@@ -131,17 +132,17 @@ def _verified(windows: DataFrame, items: DataFrame, percent: int, radius: int) -
     mine = lambda h: F.coalesce(F.try_element_at("weights", h), F.col("top"))
     coded = checkpointed(windows.withColumn("code", simhash(F.col("shingles"), mine)).drop("weights", "top"))
     probes = coded.select("doc_id", "text_key", "m", "start", "code", F.explode(blocks_of(F.col("code"), radius)).alias("block"))
-    index = items.select("item_id", "m", F.col("code").alias("item_code"), F.explode("blocks").alias("block"))
+    index = items.select("item_id", "words_key", "m", F.col("code").alias("item_code"), F.explode("blocks").alias("block"))
     near = (
         probes.join(small(index), ["m", "block"])
         .filter(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= radius)
-        .select("doc_id", "text_key", "m", "start", "item_id")
+        .select("doc_id", "text_key", "m", "start", "item_id", "words_key")
         .distinct()
     )
-    near = near.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("m").alias("m_"), F.col("start").alias("start_"), "item_id")
+    near = near.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("m").alias("m_"), F.col("start").alias("start_"), "item_id", "words_key")
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("text_key").eqNullSafe(F.col("key_")) & (F.col("m") == F.col("m_")) & (F.col("start") == F.col("start_"))
-    pairs = coded.select("doc_id", "text_key", "m", "start", "shingles").join(near, same).select("doc_id", "text_key", "start", "item_id", "shingles")
-    pairs = pairs.join(small(items.select("item_id", "bag", "top")), "item_id")
+    pairs = coded.select("doc_id", "text_key", "m", "start", "shingles").join(near, same).select("doc_id", "text_key", "start", "item_id", "words_key", "shingles")
+    pairs = pairs.join(small(items.select("item_id", "words_key", "bag", "top")), ["item_id", "words_key"])
     both, either = similarity(F.col("shingles"), F.col("bag"), F.col("top"))
     return (
         pairs.select("doc_id", "text_key", "item_id", "start", both.alias("both"), either.alias("either"))
