@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +51,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table written below the shared folder.
+
+    Unlike a checkpoint's, its columns are pruned and its size is known to the optimizer, whose
+    estimates would otherwise multiply from round to round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table of fixed-size rows is broadcast.
+SMALL = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table, cut off from its lineage, with a broadcast hint if it has at most ``SMALL`` rows; for rows of a few numbers."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def partitions(df: DataFrame, mb: float = 8.0) -> int:
@@ -120,28 +136,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Bytes are mapped to random odd words before they are summed up.
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
-
-
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _inverse(odd: int) -> int:
-    x = odd
-    for _ in range(6):
-        x = x * (2 - odd * x) % (1 << 64)
-    return x
-
-
 class Words:
     """The words of a slice of texts, hashed without a Python loop.
 
@@ -162,7 +160,7 @@ class Words:
             data = _LOWER[data]
         self.data = data
         inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = ~_SPACES[data]
+        inside[1:-1] = ~SPACES[data]
         edge = inside[1:] != inside[:-1]
         cut = ends[1:-1]  # a word also ends where its text does
         cut = cut[(cut > 0) & (cut < len(data))]
@@ -173,26 +171,61 @@ class Words:
         self.start, self.end = at[0::2], at[1::2]
         self.doc = (np.searchsorted(ends, self.start, "right") - 1).astype(np.int64)
         self.first = np.searchsorted(self.start, ends)
-        power = _powers(len(data) + 1, _ODD)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[:-1], out=total[1:])
-        back = _powers(len(data) + 1, np.uint64(_inverse(int(_ODD))))
-        h = (total[self.end] - total[self.start]) * back[self.start]
-        self.hash = mix64(h + (self.end - self.start).astype(np.uint64) * _MIX[0])
+        self.hash = self.hashed(0)
+
+    def hashed(self, salt: int) -> np.ndarray:
+        """64-bit hashes of the words, independent for each ``salt``.
+
+        Eight bytes at a time go through a finalizer keyed by their place and the salt; a word
+        is the mixed sum of its parts and its length. No sum of powers is involved, so there is
+        no family of strings that collides whatever the key; words of up to eight bytes collide
+        with none of their length.
+        """
+        size = self.end - self.start
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        eight = np.ndarray(len(self.data) + 1, np.uint64, padded, 0, (1,))
+        seed = mix64(np.array([2 * salt + 1], np.uint64))[0]
+
+        def part(at, left, place):
+            x = eight[at]
+            few = np.minimum(left, 8).astype(np.uint64)
+            x &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - few * np.uint64(8))
+            return mix64(x ^ place)
+
+        h = part(self.start, size, mix64(np.array([seed], np.uint64))[0])
+        long_ = np.flatnonzero(size > 8)
+        if len(long_):
+            parts = (size[long_] - 1) >> 3  # those after the first
+            cut = np.concatenate([[0], np.cumsum(parts)])
+            k = np.arange(1, cut[-1] + 1) - np.repeat(cut[:-1], parts)
+            of = np.repeat(long_, parts)
+            more = part(self.start[of] + 8 * k, size[of] - 8 * k, mix64(k.astype(np.uint64) * _ODD + seed))
+            h[long_] += np.add.reduceat(more, cut[:-1])
+        return mix64(h ^ mix64(size.astype(np.uint64) * _MIX[0] + seed))
 
     def __len__(self) -> int:
         return len(self.hash)
 
 
-def window_hash(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
-    """Hashes of every ``size`` consecutive words; ``out[i]`` starts at word i (document ends are the caller's)."""
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(a * _ODD + b)
+
+
+def window_hash(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every ``size`` consecutive words; ``out[i]`` starts at word i (document ends are the caller's).
+
+    Neighbouring runs are paired through the finalizer, doubling their length, as in a hash tree.
+    """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = mix64(np.array([salt * 2 + 1], np.uint64))[0] | np.uint64(1)
-    power = _powers(len(words) + 1, base)
-    total = np.zeros(len(words) + 1, np.uint64)
-    x = mix64(words + np.uint64(salt)) if salt else words
-    np.cumsum(x * power[:-1], out=total[1:])
-    back = _powers(n, np.uint64(_inverse(int(base))))
-    return mix64((total[size:] - total[:n]) * back + np.uint64(size))
+    level, step, out, done = words, 1, None, 0
+    while True:
+        if size & step:
+            out = level[:n] if out is None else _pair(out, level[done : done + n])
+            done += step
+        if done == size:
+            return mix64(out + np.uint64(size))
+        level = _pair(level[:-step], level[step:])
+        step *= 2

@@ -5,32 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed
 
+#: Edges of one node that a task looks at; more are dealt over several, so that at most ``HUBS`` nodes are dealt.
+HUB, HUBS = 10_000, 100_000
+#: Members of a block and their weight: two blocks are compared in one task.
+BLOCK, WEIGHT = 1024, 1_000_000
+#: Members that speak for a part of a block.
+SPEAKERS = 8
 
-#: Tasks that the edges of one node are dealt over.
-PARTS = 8
 
-
-def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is its smallest node.
 
     Alternating large-star and small-star steps: each round links every node to the smallest
     node it can see, and the number of rounds grows with the logarithm of the longest path.
-    Hubs are dealt over ``PARTS`` tasks; nothing but two numbers per round reaches the driver.
+    The edges of hubs are dealt over tasks, in proportion to their number; the list of hubs
+    that is broadcast holds at most 2 * ``HUBS`` nodes. Nothing but two numbers per round
+    reaches the driver.
     """
     star = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     star = checkpointed(star)
-    seen = None
-    for _ in range(most):
+    seen = star.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    while True:
+        share = max(HUB, seen[0] // HUBS)
         both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.floor(F.count("*") / share).cast("int").alias("parts")).select("u", F.least("u", "m").alias("m"), "parts")
+        hubs = low.filter("parts > 0").select("u", "parts")
         # A hub's edges are dealt over several tasks, each with its own copy of the hub's one row.
-        low = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        dealt = both.filter("v > u").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+        low = low.withColumn("part", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts")
+        dealt = both.filter("v > u").join(F.broadcast(hubs), "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts") + 1).cast("int"), F.lit(0)))
         large = dealt.join(low, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v")))
@@ -39,12 +47,22 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = star.select(F.col("v").alias("u")).distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def segments(*columns: np.ndarray):
+    """Row numbers of each run of equal values, after sorting."""
+    if not len(columns[0]):
+        return
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    yield from np.split(order, np.flatnonzero(new))
+
+
 def in_blocks(members: DataFrame, key: str, item: str, blocks: str) -> DataFrame:
     """Each row once for every pair of blocks it belongs to.
 
@@ -80,3 +98,91 @@ def spanning_forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> li
                 queue.extend(found)
                 left = left[~hit]
     return edges
+
+
+_EDGES = "a long, b long"
+#: ``near(i, others)`` for the rows of a table of members, from its ``payload``.
+Near = Callable[[pa.Table, np.ndarray], Callable[[int, np.ndarray], np.ndarray]]
+
+
+def _forests(near: Near):
+    """Spanning forests of each (key, lo)."""
+
+    def run(t):
+        cls = t.column("cls").to_numpy()
+        a, b = [], []
+        for rows in segments(t.column("lo").to_numpy(), t.column("key").to_numpy()):
+            if len(rows) > 1:
+                for i, j in spanning_forest(len(rows), near(t, rows)):
+                    a.append(cls[rows[i]])
+                    b.append(cls[rows[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _across(near: Near):
+    """In each (key, lo, hi), edges from rows that are ``left`` to members of other labels, one a label."""
+
+    def run(t):
+        cls, left, label = (t.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "left", "label"))
+        a, b = [], []
+        for rows in segments(t.column("hi").to_numpy(), t.column("lo").to_numpy(), t.column("key").to_numpy()):
+            test = near(t, rows)
+            asking, others = np.flatnonzero(left[rows]), np.flatnonzero(~left[rows])
+            for i in asking.tolist():
+                other = others[label[rows[others]] != label[rows[i]]]
+                hit = other[test(i, other)] if len(other) else other
+                for j in hit[np.unique(label[rows[hit]], return_index=True)[1]]:
+                    a.append(cls[rows[i]])
+                    b.append(cls[rows[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _shard(n: int, *cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int").alias("shard")
+
+
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("weight") / WEIGHT)).cast("int")
+
+
+def grouped_links(members: DataFrame, near: Near, n: int) -> DataFrame:
+    """Edges (a, b) that connect the members of every group as far as the links among them do.
+
+    ``members`` has key, cls, weight (long) and payload. Groups of a block's size are one
+    task's. Larger ones are dealt into blocks: a spanning forest of each block, then one of the
+    ``SPEAKERS`` of each of its trees; what is still apart from a group's largest tree is
+    compared with all the group, in pairs of blocks. So a group of mutual copies costs its
+    members, and no link between trees is lost whatever the group looks like.
+    """
+    members = checkpointed(members)
+    size = members.groupBy("key").agg(_blocks().alias("blocks"))
+    placed = members.join(size, "key").withColumn("lo", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    edges = checkpointed(placed.select(_shard(n, "key", "lo"), "key", "lo", "cls", "payload").groupBy("shard").applyInArrow(_forests(near), _EDGES))
+    large = size.filter("blocks > 1")
+    if not large.limit(1).count():
+        return edges
+    large = checkpointed(members.join(large, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        tree = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("label"))
+        return large.join(tree, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+    turn = F.row_number().over(Window.partitionBy("key", "block", "label").orderBy(F.xxhash64("cls", F.lit(1))))
+    speakers = checkpointed(labelled(edges).withColumn("turn", turn).filter(F.col("turn") <= SPEAKERS).select("key", "cls", "weight", "payload"))
+    size = speakers.groupBy("key").agg(_blocks().alias("blocks"))
+    speakers = speakers.join(size, "key").withColumn("lo", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int"))
+    edges = checkpointed(edges.unionByName(speakers.select(_shard(n, "key", "lo"), "key", "lo", "cls", "payload").groupBy("shard").applyInArrow(_forests(near), _EDGES)))
+    now = checkpointed(labelled(edges))
+    trees = now.groupBy("key", "label").agg(F.count("*").alias("rows"))
+    first = trees.groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"))
+    apart = now.join(first, "key").filter("label != largest").drop("largest")
+    size = apart.groupBy("key").agg(_blocks().alias("asking"))
+    asking = apart.join(size, "key").withColumn("lo", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("asking")).cast("int"))
+    asking = asking.withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.lit(True))
+    asked = now.join(size, "key").withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).withColumn("hi", F.col("block")).withColumn("left", F.lit(False))
+    rows = asking.unionByName(asked).select(_shard(n, "key", "lo", "hi"), "key", "lo", "hi", "cls", "label", "left", "payload")
+    return edges.unionByName(rows.groupBy("shard").applyInArrow(_across(near), _EDGES))

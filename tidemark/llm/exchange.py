@@ -22,10 +22,23 @@ TOLD = "pid int, shard int, tag int, vals binary"
 
 
 def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts distinct keys by shard and key, and where each shard begins in it."""
+    """The order that sorts ascending keys by shard, and where each shard begins in it."""
     shard = keys % np.uint64(shards)
-    order = np.lexsort((keys, shard))
-    return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+    shard = shard.astype(np.uint16 if shards <= 1 << 16 else np.uint64)  # the former are sorted by radix
+    order = np.argsort(shard, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(shard.astype(np.int64), minlength=shards))]).astype(np.int64)
+
+
+def short_keys(keys: np.ndarray, shards: int, size: int = 5) -> np.ndarray:
+    """The low ``size`` bytes of keys divided by the number of shards, as rows of bytes: with its shard, a key keeps 8 * size + log2(shards) bits."""
+    return np.ascontiguousarray((keys // np.uint64(shards)).view(np.uint8).reshape(-1, 8)[:, :size])
+
+
+def long_keys(raw: np.ndarray, size: int = 5) -> np.ndarray:
+    """Short keys of one shard as numbers."""
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = raw.reshape(-1, size)
+    return out.view(np.uint64).ravel()
 
 
 def blobs(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -43,48 +56,53 @@ def unpacked(column: pa.ChunkedArray | pa.Array, dtype) -> tuple[np.ndarray, np.
     return np.frombuffer(b"".join(parts), dtype), cuts
 
 
-def question(pid: int, keys: np.ndarray, vals: np.ndarray, shards: int) -> pa.Table:
-    """Rows of ``ASKED`` for distinct keys."""
+def question(pid: int, keys: np.ndarray, vals: np.ndarray, shards: int, short: bool = False) -> pa.Table:
+    """Rows of ``ASKED`` for ascending keys; ``short`` sends five bytes a key."""
     order, cuts = by_shard(keys, shards)
     there = np.flatnonzero(np.diff(cuts))
     cut = np.append(cuts[there], cuts[-1])
-    return pa.table({"shard": pa.array(there, pa.int32()), "pid": pa.array(np.full(len(there), pid), pa.int32()), "keys": blobs(keys[order], cut), "vals": blobs(vals[order], cut)})
+    sent = keys[order]
+    sent = short_keys(sent, shards).view("V5").ravel() if short else sent
+    return pa.table({"shard": pa.array(there, pa.int32()), "pid": pa.array(np.full(len(there), pid), pa.int32()), "keys": blobs(sent, cut), "vals": blobs(vals[order], cut)})
 
 
-def answered(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], dtype, tag: int) -> DataFrame:
-    """Rows of ``TOLD``. ``answer`` gets a shard's keys, values and the distinct keys' numbers, and returns a value for each key asked."""
+def answered(asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype, tag: int, bits: int = 0, short: bool = False) -> DataFrame:
+    """Rows of ``TOLD``. ``answer`` gets a shard's keys and values and returns a value for each key asked, or ``bits`` rows of booleans."""
 
     def run(t):
-        keys, cuts = unpacked(t.column("keys"), np.uint64)
+        if short:
+            raw, cuts = unpacked(t.column("keys"), np.uint8)
+            keys, cuts = long_keys(raw), cuts // 5
+        else:
+            keys, cuts = unpacked(t.column("keys"), np.uint64)
         vals, _ = unpacked(t.column("vals"), dtype)
-        out, size = answer(keys, vals)
+        out = answer(keys, vals)
         pid = t.column("pid").combine_chunks()
         shard = t.column("shard").combine_chunks()
-        if size:  # of a whole value
-            packed = blobs(out, cuts)
+        if bits:
+            packed = pa.array([np.packbits(out[:, i:j], axis=1).tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
         else:
-            rows = [np.packbits(out[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
-            packed = pa.array([r.tobytes() for r in rows], pa.binary())
+            packed = blobs(out, cuts)
         return pa.table({"pid": pid, "shard": shard, "tag": pa.array(np.full(len(pid), tag), pa.int32()), "vals": packed})
 
     return asked.groupBy("shard").applyInArrow(run, TOLD)
 
 
-def told_bits(told: pa.Table, tag: int, keys: np.ndarray, shards: int) -> np.ndarray:
-    """The bit that was answered for each of the distinct keys a group asked."""
-    out = np.zeros(len(keys), bool)
+def told_bits(told: pa.Table, tag: int, keys: np.ndarray, shards: int, bits: int = 1) -> np.ndarray:
+    """The ``bits`` rows of booleans that were answered for the ascending keys a group asked."""
+    out = np.zeros((bits, len(keys)), bool)
     if not len(keys):
         return out
     order, cuts = by_shard(keys, shards)
     for shard, t, vals in zip(*(told.column(c).to_pylist() for c in ("shard", "tag", "vals"))):
         if t == tag:
             i, j = cuts[shard], cuts[shard + 1]
-            out[order[i:j]] = np.unpackbits(np.frombuffer(vals, np.uint8), count=j - i).astype(bool)
+            out[:, order[i:j]] = np.unpackbits(np.frombuffer(vals, np.uint8).reshape(bits, -1), axis=1, count=j - i)
     return out
 
 
 def told_values(told: pa.Table, tag: int, keys: np.ndarray, shards: int, dtype) -> np.ndarray:
-    """The value that was answered for each of the distinct keys a group asked."""
+    """The value that was answered for each of the ascending keys a group asked."""
     out = np.zeros(len(keys), dtype)
     if not len(keys):
         return out

@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, checkpointed, mix64, partitions, rows_of, spare, window_hash
-from tidemark.llm.components import connected_components, in_blocks, spanning_forest
+from tidemark.llm.common import SPACES, Words, checkpointed, mix64, partitions, rows_of, spare, window_hash
+from tidemark.llm.components import connected_components, grouped_links
 from tidemark.llm.exchange import unpacked
 
-#: Members of a block: two blocks are compared in one task.
-BLOCK = 1024
-#: Shingles of a block, likewise.
-BLOCK_SHINGLES = 1_000_000
-
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, row after row, and where each row's begin.
@@ -94,8 +90,49 @@ class CirculantMinHash:
         return key
 
 
+def exact_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``shingle_sets``, with numbers in place of hashes: two shingles of these texts have one number only if their words are the same.
+
+    Words are numbered by a dictionary of their bytes, runs by the pair of their halves' numbers.
+    """
+    w = Words(texts, lower=True)
+    count = np.diff(w.first)
+    letters = np.ascontiguousarray(w.data[~SPACES[w.data]])
+    offsets = np.concatenate([[0], np.cumsum(w.end - w.start)]).astype(np.int64)
+    spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    word = spelled.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+    def pair(a, b):
+        return pd.factorize(a * (int(b.max()) + 1 if len(b) else 1) + b)[0]
+
+    n = len(word) - size + 1
+    if n > 0:
+        level, step, run, done = word, 1, None, 0
+        while True:
+            if size & step:
+                run = level[:n] if run is None else pair(run, level[done : done + n])
+                done += step
+            if done == size:
+                break
+            level = pair(level[:-step], level[step:])
+            step *= 2
+        doc = w.doc[:n]
+        whole = w.doc[size - 1 :] == doc
+        run, doc = run[whole], doc[whole]
+    else:
+        run, doc = word[:0], w.doc[:0]
+    few = np.flatnonzero((count > 0) & (count < size))  # shorter texts differ, else they were one class
+    run, doc = np.concatenate([run, len(word) + few]), np.concatenate([doc, few])
+    order = np.lexsort((run, doc))
+    run, doc = run[order], doc[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])
+    run, doc = run[new], doc[new]
+    return run, np.searchsorted(doc, np.arange(len(count) + 1))
+
+
 def sketched(docs: DataFrame, size: int, method: CirculantMinHash) -> DataFrame:
-    """doc_id, n_shingles, the 128-bit digest (k1, k2) of the set, band keys and a sketch of one byte a coordinate."""
+    """doc_id, text_key (a hash of the text), n_shingles, the 128-bit digest (k1, k2) of the set, band keys and a sketch of one byte a coordinate."""
 
     def run(batches):
         for b in rows_of(batches):
@@ -114,108 +151,63 @@ def sketched(docs: DataFrame, size: int, method: CirculantMinHash) -> DataFrame:
                 for r, i in enumerate(some.tolist()):
                     bands[i], sketch[i] = keys[r], low[r].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(k[0].astype(np.int64)), pa.array(k[1].astype(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(n.astype(np.int64)), pa.array(k[0].astype(np.int64)), pa.array(k[1].astype(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "k1", "k2", "bands", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
-def _segments(*columns: np.ndarray):
-    """Row numbers of each run of equal values, after sorting."""
-    if not len(columns[0]):
-        return
-    order = np.lexsort(columns)
-    new = np.zeros(len(order), bool)
-    for c in columns:
-        c = c[order]
-        new[1:] |= c[1:] != c[:-1]
-    yield from np.split(order, np.flatnonzero(new))
+def _alike(least: float):
+    """Sketches that agree in ``least`` of their coordinates."""
 
+    def of(t, rows):
+        raw, cuts = unpacked(t.column("payload").take(pa.array(rows)), np.uint8)
+        width = int(cuts[1])
+        raw = raw.reshape(-1, width)
+        return lambda i, others: (raw[others] == raw[i]).sum(1) >= least * width
 
-def _forest_of_sketches(least: float):
-    """Edges (a, b) that connect the members of each bucket whose sketches agree in ``least`` of their coordinates."""
+    return of
 
-    def run(t):
-        key, lo, hi, cls = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "cls"))
-        raw, cuts = unpacked(t.column("sketch"), np.uint8)
-        width = int(cuts[1]) if len(cuts) > 1 else 1
-        raw = raw.reshape(-1, width)
-        a, b = [], []
-        for rows in _segments(hi, lo, key):
-            if len(rows) < 2:
-                continue
-            s = raw[rows]
-            for i, j in spanning_forest(len(rows), lambda i, left: (s[left] == s[i]).sum(1) >= least * width):
-                a.append(cls[rows[i]])
-                b.append(cls[rows[j]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def _forest_of_sets(percent: int):
-    """Edges (a, b) that connect the members of each cluster with 100 * |intersection| >= percent * |union|."""
-
-    def run(t):
-        cluster, lo, hi, cls = (t.column(c).to_numpy() for c in ("cluster", "lo", "hi", "cls"))
-        raw, cuts = unpacked(t.column("shingles"), np.uint64)
-        a, b = [], []
-        for rows in _segments(hi, lo, cluster):
-            if len(rows) < 2:
-                continue
-            size = cuts[rows + 1] - cuts[rows]
-            at = np.concatenate([[0], np.cumsum(size)])
-            _, token = np.unique(np.concatenate([raw[cuts[r] : cuts[r + 1]] for r in rows]), return_inverse=True)
-            mark = np.zeros(int(token.max()) + 1, bool)
-
-            def near(i, left):
-                mine = token[at[i] : at[i + 1]]
-                mark[mine] = True
-                fits = (100 * size[left] >= percent * size[i]) & (100 * size[i] >= percent * size[left])
-                both = np.zeros(len(left), np.int64)
-                for k in np.flatnonzero(fits).tolist():
-                    j = left[k]
-                    both[k] = np.count_nonzero(mark[token[at[j] : at[j + 1]]])
-                mark[mine] = False
-                return fits & (100 * both >= percent * (size[i] + size[left] - both))
-
-            for i, j in spanning_forest(len(rows), near):
-                a.append(cls[rows[i]])
-                b.append(cls[rows[j]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
 
+def _similar(percent: int, size: int):
+    """Texts with 100 * |intersection| >= percent * |union| of their shingle sets."""
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = 32, rows: int = 6, slack: float = 0.15) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+    def of(t, rows):
+        texts = t.column("payload").take(pa.array(rows)).combine_chunks()
+        token, at = exact_sets(pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts, size)
+        many = np.diff(at)
+        mark = np.zeros(int(token.max(initial=0)) + 1, bool)
 
-    Documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``size``
-    lower-cased word shingles (fewer words: the whole sequence); component_id is the smallest
-    doc_id reachable and kept marks it. Null and empty texts have no shingles and are linked
-    with nothing. Rows that repeat an id are compared like any others. Rows without an id
-    are linked with nothing: component_id is null, kept true.
+        def near(i, others):
+            mine = token[at[i] : at[i + 1]]
+            mark[mine] = True
+            fits = (100 * many[others] >= percent * many[i]) & (100 * many[i] >= percent * many[others])
+            both = np.zeros(len(others), np.int64)
+            for k in np.flatnonzero(fits).tolist():
+                j = others[k]
+                both[k] = np.count_nonzero(mark[token[at[j] : at[j + 1]]])
+            mark[mine] = False
+            return fits & (100 * both >= percent * (many[i] + many[others] - both))
 
-    1. Equal sets become one class, whatever their number.
-    2. Circulant signatures in ``bands`` x ``rows``: at the threshold a pair shares no band with
-       probability (1 - t**rows)**bands, 3e-7 for 0.85.
-    3. Each bucket (buckets of equal members once) yields a spanning forest of the classes whose
-       sketches agree in threshold - ``slack`` of the coordinates (six standard deviations);
-       large buckets are split into pairs of blocks. Their components are the clusters.
-    4. Each class sends its full set to its cluster once; exact links yield a spanning forest,
-       large clusters again in pairs of blocks; its components are the result.
+        return near
 
-    Pairs are never listed: a group of copies costs its members, not their square.
-    """
+    return of
+
+
+def _repeated(rows: DataFrame) -> bool:
+    """Whether a text stands twice with one id."""
+    return rows.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count() > 0
+
+
+def _components(docs: DataFrame, percent: int, size: int, bands: int, rows: int, slack: float) -> DataFrame:
+    """doc_id, text_key, n_shingles, component (a number of its own; null without shingles), component_id for every row; see ``near_duplicates``."""
     method = CirculantMinHash(bands, rows)
     n = partitions(docs)
     sig = checkpointed(sketched(docs, size, method))
     named = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = checkpointed(
-        named.groupBy("k1", "k2").agg(F.min("doc_id").alias("cls"), F.min("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    )
-    sketches = classes.select("cls", "sketch")
+    classes = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("n_shingles").alias("weight"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = checkpointed(classes.select("k1", "k2", F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"), "weight", "bands", "sketch").withColumn("cls", F.monotonically_increasing_id()))
     banded = classes.select("cls", F.explode("bands").alias("key"))
     buckets = (
         banded.groupBy("key")
@@ -223,47 +215,67 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
         .filter("members > 1")
         .groupBy("members", "x", "y")
         .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    )
-    met = banded.join(buckets, "key").join(sketches, "cls")
-    shard = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n)).cast("int")
-    candidate = in_blocks(met, "key", "cls", "blocks").select(shard.alias("shard"), "key", "lo", "hi", "cls", "sketch").groupBy("shard").applyInArrow(_forest_of_sketches(percent / 100 - slack), "a long, b long")
-    cluster = connected_components(candidate).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
-    cluster = checkpointed(cluster)
-    weighed = classes.select("cls", "n_shingles").join(cluster, "cls")
-    blocks = weighed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = cluster.join(blocks, "cluster")
-
-    def with_sets(batches):
-        for b in rows_of(batches):
-            h, cuts = shingle_sets(b.column("text"), size)
-            sets = [h[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("cluster"), b.column("blocks"), pa.array(sets, pa.binary())], ["cls", "cluster", "blocks", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("cls"), "text").filter("text IS NOT NULL AND cls IS NOT NULL")
-    sets = texts.join(placed, "cls").select("cls", "cluster", "blocks", "text").mapInArrow(with_sets, "cls long, cluster long, blocks int, shingles binary").filter("octet_length(shingles) > 0")
-    shard = F.pmod(F.xxhash64("cluster", "lo", "hi"), F.lit(n)).cast("int")
-    links = in_blocks(sets, "cluster", "cls", "blocks").select(shard.alias("shard"), "cluster", "lo", "hi", "cls", "shingles").groupBy("shard").applyInArrow(_forest_of_sets(percent), "a long, b long")
-    component = connected_components(links).select(F.col("node").alias("cls"), "component")
-    final = checkpointed(classes.select("k1", "k2", "cls").join(component, "cls", "left").select("k1", "k2", F.coalesce("component", "cls").alias("component_id")))
-    return (
-        sig.select("doc_id", "n_shingles", "k1", "k2")
-        .join(final, ["k1", "k2"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .select("key")
     )
+    met = banded.join(buckets, "key").join(classes.select("cls", F.lit(0).cast("long").alias("weight"), F.col("sketch").alias("payload")), "cls")
+    candidate = grouped_links(met, _alike(percent / 100 - slack), n)
+    cluster = checkpointed(connected_components(candidate).select(F.col("node").alias("cls"), F.col("component").alias("key")))
+    wanted = classes.select("doc_id", "text_key", "cls", "weight").join(cluster, "cls")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("payload"))
+    texts = texts.join(wanted, ["doc_id", "text_key"]).select("key", "cls", "weight", "payload")
+    if _repeated(named):
+        texts = texts.dropDuplicates(["cls"])
+    component = connected_components(grouped_links(texts, _similar(percent, size), n)).select(F.col("node").alias("cls"), "component")
+    # A component is named by the smallest id of its classes.
+    labels = classes.select("k1", "k2", "cls", "doc_id").join(component, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    final = checkpointed(labels.join(least, "component").select("k1", "k2", "component", "component_id"))
+    # Texts without shingles match no class; their keys spread them.
+    spread = sig.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).otherwise(F.xxhash64("doc_id")).alias("k1"), "k2")
+    found = spread.join(final, ["k1", "k2"], "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return found.select("doc_id", "text_key", "n_shingles", "component", own.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = 32, rows: int = 6, slack: float = 0.15) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``size``
+    lower-cased word shingles (fewer words: the whole sequence); component_id is the smallest
+    doc_id reachable and kept marks it. Null and empty texts have no shingles and are linked
+    with nothing. Rows that repeat an id are compared like any others. Rows without an id
+    are linked with nothing: component_id is null, kept true. Very long texts are whole; one
+    text is held by one task at a time.
+
+    1. Equal sets become one class, whatever their number.
+    2. Circulant signatures in ``bands`` x ``rows``: at the threshold a pair shares no band with
+       probability (1 - t**rows)**bands, 3e-7 for 0.85.
+    3. Each bucket (buckets of equal members once) connects the classes whose sketches agree in
+       threshold - ``slack`` of the coordinates (six standard deviations); the components are
+       the clusters.
+    4. Each class sends its text to its cluster once; links are confirmed on the words of the
+       full sets, and their components are the result.
+
+    Pairs are never listed (``components.grouped_links``): a group of copies costs its members.
+    """
+    found = _components(docs, percent, size, bands, rows, slack).drop("text_key", "component")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def first_of_each(docs: DataFrame, **how) -> DataFrame:
+def first_of_each(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = 32, rows: int = 5, slack: float = 0.15) -> DataFrame:
     """The rows of ``docs`` that near-duplicate groups keep: the smallest id of each, once. All columns stay.
 
-    Rows without an id stay; repeated rows of a kept document stay once.
+    Of several texts of a group with that id, one stays; a text that shares its id with a
+    dropped one, but no group, stays too. Repeated rows (id and text) of a kept text stay once,
+    texts without a word included. Rows without an id all stay.
     """
-    (mark,) = spare(docs, "text_key")
-    dropped = near_duplicates(docs.select("doc_id", "text"), **how).filter("NOT kept").select(F.col("doc_id").alias(f"{mark}_id")).distinct()
-    left = docs.join(dropped, F.col("doc_id") == F.col(f"{mark}_id"), "left_anti")
-    return left.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
+    (mark, id_, odd) = spare(docs, "text_key", "text_key_id", "text_key_row")
+    found = checkpointed(_components(docs.select("doc_id", "text"), percent, size, bands, rows, slack).filter("doc_id IS NOT NULL"))
+    some = found.filter("n_shingles > 0")
+    first = some.filter("doc_id = component_id").groupBy("component").agg(F.min("text_key").alias("first_key"))
+    gone = some.join(first, "component").filter("doc_id != component_id OR text_key != first_key").select(F.col("doc_id").alias(id_), F.col("text_key").alias(mark)).distinct()
+    left = docs.withColumn(odd, F.xxhash64("text"))
+    left = left.join(gone, (F.col("doc_id") == F.col(id_)) & (F.col(odd) == F.col(mark)), "left_anti")
+    if _repeated(found):  # rows without an id are told apart by their place
+        left = left.withColumn(mark, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", odd, mark])
+    return left.select(*docs.columns)

@@ -11,37 +11,17 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import Words, dealt, partitions, text_slices, window_hash
 from tidemark.llm.exchange import ASKED, answered, joined, question, told_bits
 
-#: Words in the shingle that stands for a block.
-SHINGLE = 7
-_CHECK = np.dtype([("check", np.uint32), ("n", np.uint8)])
 
+def runs(w: Words, block: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and hashes of every run of ``block`` words, and which of them are reference blocks.
 
-def anchors(w: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word positions, keys and index marks of the blocks of a slice.
-
-    Every run of ``block`` words within a text is a probe; the runs at multiples of ``block``
-    are the indexed reference blocks. The key of a run is its smallest shingle hash, so a run
-    gets the same key wherever it stands, and neighbouring runs mostly share theirs.
+    Runs are rolling, within texts that have ``window`` words at least; reference blocks are
+    those that tile a text from its first word.
     """
-    g = window_hash(w.hash, SHINGLE)
-    wide = block - SHINGLE + 1
-    n = len(g) - wide + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    whole = w.doc[block - 1 :][:n] == w.doc[:n]
-    starts = np.flatnonzero(whole)
-    low, at = g[:n].copy(), np.zeros(n, np.int64)
-    for i in range(1, wide):
-        less = g[i : i + n] < low
-        low[less] = g[i : i + n][less]
-        at[less] = i
-    at = starts + at[starts]
-    index = (starts - w.first[w.doc[starts]]) % block == 0
-    place = np.zeros(len(g), np.uint8)
-    place[at] = 1
-    place[at[index]] = 2
-    spots = np.flatnonzero(place)
-    return spots, g[spots], place[spots] == 2
+    h = window_hash(w.hash, block)
+    doc = w.doc[: len(h)]
+    starts = np.flatnonzero((w.doc[block - 1 :] == doc) & (np.diff(w.first)[doc] >= window))
+    return starts, h[starts], (starts - w.first[w.doc[starts]]) % block == 0
 
 
 def _slices(table: pa.Table):
@@ -52,71 +32,56 @@ def _slices(table: pa.Table):
         yield i, j, texts.slice(i, j - i)
 
 
-def _distinct(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys; for each whether it stands at one place or more, and whether any is indexed."""
-    k, back, n = np.unique(keys, return_inverse=True, return_counts=True)
-    indexed = np.zeros(len(k), bool)
-    indexed[back[marks]] = True
-    return k, (np.minimum(n, 2) | (indexed << 2)).astype(np.uint8)
-
-
-def _group_anchors(table: pa.Table, block: int):
-    spots, keys, marks, words = [], [], [], []
-    for i, j, texts in _slices(table):
+def _group_runs(table: pa.Table, block: int, window: int):
+    """The words of a group's slices with their runs; the distinct keys of all runs, each run's number, and which are reference blocks."""
+    found = []
+    for _, _, texts in _slices(table):
         w = Words(texts)
-        s, k, m = anchors(w, block)
-        spots.append(s)
-        keys.append(k)
-        marks.append(m)
-        words.append(w)
-    return words, spots, keys, marks
-
+        found.append((w, *runs(w, block, window)))
+    keys, back, places = np.unique(joined((f[2] for f in found), np.uint64), return_inverse=True, return_counts=True)
+    return found, keys, back, places
 
-def _candidates(w: Words, spots: np.ndarray, window: int) -> np.ndarray:
-    """Starts of the windows that hold a repeated shingle at one of ``spots``."""
-    n = len(w)
-    open_ = np.zeros(n + 1, np.int64)
-    doc_first, doc_last = w.first[w.doc[spots]], w.first[w.doc[spots] + 1] - window
-    low = np.maximum(spots - (window - SHINGLE), doc_first)
-    high = np.minimum(spots, doc_last)
-    good = low <= high
-    np.add.at(open_, low[good], 1)
-    np.add.at(open_, high[good] + 1, -1)
-    return np.flatnonzero(np.cumsum(open_[:-1]) > 0)
 
+def _group_windows(table: pa.Table, told: pa.Table, shards: int, block: int, window: int):
+    """The group's words, and the windows that may stand elsewhere too: starts, keys and checks for each slice.
 
-def _window_keys(w: Words, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    return window_hash(w.hash, window)[starts], (window_hash(w.hash, window, 77)[starts] >> np.uint64(32)).astype(np.uint32)
-
-
-def _distinct_windows(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their check and saturated number of places, and each window's number.
-
-    Should two different windows of one group share the 64-bit key (one group in 10**7 at a
-    million windows), the later ones get number -1 and are kept.
+    A hit is a reference block that a run at another place meets. It is extended to both
+    sides as long as the rolling runs, too, stand at another place; windows within what it
+    has then grown to go on.
     """
-    k, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    c = check[first]
-    odd = check != c[back]
-    n = n - np.bincount(back[odd], minlength=len(k)) if odd.any() else n
-    out = np.empty(len(k), _CHECK)
-    out["check"], out["n"] = c, np.minimum(n, 2)
-    return k, out, np.where(odd, -1, back)
+    found, keys, back, _ = _group_runs(table, block, window)
+    again, indexed = told_bits(told, 0, keys, shards, 2)
+    again, hit = again[back], (again & indexed)[back]
+    at, out = 0, []
+    for w, starts, _, _ in found:
+        mine = slice(at, at + len(starts))
+        at += len(starts)
+        n = len(w) - window + 1
+        if n <= 0 or not hit[mine].any():
+            out.append((w, starts[:0], np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+            continue
+        sums = np.zeros((2, len(w) + 1), np.int64)
+        sums[0, starts[again[mine]] + 1] = 1
+        sums[1, starts[hit[mine]] + 1] = 1
+        sums = np.cumsum(sums, axis=1)
+        wide = window - block + 1  # runs of a window
+        grown = sums[:, wide : wide + n] - sums[:, :n]
+        of = np.flatnonzero((grown[0] == wide) & (grown[1] > 0) & (w.doc[window - 1 :] == w.doc[:n]))
+        out.append((w, of, window_hash(w.hash, window)[of], window_hash(w.hashed(1), window)[of]) if len(of) else (w, of, np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+    return out
 
 
-def _group_windows(table: pa.Table, told: pa.Table, shards: int, block: int, window: int):
-    """The group's texts with the windows that may repeat elsewhere."""
-    words, spots, keys, _ = _group_anchors(table, block)
-    k, back = np.unique(joined(keys, np.uint64), return_inverse=True)
-    hit = told_bits(told, 0, k, shards)[back]
-    at, found = 0, []
-    for w, s in zip(words, spots):
-        starts = _candidates(w, s[hit[at : at + len(s)]], window)
-        at += len(s)
-        found.append((w, starts, *_window_keys(w, starts, window)))
-    return found
+def _distinct_windows(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows (key and check), ascending, whether they stand at more than one place, and each window's number."""
+    check = check & ~np.uint64(1)
+    order = np.lexsort((check, key))
+    k, c = key[order], check[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    number = np.empty(len(k), np.int64)
+    number[order] = np.cumsum(new) - 1
+    more = np.bincount(number, minlength=int(new.sum())) > 1
+    return k[new], c[new] | more.astype(np.uint64), number
 
 
 def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = True) -> DataFrame:
@@ -127,52 +92,58 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = True)
     are places of their own. Null and empty texts have no words; kept_sha256 is then the hash
     of nothing. Texts shorter than ``window`` words are kept.
 
-    Reference blocks of ``(window + 1) // 2`` words tile each text, so every window holds one;
-    all rolling runs probe them (key: smallest shingle hash). Where a probe meets a block at
-    another place, the windows around are compared by 96-bit hashes over the whole corpus,
-    which extends the hit to exactly the maximal repeats. Both look-ups are packed exchanges:
-    linear in the input, whatever the number of copies.
+    1. Non-overlapping reference blocks of ``(window + 1) // 2`` words tile each text, so every
+       window holds one; every rolling run of that length probes them.
+    2. A hit is extended word by word to both sides as long as the runs still stand at another
+       place, which gives the longest stretches that can repeat.
+    3. Their windows are compared over the whole corpus by two independent hashes (over 100
+       bits together), so that what is removed is exactly the maximal repeats.
+
+    Steps 1 and 3 are packed exchanges: linear in the input, whatever the number of copies, and
+    a run or window that many texts share reaches its shard once a group of texts.
     """
+    if window < 2:
+        raise ValueError("window must be at least 2 words")
     block = (window + 1) // 2
-    if block < SHINGLE:
-        raise ValueError(f"window must be at least {2 * SHINGLE - 1} words")
     n = partitions(docs)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(dealt(docs, n, "doc_id", "text").alias("pid"), "doc_id", "text")
 
-    def ask_blocks(key, t):
-        _, _, keys, marks = _group_anchors(t, block)
-        k, vals = _distinct(joined(keys, np.uint64), joined(marks, bool))
-        return question(key[0].as_py(), k, vals, n)
+    def ask_runs(key, t):
+        found, k, back, places = _group_runs(t, block, window)
+        vals = np.minimum(places, 2).astype(np.uint8)
+        vals[back[joined((f[3] for f in found), bool)]] |= 4
+        return question(key[0].as_py(), k, vals, n, short=True)
 
     def meet(keys, vals):
         k, back = np.unique(keys, return_inverse=True)
         places = np.bincount(back, vals & 3, minlength=len(k))
         indexed = np.bincount(back, vals >> 2, minlength=len(k))
-        return ((places >= 2) & (indexed >= 1))[back], 0
+        return np.stack([(places >= 2)[back], (indexed >= 1)[back]])
 
-    def ask_windows(key, t, told):
+    def windows_of(t, told):
         found = _group_windows(t, told, n, block, window)
-        k, vals, _ = _distinct_windows(joined((f[2] for f in found), np.uint64), joined((f[3] for f in found), np.uint32))
-        pid = key[0].as_py()
-        return question(pid, k, vals, n)
+        return found, *_distinct_windows(joined((f[2] for f in found), np.uint64), joined((f[3] for f in found), np.uint64))
+
+    def ask_windows(key, t, told):
+        _, k, vals, _ = windows_of(t, told)
+        return question(key[0].as_py(), k, vals, n, short=True)
 
     def same(keys, vals):
-        order = np.lexsort((vals["check"], keys))
-        k, c = keys[order], vals["check"][order]
+        one = np.uint64(1)
+        order = np.lexsort((vals, keys))
+        k, c = keys[order], vals[order] & ~one
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         group = np.cumsum(new) - 1
-        places = np.bincount(group, vals["n"][order])
-        out = np.empty(len(k), bool)
-        out[order] = places[group] >= 2
-        return out, 0
+        places = np.bincount(group, 1 + (vals[order] & one).astype(np.int64))
+        out = np.empty((1, len(k)), bool)
+        out[0, order] = places[group] >= 2
+        return out
 
     def remove(key, t, told):
-        found = _group_windows(t, told, n, block, window)
-        k, _, back = _distinct_windows(joined((f[2] for f in found), np.uint64), joined((f[3] for f in found), np.uint32))
-        bits = told_bits(told, 1, k, n)
-        hit = bits[back] & (back >= 0) if len(k) else np.zeros(0, bool)
+        found, k, _, back = windows_of(t, told)
+        hit = told_bits(told, 1, k, n)[0][back]
         n_words, n_removed, digests, kept = [], [], [], []
         at = 0
         for (w, starts, _, _), (i, j, texts) in zip(found, _slices(t)):
@@ -198,9 +169,9 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = True)
         return pa.table(out | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
 
     groups = rows.groupBy("pid")
-    blocks = answered(groups.applyInArrow(ask_blocks, ASKED), meet, np.uint8, 0)
-    windows = answered(groups.cogroup(blocks.groupBy("pid")).applyInArrow(ask_windows, ASKED), same, _CHECK, 1)
-    told = blocks.unionByName(windows)
+    met = answered(groups.applyInArrow(ask_runs, ASKED), meet, np.uint8, 0, bits=2, short=True)
+    windows = answered(groups.cogroup(met.groupBy("pid")).applyInArrow(ask_windows, ASKED), same, np.uint64, 1, bits=1, short=True)
+    told = met.unionByName(windows)
     return groups.cogroup(told.groupBy("pid")).applyInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
