@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, spare
+from tidemark.llm.common import checkpointed, small, spare
 
-#: Rows up to which a table of anchors, items or windows is broadcast; beyond it Catalyst joins by shuffle.
-SMALL = 200_000
 BITS = 64
 #: Fixed-point one of the shingle weights.
 ONE = 1000
@@ -24,17 +22,16 @@ def shingles_of(words: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
 
 
-def simhash(shingles: Column, weight) -> Column:
-    """64 bits: whether the weights of the shingles that have the bit outweigh the others'."""
-    pairs = F.transform(shingles, lambda h: F.struct(h.alias("h"), weight(h).alias("w")))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(BITS - 1)),
-        F.lit(0).cast("long"),
-        lambda acc, b: F.when(
-            F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: s + F.when(F.getbit(p["h"], b) == 1, p["w"]).otherwise(-p["w"])) > 0,
-            acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)),
-        ).otherwise(acc),
-    )
+def fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The SimHash ``code`` of each group of ``rows`` (keys, h, w): for each of 64 bits, whether the weights of the shingles that have it outweigh the others'.
+
+    A native aggregation: one sum a bit, made before the shuffle as far as rows of a group stand together.
+    """
+    bits = [F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"b{b}") for b in range(BITS)]
+    code = F.lit(0).cast("long")
+    for b in range(BITS):
+        code = code.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return rows.groupBy(*keys).agg(*bits).select(*keys, code.alias("code"))
 
 
 def blocks_of(code: Column, radius: int) -> Column:
@@ -44,31 +41,26 @@ def blocks_of(code: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("at"), F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The table, checkpointed, with a broadcast hint if it has at most ``SMALL`` rows."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def benchmark_items(benchmark: DataFrame, size: int, radius: int) -> DataFrame:
-    """item_id, words_key (a hash of the words), m (words), k (words of a shingle), the distinct shingles with count and weight, code, blocks.
+    """item (a number), item_id, m (words), k (words of a shingle), shingles, the distinct ones with count and weight, code, blocks.
 
-    The weight of a shingle is ln(1 + items / items that hold it), in thousandths. Items
-    without a word are left out; shorter ones than ``size`` words have one shingle of all.
-    Different texts with one item_id are items of their own.
+    The weight of a shingle is ln(1 + items / items that hold it), in thousandths; ``top`` is
+    that of one that a single item holds. Items without a word are left out; shorter ones than
+    ``size`` words have one shingle of all. Different texts with one item_id are items of
+    their own; repeated rows are one.
     """
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", words_of(F.col("text")).alias("words")).distinct()
-    items = items.withColumn("words_key", F.xxhash64("words")).withColumn("m", F.size("words")).filter("m > 0").withColumn("k", F.least(F.lit(size), "m"))
-    items = items.withColumn("shingles", shingles_of(F.col("words"), F.col("k")))
-    one = items.select("item_id", "words_key", "m", "k", F.explode("shingles").alias("h")).groupBy("item_id", "words_key", "m", "k", "h").agg(F.count("*").alias("c"))
+    items = items.withColumn("m", F.size("words")).filter("m > 0").withColumn("k", F.least(F.lit(size), "m")).withColumn("item", F.monotonically_increasing_id())
+    items = checkpointed(items.withColumn("shingles", shingles_of(F.col("words"), F.col("k"))).drop("words"))
+    one = items.select("item", "item_id", F.explode("shingles").alias("h")).groupBy("item", "item_id", "h").agg(F.count("*").alias("c"))
     held = one.groupBy("h").agg(F.countDistinct("item_id").alias("df"))
     total = items.agg(F.countDistinct("item_id").alias("items"))
     weight = F.round(F.log(1 + F.col("items") / F.col("df")) * ONE).cast("long")
     full = one.join(held, "h").crossJoin(F.broadcast(total)).withColumn("w", weight).withColumn("top", F.round(F.log(1 + F.col("items")) * ONE).cast("long"))  # total: one row
-    packed = full.groupBy("item_id", "words_key", "m", "k").agg(F.array_sort(F.collect_list(F.struct("h", "c", "w"))).alias("bag"), F.max("top").alias("top"))
-    again = items.select("item_id", "words_key", "m", "words", "shingles").join(packed, ["item_id", "words_key", "m"])
-    mine = lambda h: F.coalesce(F.get(F.filter("bag", lambda b: b["h"] == h), 0)["w"], F.col("top"))
-    return again.withColumn("code", simhash(F.col("shingles"), mine)).withColumn("blocks", blocks_of(F.col("code"), radius))
+    full = checkpointed(full)
+    codes = fingerprints(full.select("item", "h", F.explode(F.array_repeat("w", F.col("c").cast("int"))).alias("w")), ["item"])
+    packed = full.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("h", "c", "w"))).alias("bag"), F.max("top").alias("top"))
+    return items.join(packed, "item").join(codes, "item").withColumn("blocks", blocks_of(F.col("code"), radius))
 
 
 def similarity(shingles: Column, bag: Column, top: Column) -> tuple[Column, Column]:
@@ -87,18 +79,20 @@ def similarity(shingles: Column, bag: Column, top: Column) -> tuple[Column, Colu
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80, radius: int = 20) -> DataFrame:
     """(doc_id, text_key, item_id, start, similarity): windows of ``docs`` that hold a benchmark item.
 
-    A window has as many words as the item (or is the whole text if that is shorter) and
-    stands where a shingle of the text matches one of the item, so that the two coincide:
-    without a common shingle the similarity is 0. Fingerprints of windows and items of one
-    size meet if they share one of ``radius`` + 1 blocks, which misses none within the radius;
-    those at most ``radius`` apart are verified by exact weighted-shingle similarity (at least
-    ``percent``). At a similarity of 0.8 a fingerprint differs in 10 bits of 64 on average
-    (standard deviation 2.9), so a radius of 20 leaves out 1 in 10,000 at the very threshold.
+    A window has as many words as the item, or is the whole text if that is shorter; it may
+    start at any word. Fingerprints of windows and items of one size meet if they share one of
+    ``radius`` + 1 blocks, which misses none within the radius; those at most ``radius`` apart
+    are verified by exact weighted-shingle similarity (at least ``percent``). At a similarity of
+    0.8 a fingerprint differs in 10 bits of 64 on average (standard deviation 2.9), so a
+    radius of 20 leaves out 1 in 10,000 at the very threshold.
+
+    No window is fingerprinted that cannot reach ``percent``: as no shingle outweighs an unknown
+    one, ``percent`` of its shingles at least must be the item's own. Windows with so many are
+    read off the places where shingles of items stand in a text, whatever their order.
     text_key is a hash of the text, for rows that repeat an id.
     """
     items = checkpointed(benchmark_items(benchmark, size, radius))
-    anchors = items.select("item_id", "m", "k", F.posexplode("shingles").alias("offset", "h"))
-    anchors = anchors.groupBy("k", "h", "m").agg(F.collect_set("offset").alias("offsets"))
+    anchors = items.select("item", "m", "k", F.explode(F.array_distinct("shingles")).alias("h"))
     sizes = [r.k for r in items.select("k").distinct().limit(size).collect()]  # 1 to ``size``
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
     texts = texts.withColumn("n", F.size("words"))
@@ -110,39 +104,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
     seen = parts[0]
     for p in parts[1:]:
         seen = seen.unionByName(p)
-    met = seen.join(small(anchors), ["k", "h"]).select("doc_id", "text_key", "n", "k", "m", F.explode("offsets").alias("offset"), "at")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("m")))
-    spots = met.select("doc_id", "text_key", "k", "m", start.alias("start")).distinct()
-    spots = spots.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("k", "m", "start")).alias("spots"))
-    spots = small(spots).withColumnRenamed("text_key", "key_").withColumnRenamed("doc_id", "id_")
+    met = seen.join(small(anchors), ["k", "h"]).groupBy("doc_id", "text_key", "n", "k", "m", "item").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    # Runs of as many places as a window needs, and the starts of the windows that hold one.
+    met = met.withColumn("need", F.ceil((F.least("n", "m") - F.col("k") + 1) * percent / 100).cast("int")).filter(F.size("places") >= F.col("need"))
+    last = F.greatest(F.lit(0), F.col("n") - F.col("m"))
+    run = lambda j: F.struct(F.greatest(F.lit(0), F.least(last, F.element_at("places", j + F.col("need") - 1) - F.col("m") + F.col("k"))).alias("low"), F.least(last, F.element_at("places", j)).alias("high"))
+    runs = F.filter(F.transform(F.sequence(F.lit(1), F.size("places") - F.col("need") + 1), run), lambda r: r["low"] <= r["high"])
+    starts = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["low"], r["high"]))))
+    spots = met.select("doc_id", "text_key", "k", "m", F.explode(starts).alias("start")).distinct()
+    spots = checkpointed(spots.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("k", "m", "start")).alias("spots")))
+    spots = spots.withColumnRenamed("text_key", "key_").withColumnRenamed("doc_id", "id_")
     rows = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     rows = rows.join(spots, (F.col("text_key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).dropDuplicates(["doc_id", "text_key"])
     rows = rows.select("doc_id", "text_key", words_of(F.col("text")).alias("words"), "spots")
     windows = rows.select("doc_id", "text_key", "words", F.explode("spots").alias("s")).select("doc_id", "text_key", "s.m", "s.k", "s.start", F.slice("words", F.col("s.start") + 1, F.col("s.m")).alias("words"))
-    windows = windows.withColumn("shingles", shingles_of(F.col("words"), F.col("k"))).drop("words")
-    return _verified(windows, items, percent, radius)
+    windows = windows.withColumn("shingles", shingles_of(F.col("words"), F.col("k"))).drop("words").withColumn("window", F.monotonically_increasing_id())
+    return _verified(checkpointed(windows), items, percent, radius)
 
 
 def _verified(windows: DataFrame, items: DataFrame, percent: int, radius: int) -> DataFrame:
     """Windows whose fingerprint is near an item's and whose similarity is high enough."""
-    weights = items.select("m", "item_id", F.explode("bag").alias("b"), "top").groupBy("m").agg(
-        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("b.h", "b.w")))).alias("weights"), F.max("top").alias("top")
-    )
-    windows = windows.join(F.broadcast(weights), "m")
-    mine = lambda h: F.coalesce(F.try_element_at("weights", h), F.col("top"))
-    coded = checkpointed(windows.withColumn("code", simhash(F.col("shingles"), mine)).drop("weights", "top"))
-    probes = coded.select("doc_id", "text_key", "m", "start", "code", F.explode(blocks_of(F.col("code"), radius)).alias("block"))
-    index = items.select("item_id", "words_key", "m", F.col("code").alias("item_code"), F.explode("blocks").alias("block"))
-    near = (
-        probes.join(small(index), ["m", "block"])
-        .filter(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= radius)
-        .select("doc_id", "text_key", "m", "start", "item_id", "words_key")
-        .distinct()
-    )
-    near = near.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("m").alias("m_"), F.col("start").alias("start_"), "item_id", "words_key")
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("text_key").eqNullSafe(F.col("key_")) & (F.col("m") == F.col("m_")) & (F.col("start") == F.col("start_"))
-    pairs = coded.select("doc_id", "text_key", "m", "start", "shingles").join(near, same).select("doc_id", "text_key", "start", "item_id", "words_key", "shingles")
-    pairs = pairs.join(small(items.select("item_id", "words_key", "bag", "top")), ["item_id", "words_key"])
+    weights = items.select(F.explode("bag").alias("b")).select("b.h", "b.w").distinct()
+    top = items.agg(F.max("top").alias("top"))
+    shingles = windows.select("window", F.explode("shingles").alias("h")).join(small(weights), "h", "left").crossJoin(F.broadcast(top))  # one row
+    codes = fingerprints(shingles.select("window", "h", F.coalesce("w", "top").alias("w")), ["window"])
+    probes = windows.select("window", "m").join(codes, "window").select("window", "m", "code", F.explode(blocks_of(F.col("code"), radius)).alias("block"))
+    index = items.select("item", "m", F.col("code").alias("item_code"), F.explode("blocks").alias("block"))
+    near = probes.join(small(index), ["m", "block"]).filter(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= radius).select("window", "item").distinct()
+    pairs = windows.join(near, "window").join(items.select("item", "item_id", "bag", "top"), "item")
     both, either = similarity(F.col("shingles"), F.col("bag"), F.col("top"))
     return (
         pairs.select("doc_id", "text_key", "item_id", "start", both.alias("both"), either.alias("either"))
@@ -155,13 +144,17 @@ def by_document(docs: DataFrame, found: DataFrame, names: tuple[str, str] = ("it
     """Every column of ``docs`` plus the sorted items found and the best similarity, null where nothing was; two free names."""
     key, key2, id_ = spare(docs, "found_key", "found_key2", "found_id")
     best = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias(names[0]), F.max("similarity").alias(names[1]))
-    best = small(best).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), *names)
+    best = checkpointed(best).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), *names)
     joined = docs.withColumn(key2, F.xxhash64("text")).join(best, (F.col(key2) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
     return joined.drop(key, key2, id_)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without a window that holds a benchmark item. All columns stay."""
+    """The rows of ``docs`` without a window that holds a benchmark item. All columns stay.
+
+    Null and empty texts stay, and all rows where the benchmark is empty. Repeated rows fare
+    alike; rows without an id, or that share one, are judged by their own text.
+    """
     items, similarity_ = spare(docs, "item_ids", "similarity")
     found = contaminated(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), **how)
     return by_document(docs, found, (items, similarity_)).filter(F.col(items).isNull()).drop(items, similarity_)
@@ -172,7 +165,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
     kept is false if a window of the text matches a benchmark item (item_id, text); item_ids
     lists those, similarity is the best (0 without one, rounded to 6 places). Null and empty
-    texts and an empty benchmark give no match. Repeated rows each get their own equal result.
+    texts and an empty benchmark give no match. Repeated rows each get their own equal result;
+    rows without an id, or that share one, go by their own text. Item rows without an id are
+    left out; texts that share an item_id are items of their own under one name. Very long
+    texts are whole; equally similar windows count alike.
     """
     docs = docs.select("doc_id", "text")
     rows = by_document(docs, contaminated(docs, benchmark, **how))

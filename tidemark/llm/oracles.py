@@ -47,7 +47,8 @@ bag0 AS (SELECT item_id, m, s, count(*) AS c FROM places GROUP BY ALL), df AS (S
 bag AS (SELECT item_id, m, s, c, round(ln(1 + n / df) * 1000)::BIGINT AS w FROM bag0 JOIN df USING (s), many), top AS (SELECT round(ln(1 + n) * 1000)::BIGINT AS top FROM many),
 docs AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x != '') AS ws FROM documents),
 seen AS (SELECT doc_id, len(ws) AS n, k, unnest({_SHINGLES.format(k="k")}) AS s, unnest(range(0, len(ws) - k + 1)) AS p FROM docs, (SELECT DISTINCT k FROM items) WHERE len(ws) >= k),
-spots AS (SELECT DISTINCT doc_id, k, m, greatest(0, least(p - o, n - m)) AS st FROM seen JOIN places USING (k, s)),
+met AS (SELECT DISTINCT doc_id, n, k, m, p FROM seen JOIN places USING (k, s)),
+spots AS (SELECT DISTINCT doc_id, k, m, unnest(range(greatest(0, least(p - m + k, n - m)), greatest(0, least(p, n - m)) + 1)) AS st FROM met),
 cut AS (SELECT doc_id, k, m, st, ws[st + 1:st + m] AS ws FROM spots JOIN docs USING (doc_id)),
 wbag AS (SELECT doc_id, m, st, s, count(*) AS d FROM (SELECT doc_id, m, st, unnest({_SHINGLES.format(k="k")}) AS s FROM cut) GROUP BY ALL), total AS (SELECT doc_id, m, st, sum(d) AS d FROM wbag GROUP BY ALL),
 pairs AS (SELECT t.doc_id, t.m, t.st, t.d AS all_d, b.item_id, sum(b.w * least(b.c, coalesce(x.d, 0))) AS common, sum(b.w * greatest(b.c, coalesce(x.d, 0))) AS either, sum(coalesce(x.d, 0)) AS known
