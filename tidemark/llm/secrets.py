@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-
+import re
 from dataclasses import dataclass
-from re import _constants as K
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spare
+from tidemark.llm.common import small, spare
 
 #: Alternatives that an exact set of strings may have before it counts as unknown.
 MOST_STRINGS = 64
@@ -54,62 +52,105 @@ def _all(parts: list) -> tuple | None:
     return None if not parts else parts[0] if len(parts) == 1 else ("and", *parts)
 
 
-def _sequence(items) -> tuple[set[str] | None, tuple | None]:
-    """The exact strings of a parsed sequence if few, and its trigram query."""
-    exact: set[str] | None = {""}
-    run, parts = {""}, []
-
-    def close():
-        nonlocal run
-        parts.append(_strings_query(run))
-        run = {""}
-
-    for op, arg in items:
-        sub, query = _node(op, arg)
-        if sub is not None and len(run) * len(sub) <= MOST_STRINGS:
-            run = {a + b for a in run for b in sub}
-            exact = run if exact is not None and len(parts) == 0 else None
-        else:
-            close()
-            if query:
-                parts.append(query)
-            exact = None
-            run = set(sub) if sub is not None else {""}
-    close()
-    return exact, _all(parts)
-
-
-def _node(op, arg) -> tuple[set[str] | None, tuple | None]:
-    if op is K.LITERAL:
-        return {chr(arg).lower()}, None
-    if op is K.SUBPATTERN:
-        return _sequence(arg[-1])
-    if op is K.BRANCH:
-        found = [_sequence(b) for b in arg[1]]
+class _Pattern:
+    """What a regex demands: for each part the exact strings it can stand for, if few, and its trigram query.
+
+    Reads literals, escapes, classes, groups, alternations, quantifiers and anchors; classes
+    that are not short lists, and anything unknown, stand for any string.
+    """
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+
+    def peek(self, n: int = 1) -> str:
+        return self.pattern[self.at : self.at + n]
+
+    def alternatives(self) -> tuple[set[str] | None, tuple | None]:
+        found = [self.sequence()]
+        while self.peek() == "|":
+            self.at += 1
+            found.append(self.sequence())
+        if len(found) == 1:
+            return found[0]
         exact = set().union(*(f[0] for f in found)) if all(f[0] is not None for f in found) else None
         queries = [f[1] or (_strings_query(f[0]) if f[0] is not None else None) for f in found]
         return exact, ("or", *queries) if all(queries) else None
-    if op is K.IN:
-        out: set[str] = set()
-        for kind, x in arg:
-            if kind is K.LITERAL:
-                out.add(chr(x).lower())
-            elif kind is K.RANGE and x[1] - x[0] < 8:
-                out |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
+
+    def sequence(self) -> tuple[set[str] | None, tuple | None]:
+        exact, run, parts = True, {""}, []
+        while self.peek() and self.peek() not in "|)":
+            strings, query = self.repeated()
+            if strings is not None and len(run) * len(strings) <= MOST_STRINGS:
+                run = {a + b for a in run for b in strings}
+                continue
+            exact = False
+            parts += [_strings_query(run), query]
+            run = strings if strings is not None else {""}
+        return run if exact else None, _all([*parts, _strings_query(run)])
+
+    def repeated(self) -> tuple[set[str] | None, tuple | None]:
+        strings, query = self.atom()
+        while m := _TIMES.match(self.pattern, self.at):
+            self.at = m.end()
+            low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(m[1][0]) or (int(m[2]), int(m[4]) if m[4] else None if m[3] else int(m[2]))
+            if strings is not None and high == 1:
+                strings = strings | {""} if low == 0 else strings
+            elif low == 0:
+                strings, query = None, None
             else:
-                return None, None
-        return (out if len(out) <= 8 else None), None
-    if op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT):
-        low, high, body = arg
-        exact, query = _sequence(body)
-        if exact is not None and high == 1:
-            return exact | {""} if low == 0 else exact, query
-        if low == 0:
-            return None, None
-        return None, query or (_strings_query(exact) if exact is not None else None)
-    if op is K.AT:
-        return {""}, None
-    return None, None
+                strings, query = None, query or (_strings_query(strings) if strings is not None else None)
+        return strings, query
+
+    def atom(self) -> tuple[set[str] | None, tuple | None]:
+        c = self.peek()
+        self.at += 1
+        if c == "(":
+            m = _GROUP.match(self.pattern, self.at)
+            self.at = m.end()
+            found = self.alternatives()
+            self.at += 1
+            return found
+        if c == "[":
+            return self.letters(), None
+        if c in "^$":
+            return {""}, None
+        if c == "\\":
+            return self.escaped(), None
+        return (None if c == "." else {c.lower()}), None
+
+    def escaped(self) -> set[str] | None:
+        c = self.peek()
+        self.at += 1
+        if c == "x":
+            self.at += 2
+            return {chr(int(self.pattern[self.at - 2 : self.at], 16)).lower()}
+        if c in "bBAzZ":
+            return {""}
+        return None if c.isalnum() else {c}
+
+    def letters(self) -> set[str] | None:
+        """The members of a class if it lists eight or fewer."""
+        out: set[str] | None = set()
+        if self.peek() == "^":
+            self.at += 1
+            out = None
+        first = self.at
+        while self.peek() != "]" or self.at == first:
+            c = self.peek()
+            self.at += 1
+            one = self.escaped() if c == "\\" else {c}
+            if self.peek() == "-" and self.peek(2) != "-]":
+                self.at += 1
+                to = self.peek()
+                self.at += 1
+                one = {chr(x) for x in range(ord(c), ord(to) + 1)} if c != "\\" and ord(to) - ord(c) < 8 else None
+            out = None if out is None or one is None else out | {x.lower() for x in one}
+        self.at += 1
+        return out if out is not None and len(out) <= 8 else None
+
+
+_TIMES = re.compile(r"([*+?]|\{(\d+)(,(\d*))?\})[?+]?")
+_GROUP = re.compile(r"\?:|\?[a-z]+(?=\))|")
 
 
 def trigram_query(pattern: str) -> tuple | None:
@@ -118,7 +159,7 @@ def trigram_query(pattern: str) -> tuple | None:
     Alternations become "or", literal runs "and"; short optional parts and small classes are
     multiplied out; anything else ends the literal run.
     """
-    exact, query = _sequence(_parser.parse(pattern))
+    exact, query = _Pattern(pattern).alternatives()
     return query
 
 
@@ -126,29 +167,42 @@ def trigrams(query) -> set[str]:
     return set() if not query else {query} if isinstance(query, str) else set().union(*(trigrams(q) for q in query[1:]))
 
 
-def satisfied(query, postings: Column) -> Column:
-    """The query over a row's postings."""
+def satisfied(query, held: Column) -> Column:
+    """The query over the trigrams that a text is posted under."""
     if query is None:
         return F.lit(True)
     if isinstance(query, str):
-        return F.array_contains(postings, query)
-    parts = [satisfied(q, postings) for q in query[1:]]
+        return F.array_contains(held, query)
+    parts = [satisfied(q, held) for q in query[1:]]
     out = parts[0]
     for p in parts[1:]:
         out = (out & p) if query[0] == "and" else (out | p)
     return out
 
 
-def postings(text: Column, wanted: set[str]) -> Column:
-    """Which of the wanted trigrams a text holds, letters in either case."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(wanted)])) if wanted else F.array().cast("array<string>")
+def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = BASE + FURTHER) -> DataFrame:
+    """The inverted index: (trigram, text_key) for every trigram that some rule asks for and every text that holds it.
 
+    Letters in either case. text_key is a hash of the text, so copies are posted once.
+    """
+    wanted = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
+    if not wanted:
+        return docs.select(F.lit("").alias("trigram"), F.lit(0).cast("long").alias("text_key")).filter(F.lit(False))
+    low = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("text_key"), F.lower("text").alias("low"))
+    posted = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted]))
+    return low.select("text_key", F.explode(posted).alias("trigram")).distinct().select("trigram", "text_key")
 
-def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = BASE + FURTHER) -> DataFrame:
-    """The inverted index as a table: (trigram, doc_id) for every trigram that some rule asks for."""
-    wanted = set().union(*(trigrams(trigram_query(r.pattern)) for r in rules))
-    return docs.select("doc_id", F.explode(postings(F.coalesce("text", F.lit("")), wanted)).alias("trigram")).select("trigram", "doc_id")
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """text_key and, for each rule with a query (``rule0``, ``rule1``, ...), whether the intersected postings satisfy it; texts that satisfy none are left out."""
+    queries = [trigram_query(r.pattern) for r in rules]
+    met = index.groupBy("text_key").agg(F.collect_set("trigram").alias("held"))
+    flags = {f"rule{i}": satisfied(q, F.col("held")) for i, q in enumerate(queries) if q is not None}
+    met = met.select("text_key", *[c.alias(n) for n, c in flags.items()])
+    some = F.lit(False)
+    for n in flags:
+        some = some | F.col(n)
+    return met.filter(some)
 
 
 _SPAN = "array<struct<start:bigint,place:int,end:bigint,kind:string>>"
@@ -185,20 +239,24 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
 def found_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + FURTHER, name: str = "_spans") -> DataFrame:
     """Every column of ``docs`` plus an array of spans under a free name, sorted by start and then by the order of the rules.
 
-    Each row keeps its own postings (an index partitioned like the documents): the rules'
-    Boolean queries intersect them, and only texts that satisfy a rule's query are verified by
-    its regex. A rule without mandatory trigrams (hex) scans every text.
+    The rules' Boolean queries intersect the postings of the trigram index; only texts that
+    satisfy a rule's query are verified by its regex. A rule without mandatory trigrams (hex)
+    scans every text. The candidates are fixed-size rows: broadcast while few, else joined by
+    shuffle. A text takes part by its hash; should two texts share one, both are verified.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    queries = [trigram_query(r.pattern) for r in rules]
-    (held,) = spare(docs, "_postings")
-    rows = docs.withColumn(held, postings(text, set().union(*map(trigrams, queries))))
+    key, row, held = spare(docs, "_key", "_row", "_rules")
+    found = small(candidates(trigram_index(docs.select("text"), rules), rules))
+    flags = [c for c in found.columns if c != "text_key"]
+    found = found.select(F.col("text_key").alias(key), F.struct(*flags).alias(held)) if flags else None
+    rows = docs.select(F.struct("*").alias(row), F.xxhash64("text").alias(key), F.coalesce("text", F.lit("")).alias("text"))
+    if found is not None:
+        rows = rows.join(found, key, "left")
     none = F.array().cast(_SPAN)
     parts = []
-    for place, (rule, query) in enumerate(zip(rules, queries)):
-        spans = spans_of(text, rule, place)
-        parts.append(spans if query is None else F.when(satisfied(query, F.col(held)), spans).otherwise(none))
-    return rows.withColumn(name, F.array_sort(F.concat(*parts))).drop(held)
+    for place, rule in enumerate(rules):
+        spans = spans_of(F.col("text"), rule, place)
+        parts.append(F.when(F.col(held)[f"rule{place}"], spans).otherwise(none) if f"rule{place}" in flags else spans)
+    return rows.select(*[F.col(row)[c].alias(c) for c in docs.columns], F.array_sort(F.concat(*parts)).alias(name))
 
 
 def _joined(spans: Column) -> Column:
@@ -210,8 +268,8 @@ def secret_scan(docs: DataFrame, further: tuple[Rule, ...] = FURTHER) -> DataFra
 
     Spans are whole matches in code points. base_sha256 covers the base rules only, spans
     names those of the ``further`` rules too. Null texts count as empty; without spans the
-    digest is that of nothing. Row by row: no shuffle, no Python; repeated rows each get their
-    own equal result.
+    digest is that of nothing. Very long texts are scanned whole. Repeated rows each get their
+    own equal result, rows without an id too.
     """
     rows = found_spans(docs.select("doc_id", "text"), BASE + tuple(further)).select("doc_id", "_spans")
     base = F.filter("_spans", lambda s: s["place"] < len(BASE))
