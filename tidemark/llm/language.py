@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_fold, rows_of, spare
+from tidemark.llm.common import checkpointed, in_fold, rows_of, spare
 
 #: Characters looked at together; texts of any length pass through in such pieces.
 PIECE = 1 << 18
@@ -94,6 +95,9 @@ class Profiles:
         k, n = grams(text)
         if not len(k):
             return UNKNOWN, 0.0
+        return self.nearest(k, n)
+
+    def nearest(self, k: np.ndarray, n: np.ndarray) -> tuple[str, float]:
         mine = ranked(k, n, self.size)
         here = np.arange(len(mine))
         best, least = 0, None
@@ -105,11 +109,12 @@ class Profiles:
         return self.langs[best], float(1 - least / (self.size * len(mine)))
 
 
-def learn_profiles(docs: DataFrame, size: int = 400, keep: int = 4096) -> Profiles:
+def learn_profiles(docs: DataFrame, size: int = 400, keep: int = 4096) -> Iterator[Profiles]:
     """Profiles from the texts of every row outside the held-out fold that has a language.
 
     N-grams are summed up within each task first. Only ``size`` rows a language reach the
-    driver; the number of languages must stay below ``keep``.
+    driver. Beyond ``keep`` languages the profiles come in several parts of about so many, so
+    that no process holds more.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2)).select("lang", "text")
 
@@ -140,29 +145,41 @@ def learn_profiles(docs: DataFrame, size: int = 400, keep: int = 4096) -> Profil
 
     counted = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counted.withColumn("place", place).filter(F.col("place") <= size).select("lang", "gram", "place").limit(size * keep + 1).toArrow()
-    if len(top) > size * keep:
-        raise ValueError(f"more than {keep} languages")
-    ranks: dict[str, list] = {}
-    for lang, gram, place in zip(*(top.column(c).to_pylist() for c in ("lang", "gram", "place"))):
-        ranks.setdefault(lang, []).append((place, gram))
-    return Profiles({k: np.array([g for _, g in sorted(v)], np.uint64) for k, v in ranks.items()}, size)
-
-
-def with_language(docs: DataFrame, profiles: Profiles, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Every column of ``docs`` plus the predicted language and its score under two free names."""
+    top = checkpointed(counted.withColumn("place", place).filter(F.col("place") <= size).select("lang", "gram", "place"))
+    parts = -(-top.filter("place = 1").count() // keep) or 1
+    for part in range(parts):
+        mine = top.filter(F.pmod(F.xxhash64("lang"), F.lit(parts)) == part).toArrow()
+        ranks: dict[str, list] = {}
+        for lang, gram, at in zip(*(mine.column(c).to_pylist() for c in ("lang", "gram", "place"))):
+            ranks.setdefault(lang, []).append((at, gram))
+        yield Profiles({k: np.array([g for _, g in sorted(v)], np.uint64) for k, v in ranks.items()}, size)
+
+
+def with_language(docs: DataFrame, profiles: Iterable[Profiles], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Every column of ``docs`` plus the predicted language and its score under two free names; the best over all parts of the profiles."""
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{names[0]}` string, `{names[1]}` double"
+    columns = docs.columns
+    for part, some in enumerate(profiles):
 
-    def run(batches):
-        for b in rows_of(batches):
-            found = [profiles.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*b.schema.names, *names])
+        def run(batches, some=some, part=part):
+            for b in rows_of(batches):
+                found = [some.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+                if part:
+                    before = zip(b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist())
+                    found = [y if x[0] == UNKNOWN or y[0] != UNKNOWN and (-y[1], y[0]) < (-x[1], x[0]) else x for x, y in zip(found, before)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*columns, *names])
 
-    return docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, schema)
+    return docs
 
 
 def accepted(docs: DataFrame, least: float = 0.1, size: int = 400) -> DataFrame:
-    """The rows of ``docs`` in a language the profiles know: not ``und``, and a score of ``least`` or more. All columns stay."""
+    """The rows of ``docs`` in a language the profiles know: not ``und``, and a score of ``least`` or more. All columns stay.
+
+    Null and empty texts, and those without a letter, go; repeated rows fare alike, rows without
+    an id are judged like any others (and are learned from). Without a row to learn from, all
+    go. Texts are judged whole, however long; ties between languages do not matter here.
+    """
     pred, score = spare(docs, "lang_pred", "score")
     profiles = learn_profiles(docs.select("doc_id", "text", "lang"), size)
     return with_language(docs, profiles, (pred, score)).filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
@@ -174,7 +191,8 @@ def language_id(docs: DataFrame, size: int = 400) -> DataFrame:
     Profiles hold the ``size`` most frequent letter n-grams (1 to 3) of each language's
     training rows (crc32 fold modulo 4 not 2, lang not null). ``und`` with score 0 where the
     text is null or has no letter, or nothing was learned. Repeated rows each get their own
-    equal result; rows without an id count as not held out.
+    equal result; rows without an id count as not held out. Very long texts are counted whole,
+    a piece at a time; equally near languages go by name, equally frequent n-grams by number.
     """
     profiles = learn_profiles(docs, size)
     return with_language(docs.select("doc_id", "text"), profiles).select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import Window
 
 from tidemark.llm.common import SPACE, checkpointed
 
-#: Sources that the driver solves weights for, at most.
+#: Sources whose totals come to the driver; of more, sums of powers do.
 SOURCES = 100_000
 #: Sub-blocks of a permutation: a document's place is known from its sub-block, but for one in so many.
 PARTS = 1024
@@ -28,28 +29,40 @@ class Mix:
 
 
 def solve(tokens: dict, entropy: float, repeats: float, budget: int | None = None, steps: int = STEPS) -> Mix:
+    """``bisected`` over the tokens of sources at hand."""
+    sizes = sorted(n for n in tokens.values() if n > 0)
+    total = sum(sizes)
+    shares = [n / total for n in sizes]
+
+    def moments(a: float) -> tuple[float, float]:
+        power = [p**a for p in shares]
+        return sum(power), sum(x * math.log(p) for x, p in zip(power, shares))
+
+    return bisected(len(sizes), sizes[0] if sizes else 0, sizes[-1] if sizes else 0, total, moments, entropy, repeats, budget, steps)
+
+
+def bisected(many: int, least: int, most: int, total: int, moments: Callable[[float], tuple[float, float]], entropy: float, repeats: float, budget: int | None = None, steps: int = STEPS) -> Mix:
     """Bisect the exponent of the sources' token shares.
 
-    The exponent is the largest in [0, 1] (1: the sources' own shares, 0: all equal) whose
-    weights have at least ``entropy`` times the largest possible entropy. If one source would
-    then be repeated more than ``repeats`` times as often as the one repeated least, the
-    smallest exponent that keeps to that limit is taken instead: the limit wins. Without a
-    ``budget`` the mix is the smallest that holds every document of every source.
+    ``many`` sources have ``least`` to ``most`` tokens, ``total`` together; ``moments(a)`` are the
+    sums of p**a and of p**a * ln(p) over their shares p. The exponent is the largest in [0, 1]
+    (1: the sources' own shares, 0: all equal) whose weights have at least ``entropy`` times the
+    largest possible entropy. If one source would then be repeated more than ``repeats`` times as
+    often as the one repeated least, the smallest exponent that keeps to that limit is taken
+    instead: the limit wins. Without a ``budget`` the mix is the smallest that holds every
+    document of every source.
     """
-    sizes = sorted(n for n in tokens.values() if n > 0)
-    if not sizes:
+    if not many:
         return Mix(1.0, 1.0, 0)
-    total = sum(sizes)
-    shares = [n / total for n in sizes]
+    largest, smallest = most / total, least / total
 
     def level(a: float) -> float:
-        power = [p**a for p in shares]
-        whole = sum(power)
-        return math.log(whole) - a * sum(x * math.log(p) for x, p in zip(power, shares)) / whole
+        whole, logs = moments(a)
+        return math.log(whole) - a * logs / whole
 
     def spread(a: float) -> float:
         """Times that the smallest source is repeated for once of the largest."""
-        return (shares[-1] / shares[0]) ** (1 - a)
+        return (largest / smallest) ** (1 - a)
 
     def bisect(holds, low: float, high: float) -> float:
         """The point of [low, high] nearest to ``high`` up to which ``holds`` stays true."""
@@ -60,15 +73,30 @@ def solve(tokens: dict, entropy: float, repeats: float, budget: int | None = Non
             low, high = (mid, high) if holds(mid) else (low, mid)
         return low
 
-    a = bisect(lambda x: level(x) >= entropy * math.log(len(sizes)), 0.0, 1.0)
+    a = bisect(lambda x: level(x) >= entropy * math.log(many), 0.0, 1.0)
     if spread(a) > repeats:
         a = bisect(lambda x: spread(x) <= repeats, 1.0, a)
-    whole = sum(p**a for p in shares)
+    whole = moments(a)[0]
     if budget is None:  # one token a source more, against rounding
-        budget = math.ceil(sizes[-1] * whole / shares[-1] ** a) + len(sizes)
+        budget = math.ceil(most * whole / largest**a) + many
     return Mix(a, whole, budget)
 
 
+def _solved(totals: DataFrame, entropy: float, repeats: float, budget: int | None) -> tuple[Mix, int, bool]:
+    """The mix for a table of totals (source_, n), the tokens of all sources, and whether the sources are few."""
+    x = totals.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("n") > 0, 1)).alias("many"), F.min(F.when(F.col("n") > 0, F.col("n"))).alias("least"), F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    total = int(x.total or 0)
+    if x.rows <= SOURCES:
+        return solve({r.source_: r.n for r in totals.collect()}, entropy, repeats, budget), total, True
+    share = F.col("n") / F.lit(float(max(total, 1)))
+
+    def moments(a: float) -> tuple[float, float]:
+        power = F.pow(share, F.lit(a))
+        return tuple(totals.filter("n > 0").agg(F.sum(power), F.sum(power * F.log(share))).first())
+
+    return bisected(x.many or 0, x.least or 0, x.most or 0, total, moments, entropy, repeats, budget), total, False
+
+
 def word_count(text: Column) -> Column:
     """Words between the six white-space characters; 0 for null."""
     return F.coalesce(F.size(F.array_remove(F.split(text, f"[{SPACE}]+"), "")), F.lit(0)).cast("long")
@@ -100,46 +128,50 @@ def mixed(docs: DataFrame, entropy: float = 0.97, repeats: float = 4.0, budget:
     document is left out. Documents without a word stand in the whole blocks; a source without
     a word has weight 0 and its documents one copy.
 
-    Sums are made before they are shuffled; only those of sources reach the driver (``SOURCES`` at
-    most). The cut of a source's last block is found from sums over ``PARTS`` sub-ranges of the
+    Null ids, sources and texts, and rows that share an id, are allowed: rows with one id and
+    source share a place, so they are in a block together or not at all; rows of different
+    sources follow their own. Very long texts are counted whole.
+
+    Sums are made before they are shuffled. The totals of up to ``SOURCES`` sources reach the
+    driver and are broadcast; of more, only two sums for each step of the bisection do, and
+    joins are by shuffle. The cut of a source's last block is found from sums over ``PARTS`` sub-ranges of the
     permutation, and only the one sub-range that holds the cut is ordered.
     """
     rows = placed(docs.select(F.struct("*").alias("row_"), "doc_id", "text", "source"), seed)  # no name of docs can clash
     part = F.shiftright("place_", 30).cast("int")  # 1024 sub-ranges of 2**40 places
     sums = checkpointed(rows.groupBy("source_", part.alias("part_")).agg(F.sum("n_tokens").alias("n")))
-    totals = sums.groupBy("source_").agg(F.sum("n").alias("n")).limit(SOURCES + 1).collect()
-    if len(totals) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    mix = solve({r.source_: r.n for r in totals}, entropy, repeats, budget)
-    total = sum(r.n for r in totals if r.n > 0)
+    totals = checkpointed(sums.groupBy("source_").agg(F.sum("n").alias("n")))
+    mix, total, few = _solved(totals, entropy, repeats, budget)
+    hint = F.broadcast if few else lambda df: df  # one row a source
     some = F.col("n") > 0
     weight = F.when(some, F.pow(F.col("n") / F.lit(float(max(total, 1))), F.lit(mix.exponent)) / F.lit(mix.whole)).otherwise(0.0)
     share = F.floor(F.col("weight") * F.lit(float(mix.budget))).cast("long")
-    plan = sums.groupBy("source_").agg(F.sum("n").alias("n")).withColumn("weight", weight)
+    plan = totals.withColumn("weight", weight)
     plan = plan.select("source_", "weight", F.when(some, F.floor(share / F.col("n"))).otherwise(1).cast("long").alias("blocks_"), F.when(some, share % F.col("n")).otherwise(0).alias("rest_"))
     # Where each source's last block ends: in which sub-range, and how many tokens it takes of that.
     before = F.sum("n").over(Window.partitionBy("source_").orderBy("part_")) - F.col("n")
     cut = (
         sums.withColumn("before", before)
-        .join(F.broadcast(plan), "source_")
+        .join(hint(plan), "source_")
         .filter("before <= rest_ AND rest_ < before + n AND rest_ > 0")
         .select("source_", F.col("part_").alias("cut_"), (F.col("rest_") - F.col("before")).alias("left_"))
     )
     plan = plan.join(cut, "source_", "left")
-    rows = rows.join(F.broadcast(plan), "source_").withColumn("part_", part)  # one row a source
+    rows = rows.join(hint(plan), "source_").withColumn("part_", part)  # one row a source
     edge = rows.filter("part_ = cut_").select("source_", "place_", "n_tokens", "left_")
     edge = edge.groupBy("source_", "place_").agg(F.sum("n_tokens").alias("n"), F.first("left_").alias("left_"))
     upto = F.sum("n").over(Window.partitionBy("source_").orderBy("place_"))
     ends = edge.withColumn("upto", upto).filter("upto <= left_").groupBy("source_").agg(F.max("place_").alias("end_"))
-    rows = rows.join(F.broadcast(ends), "source_", "left")
+    rows = rows.join(hint(ends), "source_", "left")
     again = F.when(F.col("part_") < F.col("cut_"), 1).when((F.col("part_") == F.col("cut_")) & (F.col("place_") <= F.col("end_")), 1).otherwise(0)
     made = {"n_tokens": F.col("n_tokens"), "weight": F.col("weight"), "n_copies": (F.col("blocks_") + again).cast("long")}
     return rows.select(*[F.col("row_")[c].alias(c) for c in docs.columns if c not in made], *[x.alias(c) for c, x in made.items()])
 
 
-def realised(mix: DataFrame) -> DataFrame:
-    """One row for every copy, with the number of its block."""
-    return mix.filter("n_copies > 0").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))))
+def realised(mix: DataFrame, seed: int = 17) -> DataFrame:
+    """One row for every copy, with its ``block`` and its ``place``: ordered by both, each block of a source is a permutation of its own."""
+    rows = mix.filter("n_copies > 0").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))))
+    return rows.withColumn("place", F.xxhash64(F.lit(seed), F.col("block"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:

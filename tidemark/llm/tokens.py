@@ -89,7 +89,6 @@ class PairMerger:
             return sum(map(known.__getitem__, self.pieces.findall(text)))
         head, *rest = text.split(" ")
         known = self.known
-        known.trim()
         return (self.fragment(head) if head else 0) + sum(map(known.__getitem__, map(" ".__add__, rest)))
 
     def count(self, text: str | None) -> int:
@@ -112,13 +111,11 @@ class _Remembered(dict):
     def __missing__(self, text: str) -> int:
         n = self.merger.fragment(text)
         if len(text) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
             self[text] = n
         return n
 
-    def trim(self) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself where printable, else the next from U+0100."""
