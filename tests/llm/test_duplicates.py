@@ -4,11 +4,15 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tests.llm.edges import TEXTS, frame, low, sha
+from tidemark.llm.common import Words, window_hash
 from tidemark.llm.components import connected_components, spanning_forest
-from tidemark.llm.minhash import CirculantMinHash, first_of_each, near_duplicates
+from tidemark.llm.minhash import CirculantMinHash, exact_sets, first_of_each, near_duplicates, shingle_sets
 from tidemark.llm.substrings import repeated_passages
 from tidemark.llm.vectors import recall, vector_duplicates
 
@@ -98,14 +102,67 @@ def test_near_duplicates(spark, rows):
 
 
 def test_blocks_change_nothing(spark, monkeypatch):
-    import tidemark.llm.minhash as m
+    import tidemark.llm.components as c
 
-    monkeypatch.setattr(m, "BLOCK", 3)
-    monkeypatch.setattr(m, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(c, "BLOCK", 3)
+    monkeypatch.setattr(c, "WEIGHT", 400)
+    monkeypatch.setattr(c, "SPEAKERS", 1)
     rows = near(12, 70)
     assert sorted((tuple(r) for r in near_duplicates(frame(spark, rows)).collect()), key=repr) == brute_near(rows)
 
 
+def chain(n=60):
+    """Each text is linked with its neighbours only."""
+    ws = [f"c{i}" for i in range(100 + 4 * n)]
+    return [(i * 7 % n, " ".join(ws[4 * i : 4 * i + 100])) for i in range(n)]
+
+
+def test_a_chain_over_blocks_is_one_component(spark, monkeypatch):
+    import tidemark.llm.components as c
+
+    monkeypatch.setattr(c, "BLOCK", 7)
+    rows = chain()
+    assert sorted((tuple(r) for r in near_duplicates(frame(spark, rows), percent=85).collect()), key=repr) == brute_near(rows)
+
+
+def thue_morse(n=11):
+    x = [0]
+    for _ in range(n):
+        x += [1 - b for b in x]
+    return x
+
+
+def test_structured_words_do_not_collide(spark):
+    """Words, and texts of two words, that hashes by powers modulo 2**64 confuse."""
+    bits = thue_morse()
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    tail = [f"x{i}" for i in range(34)]
+    rows = [(1, " ".join([a] + tail)), (2, " ".join([b] + tail)), (3, a), (4, b), (5, " ".join("AB"[x] for x in bits[:64])), (6, " ".join("BA"[x] for x in bits[:64])), (7, " ".join([a] * 6)), (8, " ".join([b] * 6))]
+    assert sorted((tuple(r) for r in near_duplicates(frame(spark, rows)).collect()), key=repr) == brute_near(rows)
+    assert sorted((tuple(r) for r in repeated_passages(frame(spark, rows)).collect()), key=repr) == brute_passages(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab \n\x85é", max_size=40), max_size=8), st.integers(1, 6))
+def test_hashes_tell_words_and_runs_apart(texts, size):
+    w = Words(pa.array(texts, pa.string()))
+    ws = [t for x in texts for t in x.encode().split()]
+    assert len(w) == len(ws) and [w.data[i:j].tobytes() for i, j in zip(w.start, w.end)] == ws
+    for h in (w.hash, w.hashed(1)):
+        assert len(set(zip(ws, h.tolist()))) == len(set(ws)) == len(set(h.tolist()))
+    runs = [tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)]
+    h = window_hash(w.hash, size).tolist()
+    assert len(h) == len(runs) and len(set(zip(runs, h))) == len(set(runs)) == len(set(h))
+    ids, cuts = exact_sets(pa.array(texts, pa.string()), 5)
+    hs, cuts2 = shingle_sets(pa.array(texts, pa.string()), 5)
+    assert (cuts == cuts2).all()
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = (set(ids[cuts[k] : cuts[k + 1]].tolist()) for k in (i, j))
+            c, d = (set(hs[cuts[k] : cuts[k + 1]].tolist()) for k in (i, j))
+            assert len(a & b) == len(c & d) or min(len(texts[k].encode().split()) for k in (i, j)) < 5
+
+
 def test_first_of_each_keeps_columns(spark):
     df = frame(spark, clash=True)
     kept = first_of_each(df)
@@ -113,6 +170,21 @@ def test_first_of_each_keeps_columns(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "8", "9", "10", "11", "11", "12", "None", "None"])
 
 
+def test_first_of_each_loses_no_other_text(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(None, a), (None, a), (1, a), (2, a), (2, b), (2, b), (3, c), (3, c + " tail"), (4, None), (4, None), (4, "")]
+    got = sorted(((r.doc_id, r.text) for r in first_of_each(frame(spark, rows)).collect()), key=repr)
+    assert [x for x in got if x[0] != 3] == sorted([(None, a), (None, a), (1, a), (2, b), (4, None), (4, "")], key=repr)
+    assert len([x for x in got if x[0] == 3]) == 1
+    assert first_of_each(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("rows", [near(21, 80), near(22, 80), chain(30)])
+def test_first_of_each_keeps_the_first(spark, rows):
+    want = sorted(i for i, _, _, kept in brute_near(rows, 80) if kept)
+    assert sorted(r.doc_id for r in first_of_each(frame(spark, rows)).collect()) == want
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 500, dtype=np.uint64)
@@ -197,6 +269,22 @@ def test_vector_blocks(spark, monkeypatch):
     assert all(a[1] <= b[1] for a, b in zip(got, want)) and sum(r[1] for r in got) >= 0.9 * sum(r[1] for r in want)
 
 
+def test_recall_audit_on_odd_vectors(spark):
+    df = spark.createDataFrame(ODD + vectors(9, 210), "vec_id long, embedding array<float>")
+    found = vector_duplicates(df.withColumn("cls", df.vec_id).withColumn("shard", df.vec_id).withColumn("n", df.vec_id))
+    assert 0.95 <= recall(df, found, every=3) <= 1.0
+
+
+def test_large_shards_are_split_again(spark, monkeypatch):
+    import tidemark.llm.vectors as v
+
+    for name, value in (("SAMPLE", 400), ("CENTRES", 4), ("SHARD", 60), ("PLACED", 150)):
+        monkeypatch.setattr(v, name, value)
+    rows = many_groups(5, 10)
+    got, want = sorted(tuple(r) for r in vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), exact_vectors(rows)
+    assert sum(a[1] for a in got) >= 0.95 * sum(b[1] for b in want) and all(a[1] <= b[1] for a, b in zip(got, want))
+
+
 def many_groups(seed=3, groups=24, d=64, noise=0.1):
     """One shard of groups of 30 to 300 distinct near copies."""
     rng = np.random.default_rng(seed)

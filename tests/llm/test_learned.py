@@ -4,13 +4,14 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.edges import TEXTS, fold, frame, low
-from tidemark.llm.language import Profiles, grams, language_id, ranked
+from tidemark.llm.language import Profiles, grams, language_id, learn_profiles, ranked, with_language
 from tidemark.llm.lattice import document_likelihood, lattice
-from tidemark.llm.quality import bradley_terry, fit, quality_scores
+from tidemark.llm.quality import FEATURES, bradley_terry, fit, quality_scores, statistics
 from tidemark.llm.tokens import vocabulary_path
 
 SF = "/root/testdata/sf0.01"
@@ -104,7 +105,7 @@ def test_language_edges(spark):
 
 
 def test_likelihood_equals_brute_force(spark):
-    rows = {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6), r.held_out) for r in document_likelihood(frame(spark, clash=True)).collect()}
+    rows = {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6), r.held_out, r.smoothed_score) for r in document_likelihood(frame(spark, clash=True)).collect()}
     words = [(i, low(t).split()) for i, t in TEXTS]
     ho = lambda i: i is not None and fold(i, 7) == 2
     c = Counter(w for i, ws in words if not ho(i) for w in [*ws, None])
@@ -114,22 +115,113 @@ def test_likelihood_equals_brute_force(spark):
     for i, ws in words:
         ts = [*ws, None]
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ts)
-        full = sum(math.log10((c[w] + v * math.exp(m.end if w is None else m.word(w.decode()))) / (n + v)) for w in ts)
-        want.add((i, len(ts), sum(c[w] > 0 for w in ts), n, round(base, 6), round(full, 6), ho(i)))
+        of = lambda w: m.end if w is None else m.word(w.decode())
+        own = sum(of(w)[0] for w in ts) / math.log(10)
+        full = sum(math.log10((c[w] + v * math.exp(of(w)[1])) / (n + v)) for w in ts)
+        want.add((i, len(ts), sum(c[w] > 0 for w in ts), n, round(base, 6), round(own, 6), ho(i), full))
     assert {r[:4] for r in rows} == {r[:4] for r in want}
     key = lambda r: (str(r[0]), r[1], r[2], r[4])
     for a, b in zip(sorted(rows, key=key), sorted(want, key=key)):
-        assert a[6] == b[6] and math.isclose(a[4], b[4], rel_tol=1e-6, abs_tol=1e-5) and math.isclose(a[5], b[5], rel_tol=1e-6, abs_tol=1e-5)
+        assert a[6] == b[6] and math.isclose(a[4], b[4], rel_tol=1e-6, abs_tol=1e-5) and math.isclose(a[5], b[5], rel_tol=1e-6, abs_tol=1e-5) and math.isclose(a[7], b[7], rel_tol=1e-6, abs_tol=1e-5)
     assert document_likelihood(frame(spark, [])).count() == 0
 
 
 def test_lattice_sums_all_segmentations():
     m = lattice(vocabulary_path("piece_bpe_32k.model"))
 
-    def brute(s):
-        return 1.0 if not s else sum((math.exp(m.pieces[s[:j]]) if s[:j] in m.pieces else math.exp(m.byte * len(s[0].encode())) if j == 1 else 0.0) * brute(s[j:]) for j in range(1, len(s) + 1))
-
-    for w in ("hello", "the", "日x", "thonsh", ""):
-        assert math.isclose(m.word(w), math.log(brute("▁" + w)), rel_tol=1e-9)
-    total = sum(map(math.exp, m.pieces.values())) + 256 * math.exp(m.byte) + math.exp(m.end)
-    assert math.isclose(total, 1.0, rel_tol=1e-9)
+    def brute(s, k):
+        ways = [m.pieces[s[:j]][k] + brute(s[j:], k) for j in range(1, len(s) + 1) if s[:j] in m.pieces]
+        if s and s[0] not in m.pieces:
+            ways.append(m.byte[k] * len(s[0].encode()) + brute(s[1:], k))
+        return np.logaddexp.reduce(ways) if s else 0.0
+
+    for w in ("hello", "the", "日x", "thonsh", "", "\U0001f9ff", "qqzzqq"):
+        assert all(math.isclose(m.word(w)[k], brute("▁" + w, k), rel_tol=1e-9) for k in (0, 1))
+    for k in (0, 1):
+        total = sum(math.exp(x[k]) for x in m.pieces.values()) + 256 * math.exp(m.byte[k]) + math.exp(m.end[k])
+        assert math.isclose(total, 1.0, rel_tol=1e-9)
+
+
+def test_vocabulary_scores_are_kept():
+    import sentencepiece
+
+    path = vocabulary_path("piece_bpe_32k.model")
+    m, file = lattice(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    a, b = "▁t", "in"
+    assert math.isclose(m.pieces[a][0] - m.pieces[b][0], file.get_score(file.piece_to_id(a)) - file.get_score(file.piece_to_id(b)))
+
+
+def brute_language(rows, size):
+    """Profiles, ranks and out-of-place distances by plain loops."""
+    counts = {}
+    for i, t, lang in rows:
+        if lang is not None and t is not None and not (i is not None and fold(i, 4) == 2):
+            counts.setdefault(lang, Counter()).update(brute_grams(t))
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], sum(ord(ch) << (21 * (len(x[0]) - 1 - k)) for k, ch in enumerate(x[0]))))][:size]
+    profiles = {k: order(c) for k, c in counts.items() if c}
+    out = []
+    for i, t, _ in rows:
+        mine = order(brute_grams(t)) if t else []
+        best = ("und", 0.0)
+        if mine and profiles:
+            far = {k: sum(abs(p.index(g) - at) if g in p else size for at, g in enumerate(mine)) for k, p in profiles.items()}
+            name = min(sorted(far), key=far.get)
+            best = (name, 1 - far[name] / (size * len(mine)))
+        out.append((str(i), i is not None and fold(i, 4) == 2, best[0], round(best[1], 9)))
+    return sorted(out)
+
+
+def test_language_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs = [(i, t[:3000] if t else t, lang) for i, t, lang in docs[:120]] + [(i, t, "aa" if i and i % 2 else "bb") for i, t in TEXTS if not t or len(t) < 20000]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = language_id(df, 60)
+    assert sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9)) for r in got.collect()) == brute_language(docs, 60)
+
+
+def test_many_languages_come_in_parts(spark):
+    df = spark.createDataFrame([(i, f"{chr(97 + i % 26) * 3} {chr(97 + i % 26)}{chr(97 + i % 7)} ab", f"l{i % 23:02d}") for i in range(200)], "doc_id long, text string, lang string")
+    parts = list(learn_profiles(df, 30, keep=5))
+    assert len(parts) == 5 and sum(len(p.langs) for p in parts) == 23
+    key = lambda rows: sorted((r.doc_id, r.lang_pred, r.score) for r in rows)
+    assert key(with_language(df, parts).collect()) == key(with_language(df, learn_profiles(df, 30)).collect())
+
+
+def brute_statistics(text):
+    """The features of one text by plain loops over its bytes and words."""
+    raw = (text or "").encode()
+    ws = raw.split()
+    groups = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t", "\n\r", ".,;:", "!?", "|", "*#$%&@^~=+_<>\\/", "'\"()-[]{}`"]
+    kinds = [g.encode() for g in groups]
+    share = [sum(b in k for b in raw) / max(len(raw), 1) for k in kinds]
+    share.append(sum(not any(b in k for k in kinds) for b in raw) / max(len(raw), 1))
+    n = max(len(ws), 1)
+    runs = lambda k: [tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)]
+    unique = [len(set(runs(k))) / len(runs(k)) if runs(k) else 1.0 for k in (1, 3, 8)]
+    upper = lambda w: sum(b in kinds[0] for b in w) >= 2 and not any(b in kinds[1] or not any(b in k for k in kinds) for b in w)
+    ends = sum(w[-1] in kinds[6] or w[-1] in kinds[8] for w in ws) / n
+    return [*share, math.log1p(len(ws)), sum(map(len, ws)) / n, *unique, sum(map(upper, ws)) / n, ends, sum(len(w) == 1 for w in ws) / n, math.log1p(max(map(len, ws), default=0)), math.log1p(len(raw))]
+
+
+def test_statistics_equal_brute_force():
+    texts = [t for _, t in TEXTS] + ["ABC dE! F* {g} | 12,5;", "a\nb\tc", "é É ÀB"]
+    got = statistics(pa.array(texts, pa.string()))
+    assert np.allclose(got[:, : len(FEATURES)], [brute_statistics(t) for t in texts])
+
+
+def test_fit_is_the_likelihood_maximum():
+    """Newton steps end where the gradient of the pairs' logistic loss vanishes, and the cut leaves as many rows below as have label 0."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    y = (x @ np.array([1.0, -2.0, 0.5, 0.0]) + rng.logistic(size=300) > 0.3).astype(float)
+    w = bradley_terry(x[y == 1], x[y == 0], pairs=20_000, decay=1e-3, seed=7)
+    rng = np.random.default_rng(7)
+    a, b = x[y == 1], x[y == 0]
+    d = a[rng.integers(0, len(a), 20_000)] - b[rng.integers(0, len(b), 20_000)]
+    loss = lambda v: np.mean(np.log1p(np.exp(-(d @ v)))) + 0.5e-3 * v @ v
+    steps = np.eye(4) * 1e-3
+    assert all(loss(w) <= loss(w + s * e) for e in steps for s in (1, -1))
+    m = fit(x, y)
+    assert abs(int((m.score(x) < 0.7).sum()) - int((y == 0).sum())) <= 1
+    order = np.argsort(m.raw(x))
+    assert (np.diff(m.score(x)[order]) >= 0).all()

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import re
 from collections import Counter
 
@@ -66,8 +67,42 @@ def test_queries_never_miss_a_match():
 
 
 def test_index(spark):
-    got = {(r.trigram, r.doc_id) for r in S.trigram_index(frame(spark, SECRETS)).collect()}
-    assert ("tok", 50) in got and ("aki", 51) in got and ("tok", 53) not in got
+    df = frame(spark, SECRETS + SECRETS)
+    key = {r.k: r.doc_id for r in df.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    index = S.trigram_index(df)
+    got = [(r.trigram, key[r.text_key]) for r in index.collect()]
+    assert len(got) == len(set(got)) and ("tok", 50) in got and ("aki", 51) in got and ("tok", 53) not in got
+    met = {key[r.text_key]: r.asDict() for r in S.candidates(index, S.BASE + S.FURTHER).collect()}
+    assert "rule2" not in met[50] and met[50]["rule0"] and met[51]["rule1"] and not met[53]["rule1"] and met[52]["rule5"]
+
+
+def brute_query(pattern):
+    """Trigrams that every one of the pattern's matches, listed by hand, has."""
+    return {
+        "abc": [{"abc"}],
+        "ab(cd|ef)g": [{"abc", "bcd", "cdg"}, {"abe", "bef", "efg"}],
+        "xa?bcd": [{"xab", "abc", "bcd"}, {"xbc", "bcd"}],
+        "abcd+ef": [{"abc"}],
+        "[xy]bcd": [{"xbc", "bcd"}, {"ybc", "bcd"}],
+        r"a\.bc[0-9a-z]+q": [{"a.b", ".bc"}],
+        "(?:abc){2,3}": [{"abc"}],
+    }[pattern]
+
+
+@pytest.mark.parametrize("pattern", ["abc", "ab(cd|ef)g", "xa?bcd", "abcd+ef", "[xy]bcd", r"a\.bc[0-9a-z]+q", "(?:abc){2,3}"])
+def test_trigram_queries(pattern):
+    def ways(q):
+        if isinstance(q, str):
+            return [{q}]
+        if q[0] == "or":
+            return [w for x in q[1:] for w in ways(x)]
+        out = [set()]
+        for x in q[1:]:
+            out = [a | b for a in out for b in ways(x)]
+        return out
+
+    assert sorted(map(sorted, ways(S.trigram_query(pattern)))) == sorted(map(sorted, brute_query(pattern)))
+    assert all(S.trigram_query(p) is None for p in ("a|bcd", "[0-9a-f]{24,}", "ab.cd", "(abc)?", "(abc)*d", "[^abc]xy"))
 
 
 def test_redaction_keeps_rows_and_columns(spark):
@@ -101,6 +136,16 @@ def test_mixing(spark):
     assert abs(cut.agg(F.sum(F.col("n_tokens") * F.col("n_copies"))).first()[0] - 500) < 30
     assert M.realised(cut).count() == cut.agg(F.sum("n_copies")).first()[0]
     assert M.mixed(df.filter("false")).count() == 0
+    order = {b: [r.doc_id for r in M.realised(out.filter("source = 'small'")).filter(F.col("block") == b).orderBy("place").collect()] for b in (1, 2)}
+    assert len(order[2]) > 9 and [x for x in order[1] if x in order[2]] != order[2]
+
+
+def test_mixing_more_sources_than_the_driver_takes(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 50), f"s{i % 37 % 11}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(tuple(r) for r in M.mix_report(df).collect())
+    monkeypatch.setattr(M, "SOURCES", 3)
+    assert sorted(tuple(r) for r in M.mix_report(df).collect()) == want
 
 
 def words(t):
@@ -118,10 +163,11 @@ def brute_contamination(rows, items, size=5, percent=80):
         w, hit = words(t), set()
         for i, item in its.items():
             k, m = min(size, len(item)), len(item)
-            at = {h: [o for o, x in enumerate(sh(item, k)) if x == h] for h in bag[i]}
-            spots = {max(0, min(p - o, len(w) - m)) for p, h in enumerate(sh(w, k)) for o in at.get(h, ())}
+            spots = range(max(0, len(w) - m) + 1) if w else ()
             for s in spots:
                 b = Counter(sh(w[s : s + m], k))
+                if not b.keys() & bag[i].keys():
+                    continue
                 both = sum(wt(h) * min(c, b[h]) for h, c in bag[i].items())
                 either = sum(wt(h) * max(c, b[h]) for h, c in bag[i].items()) + top * sum(c for h, c in b.items() if h not in bag[i])
                 if both * 100 >= either * percent:
@@ -130,6 +176,48 @@ def brute_contamination(rows, items, size=5, percent=80):
     return sorted(out, key=repr)
 
 
+def test_windows_that_no_shingle_aligns(spark):
+    """An item whose halves stand in the other order is found in a window that starts where no shingle of it says."""
+    item = " ".join(f"w{i}" for i in range(60))
+    halves = " ".join(f"w{(i + 30) % 60}" for i in range(60))
+    rows = [(1, f"a b c d {halves} e f g"), (2, f"{halves[:80]} a b c"), (3, " ".join(["x"] * 50 + [item, item]))]
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = [(r.doc_id, r.item_ids) for r in C.contamination(frame(spark, rows), b).orderBy("doc_id").collect()]
+    assert got == brute_contamination(rows, [(7, item)]) == [(1, [7]), (2, []), (3, [7])]
+
+
+def edited(seed, n=120):
+    """Texts that hold an item with words changed, cut, moved or put in, so that similarities lie around the threshold."""
+    rng = random.Random(seed)
+    items = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(rng.choice((6, 20, 40, 59))))) for i in range(12)]
+    rows = []
+    for d in range(n):
+        ws = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(3)):
+            at, how = rng.randrange(len(ws)), rng.randrange(4)
+            if how == 0:
+                ws[at] = "zz"
+            elif how == 1 and len(ws) > 1:
+                del ws[at]
+            elif how == 2:
+                ws.insert(at, "yy")
+            else:
+                ws = ws[at:] + ws[:at]
+        around = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(60))]
+        at = rng.randrange(len(around) + 1)
+        rows.append((d, " ".join(around[:at] + ws + around[at:])))
+    return rows, items
+
+
+def test_contamination_finds_what_all_windows_hold(spark):
+    rows, items = edited(3)
+    got = [(r.doc_id, r.item_ids) for r in C.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    want = dict(brute_contamination(rows, items))
+    assert 20 < sum(map(bool, want.values())) < len(rows)
+    assert all(set(x) <= set(want[d]) for d, x in got)
+    assert sum(len(x) for _, x in got) >= 0.99 * sum(map(len, want.values()))  # the radius may miss some at the threshold
+
+
 def test_contamination(spark):
     items = [(1, "The cat sat on the mat and looked at the moon all night long without a sound"), (2, "ok go"), (3, None), (4, ""), (5, "The cat sat on the mat and looked at the moon all night long without a sound"), (None, "x y z")]
     body = "alpha beta gamma delta epsilon zeta eta theta "
@@ -177,7 +265,7 @@ def test_pipeline(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     from tests.llm.test_duplicates import brute_near
 
-    first = {i for i, _, _, kept in brute_near(rows) if kept}
+    first = {i for i, _, _, kept in brute_near(rows, 80) if kept}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     dirty = {d for d, hit in brute_contamination([r for r in rows if r[0] in first], bench) if hit}
     assert {r.doc_id for r in out.collect()} == first - dirty
