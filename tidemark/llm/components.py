@@ -106,17 +106,56 @@ Near = Callable[[pa.Table, np.ndarray], Callable[[int, np.ndarray], np.ndarray]]
 
 
 def _forests(near: Near):
-    """Spanning forests of each (key, lo)."""
+    """Spanning forests of each (key, lo): edges (a, b), and for members of ``large`` groups (key, cls, root)."""
 
     def run(t):
-        cls = t.column("cls").to_numpy()
-        a, b = [], []
-        for rows in segments(t.column("lo").to_numpy(), t.column("key").to_numpy()):
-            if len(rows) > 1:
-                for i, j in spanning_forest(len(rows), near(t, rows)):
-                    a.append(cls[rows[i]])
-                    b.append(cls[rows[j]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        cls, key, large = (t.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "key", "large"))
+        out: dict[str, list] = {"key": [], "cls": [], "root": [], "a": [], "b": []}
+        for rows in segments(t.column("lo").to_numpy(), key):
+            root = cls[rows].copy()
+            for i, j in spanning_forest(len(rows), near(t, rows)) if len(rows) > 1 else ():
+                root[j] = root[i]  # i is reached before j
+                out["a"].append(cls[rows[i]])
+                out["b"].append(cls[rows[j]])
+            if large[rows[0]]:
+                out["key"] += key[rows].tolist()
+                out["cls"] += cls[rows].tolist()
+                out["root"] += root.tolist()
+        return _two_kinds(out, ("key", "cls", "root"), ("a", "b"))
+
+    return run
+
+
+def _two_kinds(out: dict, first: tuple, second: tuple) -> pa.Table:
+    """One table of two kinds of rows; each has nulls in the other's columns."""
+    n, m = len(out[first[0]]), len(out[second[0]])
+    return pa.table({c: pa.array(out[c] + [None] * m, pa.int64()) for c in first} | {c: pa.array([None] * n + out[c], pa.int64()) for c in second})
+
+
+def _speak(near: Near):
+    """In each (key, lo) of speakers: edges (a, b), and (key, root, label), the smallest root that each tree is now joined with."""
+
+    def run(t):
+        cls, key, root = (t.column(c).to_numpy() for c in ("cls", "key", "root"))
+        out: dict[str, list] = {"key": [], "root": [], "label": [], "a": [], "b": []}
+        for rows in segments(t.column("lo").to_numpy(), key):
+            label = {r: r for r in root[rows].tolist()}
+
+            def find(x):
+                while label[x] != x:
+                    x = label[x]
+                return x
+
+            for i, j in spanning_forest(len(rows), near(t, rows)) if len(rows) > 1 else ():
+                x, y = find(int(root[rows[i]])), find(int(root[rows[j]]))
+                if x != y:
+                    label[max(x, y)] = min(x, y)
+                    out["a"].append(cls[rows[i]])
+                    out["b"].append(cls[rows[j]])
+            out["key"] += [key[rows[0]]] * len(label)
+            out["root"] += list(label)
+            out["label"] += [find(r) for r in label]
+        return _two_kinds(out, ("key", "root", "label"), ("a", "b"))
 
     return run
 
@@ -160,29 +199,32 @@ def grouped_links(members: DataFrame, near: Near, n: int) -> DataFrame:
     """
     members = checkpointed(members)
     size = members.groupBy("key").agg(_blocks().alias("blocks"))
-    placed = members.join(size, "key").withColumn("lo", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    edges = checkpointed(placed.select(_shard(n, "key", "lo"), "key", "lo", "cls", "payload").groupBy("shard").applyInArrow(_forests(near), _EDGES))
-    large = size.filter("blocks > 1")
-    if not large.limit(1).count():
+    placed = members.join(size, "key").withColumn("lo", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("large", F.col("blocks") > 1)
+    grown = checkpointed(placed.select(_shard(n, "key", "lo"), "key", "lo", "cls", "large", "payload").groupBy("shard").applyInArrow(_forests(near), "key long, cls long, root long, a long, b long"))
+    edges = grown.filter("a IS NOT NULL").select("a", "b")
+    if not grown.filter("key IS NOT NULL").limit(1).count():
         return edges
-    large = checkpointed(members.join(large, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
-
-    def labelled(links: DataFrame) -> DataFrame:
-        tree = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("label"))
-        return large.join(tree, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-
-    turn = F.row_number().over(Window.partitionBy("key", "block", "label").orderBy(F.xxhash64("cls", F.lit(1))))
-    speakers = checkpointed(labelled(edges).withColumn("turn", turn).filter(F.col("turn") <= SPEAKERS).select("key", "cls", "weight", "payload"))
-    size = speakers.groupBy("key").agg(_blocks().alias("blocks"))
-    speakers = speakers.join(size, "key").withColumn("lo", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int"))
-    edges = checkpointed(edges.unionByName(speakers.select(_shard(n, "key", "lo"), "key", "lo", "cls", "payload").groupBy("shard").applyInArrow(_forests(near), _EDGES)))
-    now = checkpointed(labelled(edges))
+    rooted = grown.filter("key IS NOT NULL").select("key", "cls", "root")
+    turn = F.row_number().over(Window.partitionBy("key", "root").orderBy(F.xxhash64("cls", F.lit(1))))
+    speakers = rooted.withColumn("turn", turn).filter(F.col("turn") <= SPEAKERS).drop("turn").join(members, ["key", "cls"])
+    speakers = checkpointed(speakers.select("key", "cls", "root", "weight", "payload"))
+    blocks = speakers.groupBy("key").agg(_blocks().alias("blocks"))
+    speakers = speakers.join(blocks, "key").withColumn("lo", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int"))
+    spoken = checkpointed(speakers.select(_shard(n, "key", "lo"), "key", "lo", "cls", "root", "payload").groupBy("shard").applyInArrow(_speak(near), "key long, root long, label long, a long, b long"))
+    edges = edges.unionByName(spoken.filter("a IS NOT NULL").select("a", "b"))
+    # A tree whose speakers stood in several blocks takes the smallest label.
+    label = spoken.filter("key IS NOT NULL").groupBy("key", "root").agg(F.min("label").alias("label"))
+    now = checkpointed(rooted.join(label, ["key", "root"]).select("key", "cls", "label"))
     trees = now.groupBy("key", "label").agg(F.count("*").alias("rows"))
-    first = trees.groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"))
-    apart = now.join(first, "key").filter("label != largest").drop("largest")
-    size = apart.groupBy("key").agg(_blocks().alias("asking"))
-    asking = apart.join(size, "key").withColumn("lo", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("asking")).cast("int"))
+    first = trees.groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.count("*").alias("trees"))
+    apart = checkpointed(now.join(first.filter("trees > 1").drop("trees"), "key").filter("label != largest").drop("largest"))
+    if not apart.limit(1).count():
+        return edges
+    apart = apart.join(members, ["key", "cls"])
+    sizes = apart.groupBy("key").agg(_blocks().alias("asking")).join(size, "key")
+    asking = apart.join(sizes, "key").withColumn("lo", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("asking")).cast("int"))
     asking = asking.withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.lit(True))
-    asked = now.join(size, "key").withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).withColumn("hi", F.col("block")).withColumn("left", F.lit(False))
+    asked = now.join(sizes, "key").join(members, ["key", "cls"]).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)))
+    asked = asked.withColumn("hi", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("left", F.lit(False))
     rows = asking.unionByName(asked).select(_shard(n, "key", "lo", "hi"), "key", "lo", "hi", "cls", "label", "left", "payload")
     return edges.unionByName(rows.groupBy("shard").applyInArrow(_across(near), _EDGES))
