@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +94,8 @@ def exact_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
     Words are numbered by a dictionary of their bytes, runs by the pair of their halves' numbers.
     """
+    import pandas as pd  # here, as it takes much of the memory of workers that only sketch
+
     w = Words(texts, lower=True)
     count = np.diff(w.first)
     letters = np.ascontiguousarray(w.data[~SPACES[w.data]])
