@@ -194,7 +194,12 @@ def test_signatures_estimate_jaccard():
     assert abs((s[0] == s[1]).mean() - 400 / 600) < 0.08
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    import tidemark.llm.components as c
+
+    monkeypatch.setattr(c, "FEW", few)
+    monkeypatch.setattr(c, "HUB", 50)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)] + [(1000, i) for i in range(1001, 1300)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 200, 300)} == {100} and {got[i] for i in range(1000, 1300)} == {1000}

@@ -13,6 +13,8 @@ from tidemark.llm.common import checkpointed
 
 #: Edges of one node that a task looks at; more are dealt over several, so that at most ``HUBS`` nodes are dealt.
 HUB, HUBS = 10_000, 100_000
+#: Edges up to which one task joins them all.
+FEW = 200_000
 #: Members of a block and their weight: two blocks are compared in one task.
 BLOCK, WEIGHT = 1024, 1_000_000
 #: Members that speak for a part of a block.
@@ -22,7 +24,7 @@ SPEAKERS = 8
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is its smallest node.
 
-    Alternating large-star and small-star steps: each round links every node to the smallest
+    Up to ``FEW`` edges (their number is checked) are joined in one task. More take alternating large-star and small-star steps: each round links every node to the smallest
     node it can see, and the number of rounds grows with the logarithm of the longest path.
     The edges of hubs are dealt over tasks, in proportion to their number; the list of hubs
     that is broadcast holds at most 2 * ``HUBS`` nodes. Nothing but two numbers per round
@@ -31,6 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     star = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     star = checkpointed(star)
     seen = star.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    if seen[0] <= FEW:
+        return star.coalesce(1).mapInArrow(_joined, "node long, component long")
     while True:
         share = max(HUB, seen[0] // HUBS)
         both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -39,7 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # A hub's edges are dealt over several tasks, each with its own copy of the hub's one row.
         low = low.withColumn("part", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts")
         dealt = both.filter("v > u").join(F.broadcast(hubs), "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts") + 1).cast("int"), F.lit(0)))
-        large = dealt.join(low, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = dealt.join(low, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v")))
         star = checkpointed(small.distinct())
@@ -51,6 +55,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _joined(batches):
+    """(node, component) of all edges at once."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    nodes, edges = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1), return_inverse=True)
+    u, v = edges.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for end in (label[u], label[v]):
+            np.minimum.at(new, end, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
 def segments(*columns: np.ndarray):
     """Row numbers of each run of equal values, after sorting."""
     if not len(columns[0]):

@@ -113,9 +113,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
     starts = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["low"], r["high"]))))
     spots = met.select("doc_id", "text_key", "k", "m", F.explode(starts).alias("start")).distinct()
     spots = checkpointed(spots.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("k", "m", "start")).alias("spots")))
+    rows = _of(docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text")), spots, "left_semi").dropDuplicates(["doc_id", "text_key"])
     spots = spots.withColumnRenamed("text_key", "key_").withColumnRenamed("doc_id", "id_")
-    rows = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    rows = rows.join(spots, (F.col("text_key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).dropDuplicates(["doc_id", "text_key"])
+    rows = rows.join(spots, (F.col("text_key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
     rows = rows.select("doc_id", "text_key", words_of(F.col("text")).alias("words"), "spots")
     windows = rows.select("doc_id", "text_key", "words", F.explode("spots").alias("s")).select("doc_id", "text_key", "s.m", "s.k", "s.start", F.slice("words", F.col("s.start") + 1, F.col("s.m")).alias("words"))
     windows = windows.withColumn("shingles", shingles_of(F.col("words"), F.col("k"))).drop("words").withColumn("window", F.monotonically_increasing_id())
@@ -140,13 +140,11 @@ def _verified(windows: DataFrame, items: DataFrame, percent: int, radius: int) -
     )
 
 
-def by_document(docs: DataFrame, found: DataFrame, names: tuple[str, str] = ("item_ids", "similarity")) -> DataFrame:
-    """Every column of ``docs`` plus the sorted items found and the best similarity, null where nothing was; two free names."""
-    key, key2, id_ = spare(docs, "found_key", "found_key2", "found_id")
-    best = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias(names[0]), F.max("similarity").alias(names[1]))
-    best = checkpointed(best).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), *names)
-    joined = docs.withColumn(key2, F.xxhash64("text")).join(best, (F.col(key2) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
-    return joined.drop(key, key2, id_)
+def _of(rows: DataFrame, found: DataFrame, how: str, key: str = "text_key") -> DataFrame:
+    """The ``rows`` that ``found`` (doc_id, text_key) names, or the others; two numbers a row are broadcast while they are few."""
+    id_, key_ = spare(rows, "found_id", "found_key")
+    keys = small(found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_)).distinct())
+    return rows.join(keys, (F.col(key) == F.col(key_)) & F.col("doc_id").eqNullSafe(F.col(id_)), how)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -155,9 +153,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     Null and empty texts stay, and all rows where the benchmark is empty. Repeated rows fare
     alike; rows without an id, or that share one, are judged by their own text.
     """
-    items, similarity_ = spare(docs, "item_ids", "similarity")
+    (key,) = spare(docs, "text_key")
     found = contaminated(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), **how)
-    return by_document(docs, found, (items, similarity_)).filter(F.col(items).isNull()).drop(items, similarity_)
+    return _of(docs.withColumn(key, F.xxhash64("text")), found, "left_anti", key).drop(key)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -171,7 +169,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     texts are whole; equally similar windows count alike.
     """
     docs = docs.select("doc_id", "text")
-    rows = by_document(docs, contaminated(docs, benchmark, **how))
+    best = contaminated(docs, benchmark, **how).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
+    best = checkpointed(best).withColumnRenamed("doc_id", "id_").withColumnRenamed("text_key", "key_")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key")).join(best, (F.col("text_key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left")
     return rows.select(
         "doc_id",
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
