@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import layout as L
-from tidemark.functions.markup import html_faults
+from tidemark.functions.markup import faults
 from tidemark.operators import evidence as E
 
 
@@ -60,10 +60,19 @@ def test_scaling_down():
     assert L.box_average(p, 4, 4, 2, 2).tolist() == [[2, 4], [10, 12]]
 
 
-def test_markup():
-    assert html_faults('<p>ok <a href="https://x.org/a">x</a> <img src="assets/a.jpg"></p>') == []
-    assert html_faults("<script>1</script>") == ["element script"]
-    assert html_faults('<p onclick="x" style="y">') == ["attribute onclick", "attribute style"]
-    assert html_faults('<img src="https://x/y.png"><a href="javascript:x">') == ["remote source", "link scheme"]
-    assert html_faults("<style>@import 'x'; a{background:url(http://x)}</style>") == ["css construct", "css resource"]
-    assert html_faults(None) == []
+def test_markup(spark):
+    cases = {
+        '<p>ok <a href="https://x.org/a">x</a> <img src="assets/a.jpg"></p>': [],
+        "<script>1</script>": ["element script"],
+        '<p onclick="x" style="y">': ["attribute onclick", "attribute style"],
+        '<img src="https://x/y.png"><a href="javascript:x">': ["remote source", "link scheme"],
+        "<style>@import 'x'; a{background:url(http://x)}</style>": ["css construct", "css resource"],
+        None: [],
+        "<!-- <script> --><P>a<br/><a href='#x'>": [],
+        "<meta http-equiv=refresh><meta http-equiv='Content-Security-Policy'>": ["meta directive"],
+        '<img src="assets/../a.jpg" SRC=assets/b.png>': ["asset path"],
+        "<style>a{src:url( 'data:font/woff;base64,AA=' )} <b></style><i>": ["element i"],
+        '<a href="https://">x</a><a href="http://u@h">': ["link scheme"],
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    assert [r.f for r in rows.select("i", faults(F.col("t")).alias("f")).orderBy("i").collect()] == list(cases.values())
