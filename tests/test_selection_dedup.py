@@ -1,5 +1,6 @@
 """Selection and near-duplicates."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import chunk_plan, format_clock, image_tokens, parse_clock, parse_range_list
@@ -46,6 +47,33 @@ def test_families_keep_a_row_of_each_protected_chapter(spark):
     assert [r.status for r in D.deduplicate_frames(plain, ["k"], "chapter").orderBy("id").collect()] == ["dedup", "kept", "dedup", "kept"]
 
 
+def test_keepers_inherit(spark):
+    rows = [("v", i, float(i), i, c, s, r, tg, [50] * 4, [0] * 4) for i, (c, s, r, tg) in enumerate([("a", 1.0, ["scene"], ["t1"]), ("a", 3.0, ["target"], ["t2"]), ("b", 2.0, ["scene"], ["t3"]), ("a", 0.5, ["heat"], [])])]
+    df = spark.createDataFrame(rows, "k string, id int, t double, pos int, chapter_id string, score double, reasons array<string>, target_ids array<string>, pixels array<int>, edges array<int>")
+    got = {r.id: r for r in D.deduplicate_frames(df, ["k"]).collect()}
+    assert got[1].status == "kept" and got[1].reasons == ["heat", "scene", "target"] and got[1].target_ids == ["t1", "t2"] and got[1].family_revisits == [2.0]
+    assert got[2].revisit and got[2].kept_by == 1 and got[2].reasons == ["scene"] and got[0].family_revisits is None
+
+
+def test_clusters_equal_a_loop(spark):
+    rng = np.random.default_rng(8)
+    sig = np.clip(rng.integers(0, 6, (60, 1)) * 40 + rng.integers(-4, 5, (60, 8)), 0, 255)
+    df = spark.createDataFrame([("v", i, float(i), i, "c", 1.0, ["scene"], x.tolist(), [0] * 8) for i, x in enumerate(sig)], "k string, id int, t double, pos int, chapter_id string, score double, reasons array<string>, pixels array<int>, edges array<int>")
+    got = [r.cluster for r in D.deduplicate_frames(df, ["k"]).orderBy("id").collect()]
+    groups = []
+    for i in range(60):
+        home = [g for g in groups if any(np.abs(sig[i] - sig[j]).mean() <= 3.0 and (np.abs(sig[i] - sig[j]) > 12).mean() <= 0.025 for j in g)]
+        home[0].append(i) if home else groups.append([i])
+    assert got == [next(k for k, g in enumerate(groups) if i in g) for i in range(60)]
+
+
+def test_very_long_chains(spark):
+    rows = [("v", str(i), str(i - 1) if i else None) for i in range(700)] + [("w", str(i), str((i + 1) % 9)) for i in range(9)] + [("w", "p", "3"), ("w", "q", "p")]
+    got = {(r.k, r.id): r.root for r in D.chain_roots(spark.createDataFrame(rows, "k string, id string, duplicates_of string"), ["k"]).collect()}
+    assert all(got["v", str(i)] == "0" for i in range(700))
+    assert all(got["w", str(i)] == str(i) for i in range(9)) and got["w", "p"] == got["w", "q"] == "3"
+
+
 def test_chains_and_cycles(spark):
     rows = [("v", "a", None), ("v", "b", "a"), ("v", "c", "b"), ("v", "x", "y"), ("v", "y", "x"), ("v", "z", "gone"), ("v", "t", "y")]
     got = {r.id: r.root for r in D.chain_roots(spark.createDataFrame(rows, "k string, id string, duplicates_of string"), ["k"]).collect()}

@@ -3,6 +3,8 @@
 import random
 import statistics
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import runs as R
@@ -41,8 +43,8 @@ def test_threshold_equals_statistics(spark):
     assert r.med == med and r.mad == statistics.median(abs(x - med) for x in v)
 
 
-def _rows(spark, values, mode):
-    return spark.createDataFrame([("v", i, i / 2, mode, float(x), 0.0, 0.0, 1.0) for i, x in enumerate(values)], "k string, pos int, t double, mode string, luma double, edge double, changed double, ink double")
+def _rows(spark, values, mode, ink=1.0):
+    return spark.createDataFrame([("v", i, i / 2, mode, [x] * 16 if isinstance(x, int) else x, [0] * 16, ink) for i, x in enumerate(values)], "k string, pos int, t double, mode string, pixels array<int>, edges array<int>, ink double")
 
 
 def _lengths(df):
@@ -63,6 +65,40 @@ def test_short_runs_join_the_one_before(spark):
     assert _lengths(R.build_runs(_rows(spark, [200] * 8 + [60] + [200] * 8, "B"), ["k"])) == [9, 8]
 
 
+def test_pictures_of_one_mean_differ(spark):
+    a, b = [0] * 8 + [200] * 8, [200] * 8 + [0] * 8
+    assert _lengths(R.build_runs(_rows(spark, [a] * 6 + [b] * 6, "B"), ["k"])) == [6, 6]
+
+
+def loop_runs(rows):
+    """(t, mode, pixels, edges, ink) by the plain rule, row by row."""
+    near = lambda x, y, m: (np.abs(x[2] - y[2]).mean() <= m[0]) and (np.abs(x[3] - y[3]).mean() <= m[1]) and ((np.abs(x[2] - y[2]) > 12).mean() <= m[2])
+    out = []
+    for x in rows:
+        m = R.SAME[x[1]]
+        stay = bool(out) and near(out[-1][-1], x, m) and (m[3] or near(out[-1][0], x, m))
+        if stay and x[1] == "C":
+            top = max(y[4] for y in out[-1])
+            stay = not (top > 0 and x[4] < 0.7 * top)
+        out[-1].append(x) if stay else out.append([x])
+    joined = []
+    for r in out:
+        short = r[-1][0] - r[0][0] + 0.5 < 1.5
+        joined[-1].extend(r) if short and joined else joined.append(list(r))
+    return [k for k, r in enumerate(joined) for _ in r]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_equal_a_loop(seed):
+    rng = np.random.default_rng(seed)
+    n = 300
+    base = np.cumsum(rng.normal(0, 1.5, (n, 12)) * (rng.random((n, 1)) < 0.6) + 40 * rng.normal(size=(n, 12)) * (rng.random((n, 1)) < 0.05), 0) + 100
+    edges = np.abs(rng.normal(0, 1, (n, 12)))
+    ink = np.abs(np.cumsum(rng.normal(0, 0.2, n))) * (rng.random(n) > 0.02)
+    t, mode = np.arange(n) / 2, [("ABCD" * 3)[i // 30] for i in range(n)]
+    assert R.run_numbers(t, mode, base, edges, ink).tolist() == loop_runs(list(zip(t, mode, base, edges, ink)))
+
+
 def test_native_anchor_fold_equals_a_loop(spark):
     rng = random.Random(2)
     v = [rng.uniform(0, 10) for _ in range(80)]

@@ -70,6 +70,11 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], same: Column, na
     return rows.withColumn(name, F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows of stretches (stretch_, at_) numbered from 0 within the keys."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("stretch_", "at_")) - 1).drop("stretch_", "at_")
+
+
 def flagged_runs(rows: DataFrame, keys: list[str], order: list[str], flag: str, longer_than: float) -> DataFrame:
     """Runs of flagged rows (start, end, n): a run ends where the next row that breaks it starts, or with the last row; only longer ones."""
     by = Window.partitionBy(*keys).orderBy(*order)

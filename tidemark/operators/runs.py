@@ -2,64 +2,66 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import islands
+from tidemark.functions.signature import CHANGED_BY
+from tidemark.operators.intervals import islands, numbered
 
 #: For each mode the largest luma, edge and changed differences within a run, and whether the run may drift.
 SAME = {"A": (8.0, 6.0, 0.10, False), "B": (3.0, 4.0, 0.06, False), "C": (6.0, 6.0, 0.20, True), "D": (4.0, 5.0, 0.06, True)}
 INK_DROP, STEP, SHORTEST = 0.30, 0.5, 1.5
 
 
-def near(a, b, limits) -> bool:
-    return abs(a[0] - b[0]) <= limits[0] and abs(a[1] - b[1]) <= limits[1] and abs(a[2] - b[2]) <= limits[2]
+def _differences(pixels: np.ndarray, edges: np.ndarray, other_pixels: np.ndarray, other_edges: np.ndarray) -> np.ndarray:
+    """Mean luma difference, mean edge difference and share of changed pixels of rows of pictures: three columns."""
+    d = np.abs(pixels - other_pixels)
+    return np.stack([d.mean(1), np.abs(edges - other_edges).mean(1), (d > CHANGED_BY).mean(1)], 1)
+
+
+def run_numbers(t: np.ndarray, mode: list, pixels: np.ndarray, edges: np.ndarray, ink: np.ndarray) -> np.ndarray:
+    """Run numbers of pictures in time order; see ``build_runs``."""
+    n = len(t)
+    limits = np.array([SAME.get(m, SAME["B"])[:3] for m in mode], float).reshape(n, 3)
+    drift = np.array([SAME.get(m, SAME["B"])[3] for m in mode], bool)
+    wiped = np.array([m == "C" for m in mode], bool)
+    opens = np.ones(n, bool)
+    opens[1:] = (_differences(pixels[1:], edges[1:], pixels[:-1], edges[:-1]) > limits[1:]).any(1)
+    # Within an island of rows near the one before, what is left of it is held against the run's first row and peak of ink.
+    for a, b in zip(np.flatnonzero(opens), np.append(np.flatnonzero(opens)[1:], n)):
+        while a < b:
+            away = (_differences(pixels[a:b], edges[a:b], pixels[a], edges[a]) > limits[a:b]).any(1) & ~drift[a:b]
+            peak = np.concatenate([[0.0], np.maximum.accumulate(ink[a : b - 1])])
+            away |= wiped[a:b] & (peak > 0) & (ink[a:b] < (1 - INK_DROP) * peak)
+            away[0] = False
+            a = a + int(away.argmax()) if away.any() else b
+            if a < b:
+                opens[a] = True
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], n) - 1
+    stays = t[last] - t[first] + STEP >= SHORTEST
+    stays[:1] = True  # there is no run before it to join
+    number = np.zeros(n, np.int64)
+    number[first] = stays
+    return np.cumsum(number) - 1
 
 
-def segment(rows: list[tuple]) -> list[int]:
-    """Run numbers for (t, mode, luma, edge, changed, ink) in time order.
+def build_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` plus ``run`` for (keys, t, pos, mode, pixels, edges, ink).
 
-    A row stays in the run if it is near the last row and, in modes that may not drift, near
-    the first; in mode C a fall of ink to under 70 % of the run's peak ends it. Afterwards a
-    run shorter than ``SHORTEST`` joins the one before it, if there is one.
+    A picture stays in the run if its signature is near the last one's and, in modes that may
+    not drift, near the first's; in mode C a fall of ink to under 70 % of the run's peak ends
+    it. Afterwards a run shorter than ``SHORTEST`` joins the one before it, if there is one.
+    Signatures of a key have one size. A key's rows are one task's, keys run in parallel.
     """
-    runs: list[list[int]] = []
-    first = last = None
-    peak = 0.0
-    for i, (_, mode, luma, edge, changed, ink) in enumerate(rows):
-        limits = SAME.get(mode, SAME["B"])
-        x = (luma, edge, changed)
-        same = last is not None and near(last, x, limits) and (limits[3] or near(first, x, limits))
-        if same and mode == "C" and peak > 0 and ink < (1 - INK_DROP) * peak:
-            same = False
-        if same:
-            runs[-1].append(i)
-            peak = max(peak, ink)
-        else:
-            runs.append([i])
-            first, peak = x, ink
-        last = x
-    out: list[list[int]] = []
-    for r in runs:
-        if out and rows[r[-1]][0] - rows[r[0]][0] + STEP < SHORTEST:
-            out[-1].extend(r)
-        else:
-            out.append(list(r))
-    number = [0] * len(rows)
-    for k, r in enumerate(out):
-        for i in r:
-            number[i] = k
-    return number
-
-
-def build_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` plus ``run`` for (keys, t, pos, mode, luma, edge, changed, ink); a key's rows are folded in one task, keys in parallel."""
     schema = rows.schema.simpleString()[len("struct<") : -1] + ",run:int"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "pos"], kind="stable")
-        return pdf.assign(run=segment(list(pdf[["t", "mode", "luma", "edge", "changed", "ink"]].itertuples(index=False, name=None))))
+        pixels, edges = (np.array([list(x) for x in pdf[c]], float) for c in ("pixels", "edges"))
+        return pdf.assign(run=run_numbers(pdf["t"].to_numpy(float), list(pdf["mode"]), pixels, edges, pdf["ink"].to_numpy(float)))
 
     return rows.groupBy(*keys).applyInPandas(fold, schema)
 
@@ -71,7 +73,7 @@ def drift_runs(rows: DataFrame, keys: list[str], value: str, most: float) -> Dat
 
 
 def anchor_runs(rows: DataFrame, keys: list[str], value: str, from_first: float, from_last: float) -> DataFrame:
-    """(keys, run, start, end, n): a new run where the value is further than ``from_first`` from the run's first or ``from_last`` from the last; a native fold."""
+    """(keys, run, start, end, n): a new run where the value is further than ``from_first`` from the run's first or ``from_last`` from the last; a native fold of each stretch without a jump of over ``from_last``."""
     run = "struct<start:double,end:double,n:bigint,a:double,l:double>"
     fresh = lambda x: F.array(F.struct(x["t"].alias("start"), x["t"].alias("end"), F.lit(1).cast("bigint").alias("n"), x["v"].alias("a"), x["v"].alias("l")))
 
@@ -81,9 +83,11 @@ def anchor_runs(rows: DataFrame, keys: list[str], value: str, from_first: float,
         same = (F.abs(x["v"] - r["a"]) <= from_first) & (F.abs(x["v"] - r["l"]) <= from_last)
         return F.when(F.size(acc) == 0, fresh(x)).when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), more)).otherwise(F.concat(acc, fresh(x)))
 
+    by = Window.partitionBy(*keys).orderBy("t", "pos")
+    near = islands(rows.withColumn("prev_", F.lag(value).over(by)), keys, ["t", "pos"], F.abs(F.col(value) - F.col("prev_")) <= from_last, "stretch_")
     items = F.array_sort(F.collect_list(F.struct("t", "pos", F.col(value).cast("double").alias("v"))))
-    out = rows.groupBy(*keys).agg(F.aggregate(items, F.array().cast(f"array<{run}>"), step).alias("runs"))
-    return out.select(*keys, F.posexplode("runs").alias("run", "r")).select(*keys, "run", "r.start", "r.end", "r.n")
+    out = near.groupBy(*keys, "stretch_").agg(F.aggregate(items, F.array().cast(f"array<{run}>"), step).alias("runs"))
+    return numbered(out.select(*keys, "stretch_", F.posexplode("runs").alias("at_", "r")), keys, "run").select(*keys, "run", "r.start", "r.end", "r.n")
 
 
 def coarse_states(tiles: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,8 +102,9 @@ def coarse_states(tiles: DataFrame, keys: list[str]) -> DataFrame:
         return F.when(F.size(acc) == 0, fresh).when(split, F.concat(acc, fresh)).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), more))
 
     items = F.array_sort(F.collect_list(F.struct("t", "pos", F.col("luma").cast("double").alias("luma"), F.coalesce(F.col("diff").cast("double"), F.lit(0.0)).alias("diff"))))
-    out = tiles.groupBy(*keys).agg(F.aggregate(items, F.array().cast(f"array<{run}>"), step).alias("runs"))
-    return out.select(*keys, F.posexplode("runs").alias("run", "r")).select(*keys, "run", "r.start", "r.end", "r.n")
+    near = islands(tiles, keys, ["t", "pos"], F.coalesce(F.col("diff").cast("double"), F.lit(0.0)) <= 18, "stretch_")  # a larger one always opens a run
+    out = near.groupBy(*keys, "stretch_").agg(F.aggregate(items, F.array().cast(f"array<{run}>"), step).alias("runs"))
+    return numbered(out.select(*keys, "stretch_", F.posexplode("runs").alias("at_", "r")), keys, "run").select(*keys, "run", "r.start", "r.end", "r.n")
 
 
 def mode_guess(tiles: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.intervals import islands
+
 
 def robust_threshold(rows: DataFrame, keys: list[str], value: str, floor: float = 0.04, times: float = 8.0) -> DataFrame:
     """(keys, med, mad, threshold): threshold = max(floor, median + times * median absolute deviation), medians as means of the middles."""
@@ -37,8 +39,11 @@ def local_maxima(rows: DataFrame, keys: list[str], order: list[str], value: str,
 def suppress(rows: DataFrame, keys: list[str], value: str, apart: float = 0.35) -> DataFrame:
     """(keys, t, value): peaks at least ``apart`` seconds from the last kept; a nearer, higher one replaces it and moves the reference.
 
-    Rows have t; a fold over each key's sorted peaks, without Python.
+    Rows have t. A peak at least ``apart`` from the one before it is kept whatever came before,
+    so stretches between such gaps are folded on their own, without Python.
     """
+    by = Window.partitionBy(*keys).orderBy("t", value)
+    rows = islands(rows.withColumn("t_", F.lag("t").over(by)), keys, ["t", value], F.col("t") - F.col("t_") < apart, "stretch_")
     kept = F.aggregate(
         F.array_sort(F.collect_list(F.struct("t", value))),
         F.array().cast("array<struct<t:double,v:double>>"),
@@ -47,7 +52,7 @@ def suppress(rows: DataFrame, keys: list[str], value: str, apart: float = 0.35)
         .when(x[value] > F.element_at(acc, -1)["v"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["t"].alias("t"), x[value].alias("v")))))
         .otherwise(acc),
     )
-    one = rows.groupBy(*keys).agg(kept.alias("kept"))
+    one = rows.groupBy(*keys, "stretch_").agg(kept.alias("kept"))
     return one.select(*keys, F.explode("kept").alias("p")).select(*keys, F.col("p.t").alias("t"), F.col("p.v").alias(value))
 
 

@@ -211,7 +211,7 @@ def probe_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def build_runs(spark: SparkSession, sf: str) -> DataFrame:
-    f = frames(spark, sf).select("user_id", "pos", "t", F.element_at(F.array(*map(F.lit, "ABCD")), (F.floor(F.col("t") / 86400) % 4 + 1).cast("int")).alias("mode"), "luma", "edge", "changed", "ink")
+    f = frames(spark, sf).select("user_id", "pos", "t", F.element_at(F.array(*map(F.lit, "ABCD")), (F.floor(F.col("t") / 86400) % 4 + 1).cast("int")).alias("mode"), F.array(*[(F.col("luma") + F.col("edge") * (k % 4)).alias(f"p{k}") for k in range(16)]).alias("pixels"), F.array_repeat("edge", 16).alias("edges"), "ink")
     return R.build_runs(f, K).select("user_id", "pos", "run")
 
 

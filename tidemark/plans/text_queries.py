@@ -45,13 +45,13 @@ def _cue_files(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as caption files: a cue a turn, four seconds each."""
     clock = lambda s: F.format_string("00:%02d:%02d.000", (s / 60).cast("int"), (s % 60).cast("int"))
     c = table(spark, sf, "conversations")
-    line = F.concat(clock(F.col("turn") * 4), F.lit(" --> "), clock(F.col("turn") * 4 + 4), F.lit("\n<i>"), F.regexp_replace(F.substring("text", 1, 60), r"[\n\r<>&]+", " "), F.lit("</i>"))
+    line = F.concat(clock(F.col("turn") * 4), F.lit(" --> "), clock(F.col("turn") * 4 + 4), F.lit("\n<i>"), F.regexp_replace("text", r"[\n\r<>&]+", " "), F.lit("</i>"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))), lambda x: x["x"]), "\n\n")
     return c.groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\n"), body).cast("binary").alias("content"))
 
 
 @query(
-    r"""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(substr(text, 1, 60), '[\n\r<>&]+', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations), k AS (SELECT * FROM c WHERE text != '')
+    r"""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '[\n\r<>&]+', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations), k AS (SELECT * FROM c WHERE text != '')
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS pos, (turn * 4)::DOUBLE AS start, (turn * 4 + 4)::DOUBLE AS "end", text FROM k"""
 )
 def vtt_cues(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,14 +74,18 @@ def rolling_text_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, string_split(regexp_replace(substr(text, 1, 120), '[^a-zA-Z ]', ' ', 'g'), ' ') AS l FROM documents), a AS (SELECT doc_id, list_filter(l, lambda x: x != '') AS l FROM w WHERE len(list_filter(l, lambda x: x != '')) >= 8),
-k AS (SELECT doc_id, l[1:6] AS a, l[doc_id % 4 + 1:doc_id % 4 + 6] AS b FROM a) SELECT doc_id, coalesce(list_max(list_filter(range(3, least(len(a), len(b)) + 1), lambda n: a[len(a) - n + 1:len(a)] = b[1:n])), 0)::INT AS overlap FROM k"""
+    """WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' ', 'g'), ' '), lambda x: x != '') AS l FROM documents),
+k AS (SELECT doc_id, l AS a, list_concat(l[greatest(1, len(l) - 3 - doc_id % 8):len(l)], coalesce(lead(l) OVER (ORDER BY doc_id), [])) AS b FROM w), z AS (SELECT doc_id, a, coalesce(b, []) AS b FROM k)
+SELECT doc_id, coalesce(list_max(list_filter(range(3, least(len(a), len(b)) + 1), lambda n: a[len(a) - n + 1] = b[1] AND a[len(a) - n + 1:len(a)] = b[1:n])), 0)::INT AS overlap FROM z"""
 )
 def word_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.filter(F.split(F.regexp_replace(F.substring("text", 1, 120), "[^a-zA-Z ]", " "), " "), lambda x: x != "")
-    d = table(spark, sf, "documents").select("doc_id", words.alias("l")).filter(F.size("l") >= 8)
-    d = d.select("doc_id", F.slice("l", 1, 6).alias("a"), F.slice("l", (F.col("doc_id") % 4 + 1).cast("int"), F.lit(6)).alias("b"))
-    return d.select("doc_id", D.word_overlap(F.col("a"), F.col("b")).alias("overlap"))
+    """Every document's words against its last few followed by the next document's."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", " "), " "), lambda x: x != "")
+    d = table(spark, sf, "documents").select("doc_id", words.alias("a"))
+    order = d.select("doc_id", F.lead("doc_id").over(Window.orderBy("doc_id")).alias("next"))
+    d = d.join(order, "doc_id").join(d.select(F.col("doc_id").alias("next"), F.col("a").alias("following")), "next", "left")
+    tail = F.slice("a", F.greatest(F.lit(1), F.size("a") - 3 - (F.col("doc_id") % 8).cast("int")), F.least(F.size("a"), 4 + (F.col("doc_id") % 8).cast("int")))
+    return d.select("doc_id", D.word_overlap(F.col("a"), F.concat(tail, F.coalesce("following", F.array().cast("array<string>")))).alias("overlap"))
 
 
 # --- text rules -----------------------------------------------------------------------------
@@ -153,12 +157,11 @@ def sanitized_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'he' WHEN 1 THEN 'yi' WHEN 2 THEN 'id' ELSE lang END AS base, replace(replace(replace(replace(replace(substr(text, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html FROM documents"""
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'he' WHEN 1 THEN 'yi' WHEN 2 THEN 'id' ELSE lang END AS base, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html FROM documents"""
 )
 def language_codes(spark: SparkSession, sf: str) -> DataFrame:
     code = F.when(F.col("doc_id") % 4 == 0, "iw-IL").when(F.col("doc_id") % 4 == 1, "ji").when(F.col("doc_id") % 4 == 2, "in-ID").otherwise(F.concat("lang", F.lit("-X")))
-    plain = F.substring("text", 1, 80)
-    return table(spark, sf, "documents").select("doc_id", T.language(code).alias("base"), T.inline_markup(F.regexp_replace(plain, "`", "`")).alias("html"))
+    return table(spark, sf, "documents").select("doc_id", T.language(code).alias("base"), T.inline_markup(F.col("text")).alias("html"))
 
 
 # --- audits ---------------------------------------------------------------------------------
