@@ -85,10 +85,11 @@ def range_search(x: np.ndarray, links: np.ndarray, entries: np.ndarray, queries:
 
         def see(r, nodes):
             fresh = (nodes < m) & (np.take_along_axis(score[r], nodes, 1) < -2)
-            cos = np.einsum("qrd,qd->qr", x[np.minimum(nodes, m - 1)], x[q[r]])
-            k = np.repeat(r, nodes.shape[1])[fresh.ravel()]
-            score[k, nodes[fresh]] = cos[fresh]
-            open_[k, nodes[fresh]] = True
+            k, v = np.repeat(r, nodes.shape[1])[fresh.ravel()], nodes[fresh]
+            for i in range(0, len(k), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                score[k[part], v[part]] = np.einsum("nd,nd->n", x[v[part]], x[q[k[part]]])
+            open_[k, v] = True
 
         see(rows, np.broadcast_to(entries, (len(q), len(entries))).copy())
         see(rows, links[q])
