@@ -94,12 +94,12 @@ def ocr_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {EVENTS}, l AS (SELECT user_id, floor(t / 86400)::BIGINT AS day, count(*) AS attempts, arg_max((kind, t), (t, pos)) AS x FROM ev GROUP BY user_id, day)
-SELECT user_id, day, attempts, CASE WHEN x[1] = 'view' THEN 'done' WHEN x[1] = 'error' THEN 'failed' WHEN attempts >= 3 THEN 'deferred' ELSE 'retry' END AS outcome, round(CASE WHEN x[1] NOT IN ('view', 'error') THEN x[2] + pow(2, attempts) END, 4) AS next_retry_at FROM l"""
+SELECT user_id, day, attempts, CASE WHEN x[1] = 'view' THEN 'done' WHEN x[1] = 'error' THEN 'failed' WHEN attempts >= 3 THEN 'deferred' ELSE 'retry' END AS outcome, round(CASE WHEN x[1] NOT IN ('view', 'error') THEN x[2] + pow(2, attempts) END, 6) AS next_retry_at FROM l"""
 )
 def retry_plan(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf).withColumn("day", F.floor(F.col("t") / 86400))
     a = e.select("user_id", "day", F.col("t").alias("at"), F.when(F.col("kind") != "view", F.col("kind")).alias("category"), (F.col("kind") != "error").alias("retryable"), F.lit(None).cast("double").alias("wait"))
-    return rounded(E.retry_plan(a, [*K, "day"]), 4)
+    return rounded(E.retry_plan(a, [*K, "day"]), 6)
 
 
 @query(
