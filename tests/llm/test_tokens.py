@@ -36,3 +36,14 @@ def test_empty_table(spark):
 
 def test_clashing_columns(spark):
     assert token_counts(frame(spark, clash=True)).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+
+
+def test_memory_of_fragments_is_bounded(monkeypatch):
+    import tidemark.llm.tokens as T
+
+    monkeypatch.setattr(T, "REMEMBERED", 100)
+    m = T.PairMerger(T.vocabulary_path("byte_bpe_50k.json"))
+    want = T.PairMerger(T.vocabulary_path("byte_bpe_50k.json"))
+    for text in (*(f"a{i}  b{i} " for i in range(300)), " ".join(f"w{i}" for i in range(1000)), "x  " + " ".join(f"v{i}" for i in range(1000))):
+        assert m.count(text) == sum(want.piece(p.encode()) for p in want.pieces.findall(text))
+        assert len(m.known) <= 100

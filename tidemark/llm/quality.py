@@ -157,7 +157,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, thr
     The model is fitted on at most ``sample`` labelled rows (a bound that input size does not
     change) whose crc32 fold modulo 4 is not 2; everything else covers all rows. Null and
     empty texts have the statistics of no text and get that score. Repeated rows each get
-    their own equal result; rows without an id count as not held out.
+    their own equal result; rows without an id count as not held out. Very long texts are
+    counted whole; equal scores are predicted alike.
     """
     model = fit(*labelled_statistics(docs, labels, sample), threshold)
 

@@ -90,7 +90,8 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = True)
     A word is removed if a run of ``window`` words that covers it starts at another place of
     the corpus too, in the same text or another; runs are judged on the input. Repeated rows
     are places of their own. Null and empty texts have no words; kept_sha256 is then the hash
-    of nothing. Texts shorter than ``window`` words are kept.
+    of nothing. Texts shorter than ``window`` words are kept. Rows without an id, or that share one,
+    go by their own text; very long texts are whole.
 
     1. Non-overlapping reference blocks of ``(window + 1) // 2`` words tile each text, so every
        window holds one; every rolling run of that length probes them.

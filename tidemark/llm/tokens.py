@@ -143,7 +143,8 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
 
     Null texts count as empty (0 bytes, 0 tokens). Special strings of the vocabulary count one
     token each. Whole texts are counted however long; a pre-token of n bytes takes O(n log n).
-    Each row is counted where it is read: no shuffle.
+    Repeated rows and rows without an id are counted each. Rows are counted where they are
+    read: no shuffle. A worker remembers ``REMEMBERED`` fragments at most.
     """
 
     def run(batches):
