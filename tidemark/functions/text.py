@@ -213,7 +213,7 @@ def _any(*conditions: Column) -> Column:
 
 def retry_after(seconds: Column, milliseconds: Column, now: Column) -> Column:
     """Seconds to wait: from milliseconds, seconds or an HTTP date; never below 0, null for what cannot be read."""
-    date = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(seconds, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))).cast("double") - now
+    date = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(seconds, r"^\w{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))).cast("double") - now
     from tidemark.functions.clock import finite
 
     ms = finite(milliseconds) / 1000

@@ -18,7 +18,7 @@ def transcript_rules(transcripts: DataFrame, segments: DataFrame, keys: list[str
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     return union(
         [
-            finding(n, keys, ~F.col("status").isin("ok", "thin", "partial"), "errors", "status", say("transcript"), F.concat(say("status is "), F.coalesce("status", say("missing")))),
+            finding(n, keys, ~F.coalesce(F.col("status").isin("ok", "thin", "partial"), F.lit(False)), "errors", "status", say("transcript"), F.concat(say("status is "), F.coalesce("status", say("missing")))),
             finding(n, keys, F.coalesce("n", F.lit(0)) == 0, "errors", "empty", say("transcript"), say("no segments")),
             duplicate_ids(segments, keys, "seg_id"),
             finding(s, keys, F.col("seg_id").isNull(), "errors", "id", F.col("pos"), say("no id")),
@@ -55,7 +55,7 @@ def summary_rules(summary: DataFrame, chapters: DataFrame, blocks: DataFrame, ke
     at, say = F.concat_ws("/", "chapter_id", F.col("block_no").cast("string")), F.lit
     return union(
         [
-            finding(summary, keys, ~F.col("lang").isin(*languages), "errors", "language", say("summary"), say("unknown language")),
+            finding(summary, keys, ~F.coalesce(F.col("lang").isin(*languages), F.lit(False)), "errors", "language", say("summary"), say("unknown language")),
             finding(summary, keys, F.trim(F.coalesce("overview", say(""))) == "", "warnings", "overview", say("summary"), say("no overview")),
             finding(missing, keys, F.lit(True), "errors", "chapter-coverage", F.col("chapter_id"), say("no blocks")),
             finding(foreign, keys, F.lit(True), "errors", "reference", F.col("chapter_id"), say("unknown chapter")),
@@ -77,7 +77,7 @@ def brief_rules(items: DataFrame, segments: DataFrame, keys: list[str]) -> DataF
     return union(
         [
             finding(one, keys, F.col("n") != 1, "errors", "brief", say("brief"), say("needs one synthesis")),
-            finding(i, keys, ~F.col("section").isin("synthesis", "main_points", "takeaways"), "errors", "brief", F.col("at"), say("unknown section")),
+            finding(i, keys, ~F.coalesce(F.col("section").isin("synthesis", "main_points", "takeaways"), F.lit(False)), "errors", "brief", F.col("at"), say("unknown section")),
             finding(i, keys, F.trim(F.coalesce("text", say(""))) == "", "errors", "brief", F.col("at"), say("no text")),
             finding(i, keys, F.coalesce(F.size("seg_ids"), F.lit(0)) <= 0, "errors", "brief", F.col("at"), say("cites nothing")),
             unknown_references(i, segments, keys, "seg_ids", "seg_id", "at"),
