@@ -80,6 +80,42 @@ def metadata(info: Column) -> Column:
     return F.struct(get("title").alias("title"), F.coalesce(get("channel"), get("uploader")).alias("channel"), get("duration", "double").alias("duration"), get("language").alias("language"), get("id").alias("id"))
 
 
+def inventory_fault(info: Column) -> Column:
+    """malformed_response where a caption inventory in JSON is not one, else null.
+
+    It needs an id that is not blank, a finite duration above 0, and tables of subtitles and
+    automatic captions (absent ones are empty) whose entries are objects with texts as url and ext.
+    """
+    v = F.try_parse_json(info)
+    get = lambda k, t: F.try_variant_get(v, f"$.{k}", t)
+    shape = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+    is_text = lambda c: F.coalesce(F.schema_of_variant(c) == "STRING", F.lit(True))
+    entry = lambda e: F.startswith(F.schema_of_variant(e), F.lit("OBJECT")) & is_text(F.try_variant_get(e, "$.url", "variant")) & is_text(F.try_variant_get(e, "$.ext", "variant"))
+
+    def table(name: str) -> Column:
+        there = get(name, "variant")
+        track = F.map_values(get(name, "map<string,variant>"))
+        rows = lambda t: F.try_variant_get(t, "$", "array<variant>")
+        whole = F.forall(track, lambda t: F.coalesce(F.forall(rows(t), entry), F.lit(False)))
+        return F.coalesce(F.when(there.isNull() | (shape(name) == "VOID"), True).otherwise(whole), F.lit(False))
+
+    named = F.coalesce((shape("id") == "STRING") & (F.trim(get("id", "string")) != ""), F.lit(False))
+    length = F.when(shape("duration").rlike("^(BIGINT|DECIMAL|DOUBLE)"), get("duration", "double"))
+    lasting = F.coalesce((length > 0) & (length < float("inf")), F.lit(False))
+    return F.when(~(named & lasting & table("subtitles") & table("automatic_captions")), "malformed_response")
+
+
+#: The media types of pictures by their suffix.
+MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif"}
+
+
+def data_uri(name: Column, content: Column) -> Column:
+    """A picture's bytes as a data address; null for other suffixes."""
+    suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv]), suffix)
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
+
+
 def is_asset_name(name: Column) -> Column:
     """A base name with an image suffix and no path in it."""
     return name.rlike(r"(?i)^[^/\\:\x00]+\.(jpg|jpeg|png|webp|gif)$")

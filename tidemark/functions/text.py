@@ -33,6 +33,8 @@ NEGATION = r"(?iU)\b(not|never|no|n't|without|cannot|can't|won't|don't|doesn't|i
 NEGATION_HE = r"(?:^|\s)(לא|אין|אף פעם|בלי|אי אפשר|לעולם לא|איננו|אינה|אינם)(?=\s|$|[,.;:])"
 CORRECTION = r"(?iUm)\b(i misspoke|i was wrong|i stand corrected|let me correct|scratch that|strike that|more precisely|i meant to say|i should have said)\b|^\s*correction\b|\bcorrection\s*[:,]"
 CORRECTION_WEAK = r"(?iU)\b(actually|to be clear)\b"
+CORRECTION_HE = r"(תיקון|טעיתי|אני מתקנ[תה]?|למען הדיוק|ליתר דיוק|לא מדויק)"
+CORRECTION_WEAK_HE = r"בעצם"
 WORD = r"(?U)[\w'׳״]+"
 BACKTICK = r"`([^`\n]+)`"
 URL = r"https?://\S+"
@@ -80,7 +82,9 @@ def loses_negation(text: Column, evidence: Column) -> Column:
 
 
 def is_correction(text: Column) -> Column:
-    return text.rlike(CORRECTION) | (text.rlike(CORRECTION_WEAK) & text.rlike(NEGATION))
+    """A phrase that corrects, or a weak one beside a negation of its own language."""
+    strong = text.rlike(CORRECTION) | text.rlike(CORRECTION_HE)
+    return strong | (text.rlike(CORRECTION_WEAK) & text.rlike(NEGATION)) | (text.rlike(CORRECTION_WEAK_HE) & text.rlike(NEGATION_HE))
 
 
 def long_sentences(text: Column, most: int = 35) -> Column:
@@ -114,6 +118,11 @@ def is_url(text: Column) -> Column:
     return text.rlike("(?i)^https?://")
 
 
+def has_host(text: Column) -> Column:
+    """The stricter test: an http or https address that names a host; blanks around it are not allowed."""
+    return F.coalesce(text.rlike("(?i)^https?://[^/?#]+"), F.lit(False))
+
+
 def canonical_url(url: Column) -> Column:
     """One spelling per video of ``VIDEO_HOSTS`` and youtu.be; other addresses lose their fragment and get a lower-case scheme; other texts stay."""
     u = F.trim(url)

@@ -98,14 +98,13 @@ def strip_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT DISTINCT o_custkey % 50 AS grp, o_orderkey AS id FROM orders WHERE o_totalprice > 400000), k AS (SELECT w.*, l.id IS NOT NULL AS known FROM w LEFT JOIN (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linenumber < 7 AND l_orderkey % 11 > 0) l ON l.id = w.id)
-SELECT grp, count(*) AS n, coalesce(list_sort(list(id) FILTER (NOT known)), []) AS unknown, CASE WHEN count(*) FILTER (NOT known) > 0 THEN 'unknown ids' WHEN count(*) > 30 THEN 'too many' ELSE 'ok' END AS verdict FROM k GROUP BY grp"""
+    """WITH w AS (SELECT DISTINCT o_custkey AS grp, o_orderkey AS id FROM orders), k AS (SELECT w.*, l.id IS NOT NULL AS known FROM w LEFT JOIN (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linenumber < 7 AND l_orderkey % 11 > 0) l ON l.id = w.id)
+SELECT grp, count(*) AS n, coalesce(list_sort(list(id) FILTER (NOT known)), []) AS unknown, CASE WHEN count(*) FILTER (NOT known) > 0 THEN 'unknown ids' WHEN count(*) > 8 THEN 'too many' ELSE 'ok' END AS verdict FROM k GROUP BY grp"""
 )
 def shortlist_check(spark: SparkSession, sf: str) -> DataFrame:
-    w = table(spark, sf, "orders").filter("o_totalprice > 400000").select((F.col("o_custkey") % 50).alias("grp"), F.col("o_orderkey").alias("id"))
-    groups = w.select("grp").distinct()
+    w = table(spark, sf, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("id"))
     pool = table(spark, sf, "lineitem").filter("l_linenumber < 7 AND l_orderkey % 11 > 0").select(F.col("l_orderkey").alias("id")).distinct()
-    return S.shortlist_check(w, w.join(pool, "id").select("grp", "id"), ["grp"]).join(groups, "grp")
+    return S.shortlist_check(w, w.join(pool, "id").select("grp", "id"), ["grp"], most=8)
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 5")
@@ -144,7 +143,7 @@ _VEC = "vq AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x) *
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as 64 small whole numbers, in place of pictures."""
-    return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: (F.floor(F.abs(x) * 200) % 256).cast("int")).alias("q"))
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: (F.floor(F.abs(x) * 200) % 256).cast("int")).alias("q"))
 
 
 _DIFF = "list_sum(list_transform(range(1, 65), lambda i: abs(a.q[i] - b.q[i]))) / 64.0"
@@ -158,9 +157,9 @@ def signature_distance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(j.withColumn("c", c).select("vec_id", "c.luma_mad", "c.changed_ratio", G.quick_distance(F.col("q"), F.col("o")).alias("quick")))
 
 
-@query(f"WITH {_VEC}, k AS (SELECT vec_id, q, vec_id % 25 AS grp FROM vq) SELECT a.grp, a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.grp = b.grp AND a.vec_id < b.vec_id WHERE {_DIFF} <= 24")
+@query(f"WITH {_VEC}, k AS (SELECT vec_id, q, label AS grp FROM vq JOIN embeddings USING (vec_id)) SELECT a.grp, a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.grp = b.grp AND a.vec_id < b.vec_id WHERE {_DIFF} <= 24")
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    v = vectors(spark, sf).select((F.col("vec_id") % 25).alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), "q")
+    v = vectors(spark, sf).select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), "q")
     return D.hard_pairs(v, ["grp"], G.mean_difference(F.col("l.q"), F.col("r.q")) <= 24)
 
 
@@ -174,14 +173,14 @@ def edge_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def leader_families(spark: SparkSession, sf: str) -> DataFrame:
-    v = vectors(spark, sf).select((F.col("vec_id") % 10).alias("grp"), F.col("vec_id").alias("pos"), F.col("q").alias("pixels"), G.edge_map(F.col("q"), 8).alias("edges"))
+    v = vectors(spark, sf).select(F.col("label").alias("grp"), F.col("vec_id").alias("pos"), F.col("q").alias("pixels"), G.edge_map(F.col("q"), 8).alias("edges"))
     return D.leader_families(v, ["grp"], (30.0, 30.0, 0.8)).select("grp", "pos", "leader")
 
 
 @query(None)
 def deduplicate_frames(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf).withColumn("edges", G.edge_map(F.col("q"), 8))
-    r = v.select((F.col("vec_id") % 10).alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("t"), F.col("vec_id").alias("pos"), (F.col("vec_id") % 3).alias("chapter_id"), (F.col("vec_id") % 17).cast("double").alias("score"), F.array(F.when(F.col("vec_id") % 4 == 0, "target").otherwise("scene")).alias("reasons"), F.transform("q", lambda x: (x / 16).cast("int")).alias("pixels"), F.transform("edges", lambda x: (x / 16).cast("int")).alias("edges"))
+    r = v.select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("t"), F.col("vec_id").alias("pos"), (F.col("vec_id") % 3).alias("chapter_id"), (F.col("vec_id") % 17).cast("double").alias("score"), F.array(F.when(F.col("vec_id") % 4 == 0, "target").otherwise("scene")).alias("reasons"), F.transform("q", lambda x: (x / 16).cast("int")).alias("pixels"), F.transform("edges", lambda x: (x / 16).cast("int")).alias("edges"))
     return D.deduplicate_frames(r, ["grp"]).select("grp", "id", "cluster", "family_id", "status", "kept_by", "revisit")
 
 

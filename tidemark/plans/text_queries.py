@@ -223,13 +223,13 @@ def grounding_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EVENTS}, s AS (SELECT user_id, pos, t AS start, t + 10 AS "end", max(t + 10) OVER (PARTITION BY user_id) AS total FROM ev WHERE value > 2)
+    f"""WITH {EVENTS}, s AS (SELECT user_id, pos, t AS start, t + 10 AS "end", max(t + 10) OVER (PARTITION BY user_id) AS total FROM ev)
 SELECT user_id, pos::VARCHAR AS "where" FROM s WHERE start >= (1::DOUBLE - 0.15::DOUBLE) * total AND (pos % 5 = 0 OR pos % 5 = 1) AND pos % 4 != 0"""
 )
 def late_corrections(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("pos") % 5
     said = F.when(n == 0, "Well, I misspoke there").when(n == 1, "actually it is not so").when(n == 2, "actually it is so").otherwise("all is well")
-    e = events(spark, sf).filter("value > 2")
+    e = events(spark, sf)
     seg = e.select("user_id", F.col("pos").alias("seg_id"), F.col("t").alias("start"), (F.col("t") + 10).alias("end"), said.alias("text"), F.lit(0.0).alias("duration"))
     return A.late_corrections(seg, e.filter("pos % 4 = 0").select("user_id", F.col("pos").alias("seg_id")), ["user_id"]).select("user_id", "where")
 
@@ -370,10 +370,10 @@ def metadata_series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EVENTS}, s AS (SELECT user_id, pos, value AS start, value + (pos % 5) - 1 AS "end", kind AS text FROM ev WHERE value < 590) SELECT user_id, pos, round(start + 100, 3) AS start, round("end" + 100, 3) AS "end", text FROM s WHERE "end" > start"""
+    f"""WITH {EVENTS}, s AS (SELECT user_id, pos, value AS start, value + (pos % 5) - 1 AS "end", kind AS text FROM ev) SELECT user_id, pos, round(start + 100, 3) AS start, round("end" + 100, 3) AS "end", text FROM s WHERE "end" > start AND "end" <= 600.000001"""
 )
 def speech_segments(spark: SparkSession, sf: str) -> DataFrame:
-    e = events(spark, sf).filter("value < 590")
+    e = events(spark, sf)
     seg = F.struct(F.col("value").alias("start"), (F.col("value") + F.col("pos") % 5 - 1).alias("end"), F.col("kind").alias("text"))
     r = e.select("user_id", F.col("pos").alias("chunk"), F.lit(100.0).alias("offset"), F.lit(600.0).alias("duration"), F.to_json(F.struct(F.array(seg).alias("segments"))).alias("body"))
     kept, _ = L.speech_segments(r, ["user_id", "chunk"])
