@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,22 @@ def cap_with_floor(spark: SparkSession, sf: str) -> DataFrame:
     return S.reserve_and_cap(rows(spark, sf), ["grp"], 2, 60, 12).select("grp", "id", "reserved", F.col("cap_eff").cast("long").alias("cap_eff"), "status")
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {_ROWS}, tk AS (SELECT DISTINCT grp, id FROM (SELECT *, row_number() OVER (PARTITION BY grp, tg ORDER BY score DESC, pos) AS rn FROM (SELECT *, unnest(target_ids) AS tg FROM rw)) WHERE rn <= 1),
+m AS (SELECT rw.*, tk.id IS NOT NULL AS bt FROM rw LEFT JOIN tk ON tk.grp = rw.grp AND tk.id = rw.id), n AS (SELECT *, bool_or(bt) OVER (PARTITION BY grp, chapter_id) AS held, row_number() OVER (PARTITION BY grp, chapter_id ORDER BY score DESC, pos) = 1 AS best FROM m),
+o AS (SELECT *, bt OR (needs_frames AND NOT held AND best) AS reserved FROM n), p AS (SELECT *, greatest(20, count(*) FILTER (reserved) OVER (PARTITION BY grp) + 6) AS cap FROM o),
+f AS (SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY pos, t, score) AS pos, t, score / 1e5 AS importance, cap, reserved, list_transform(range(0, 4), lambda k: (id * (12 * k + 7)) % 251) AS sig FROM p WHERE reserved OR len(target_ids) = 0),
+g AS (SELECT grp, greatest(max(t) - min(t), 1.0)::DOUBLE / 4 AS quarter, count(*) FILTER (NOT reserved) <= max(cap) - count(*) FILTER (reserved) AS all_fit, max(cap) - count(*) FILTER (reserved) AS slots FROM f GROUP BY grp),
+a AS (SELECT x.grp, x.id, x.pos, x.t, x.importance, x.sig, x.reserved, least(1.0, coalesce(min(list_sum(list_transform(range(1, 5), lambda k: abs(x.sig[k] - y.sig[k]))) / 4.0 / 12), 1.0))::DOUBLE AS novelty, least(1.0, coalesce(min(abs(x.t - y.t) / g.quarter), 1.0))::DOUBLE AS gap, g.quarter, g.slots
+ FROM f x JOIN g USING (grp) LEFT JOIN f y ON y.grp = x.grp AND y.reserved WHERE NOT g.all_fit GROUP BY ALL),
+s AS (SELECT 0 AS step, a.*, reserved AS kept, 0.5 * importance + 0.3 * novelty + 0.2 * gap AS worth FROM a
+ UNION ALL SELECT step + 1, grp, id, pos, t, importance, sig, reserved, nov, gp, quarter, slots, kept OR pos = pick.pos, 0.5 * importance + 0.3 * nov + 0.2 * gp FROM (
+  SELECT s.*, pick, least(novelty, list_sum(list_transform(range(1, 5), lambda k: abs(s.sig[k] - pick.sig[k]))) / 4.0 / 12) AS nov, least(gap, abs(s.t - pick.t) / quarter) AS gp FROM (
+   SELECT *, first(CASE WHEN NOT kept THEN struct_pack(pos := pos, t := t, sig := sig) END) OVER (PARTITION BY grp ORDER BY kept, worth DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS pick FROM s) s WHERE step < slots))
+SELECT grp, id, CASE WHEN reserved THEN 'reserved' ELSE 'free' END AS status FROM s WHERE kept AND step = slots UNION ALL SELECT grp, id, CASE WHEN reserved THEN 'reserved' ELSE 'free' END FROM f JOIN g USING (grp) WHERE all_fit"""
+)
 def greedy_fill(spark: SparkSession, sf: str) -> DataFrame:
-    r = rows(spark, sf).withColumn("importance", F.col("score") / 1e5).withColumn("signature", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(256)).cast("int") for i in range(16)]))
+    r = rows(spark, sf).withColumn("importance", F.col("score") / 1e5).withColumn("signature", F.array(*[(F.col("id") * (3 * i + 7) % 251).cast("int") for i in range(16)]))
     return S.greedy_fill(S.reserve_and_cap(r, ["grp"], 1, 20, 6), ["grp"]).select("grp", "id", "status")
 
 
@@ -85,9 +100,24 @@ def token_cost_hist(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(r.withColumn("dimensions", listed))
 
 
-@query(None)
+def _draws(pages: int, per: int = 15, seed: int = 7) -> str:
+    """What the generator gives for each page, by the number of rows on it, after ``sheet`` full pages: VALUES (sheet, n, sentinel, sentinel_id)."""
+    out, rng = [], random.Random(seed)
+    for page in range(pages):
+        state = rng.getstate()
+        for n in [*range(1, per), per]:
+            rng.setstate(state)
+            slot = rng.randint(1, n) if n > 1 else 1
+            out.append(f"({page}, {n}, {slot}, 'x_{page:02d}{rng.randint(10, 99)}')")
+    return ", ".join(out)
+
+
+@query(
+    f"""WITH {_ROWS}, p AS (SELECT grp, chapter_id, id, (row_number() OVER (PARTITION BY grp, chapter_id ORDER BY t, pos) - 1)::INT AS i FROM rw), q AS (SELECT *, (i // 15)::INT AS sheet, i % 15 AS place, count(*) OVER (PARTITION BY grp, chapter_id, i // 15) AS n FROM p)
+SELECT grp, chapter_id, id, q.sheet, d.sentinel::INT AS sentinel, d.sentinel_id, (place + (place >= d.sentinel)::INT)::INT AS slot FROM q LEFT JOIN (VALUES {_draws(64)}) d(sheet, n, sentinel, sentinel_id) ON d.sheet = q.sheet AND d.n = q.n"""
+)
 def sheet_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return S.sheet_pages(rows(spark, sf), ["grp"]).select("grp", "id", "sheet", "sentinel", "sentinel_id", "slot")
+    return S.sheet_pages(rows(spark, sf), ["grp", "chapter_id"]).select("grp", "chapter_id", "id", "sheet", "sentinel", "sentinel_id", "slot")
 
 
 @query(
@@ -171,7 +201,17 @@ def edge_map(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(v.select("vec_id", "edges", "s.sharpness", "s.mean", "s.contrast", G.ink_ratio(F.col("q")).alias("ink")))
 
 
-@query(None)
+_EDGES = "list_transform(range(1, 65), lambda i: (floor((abs(q[i] - CASE WHEN i % 8 = 0 THEN q[i] ELSE q[i + 1] END) + abs(q[i] - CASE WHEN i + 8 > 64 THEN q[i] ELSE q[i + 8] END)) / 2))::INT)"
+
+
+@query(
+    f"""WITH RECURSIVE {_VEC}, n AS (SELECT label AS grp, vec_id AS pos, q, {_EDGES} AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM vq JOIN embeddings USING (vec_id)),
+nr AS (SELECT b.grp, b.rn, list(a.rn) AS near FROM n a JOIN n b ON a.grp = b.grp AND a.rn < b.rn WHERE {_DIFF} <= 30 AND list_sum(list_transform(range(1, 65), lambda i: abs(a.e[i] - b.e[i]))) / 64.0 <= 30 AND list_sum(list_transform(range(1, 65), lambda i: CASE WHEN abs(a.q[i] - b.q[i]) > 12 THEN 1 ELSE 0 END)) / 64.0 <= 0.8 GROUP BY ALL),
+o AS (SELECT n.grp, n.pos, n.rn, coalesce(near, []) AS near FROM n LEFT JOIN nr USING (grp, rn)),
+r AS (SELECT grp, pos, rn, [rn] AS leaders, rn AS leader FROM o WHERE rn = 1
+ UNION ALL SELECT o.grp, o.pos, o.rn, CASE WHEN list_has_any(leaders, near) THEN leaders ELSE list_append(leaders, o.rn) END, coalesce(list_min(list_intersect(leaders, near)), o.rn) FROM r JOIN o ON o.grp = r.grp AND o.rn = r.rn + 1)
+SELECT r.grp, r.pos, n.pos AS leader FROM r JOIN n ON n.grp = r.grp AND n.rn = r.leader"""
+)
 def leader_families(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf).select(F.col("label").alias("grp"), F.col("vec_id").alias("pos"), F.col("q").alias("pixels"), G.edge_map(F.col("q"), 8).alias("edges"))
     return D.leader_families(v, ["grp"], (30.0, 30.0, 0.8)).select("grp", "pos", "leader")

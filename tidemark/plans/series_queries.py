@@ -209,7 +209,22 @@ def probe_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.probe_verdict(st, scanned, K))
 
 
-@query(None)
+def _far(first: str) -> str:
+    """Whether a picture n differs too much from the one whose luma and edge are columns ``first``l and ``first``e."""
+    d = [f"abs((n.l + n.e * {k}) - ({first}l + {first}e * {k}))" for k in range(4)]
+    moved = " + ".join(f"({x} > 12)::INT" for x in d)
+    return f"((({d[0]} + {d[1]}) + ({d[2]} + {d[3]})) / 4 > m.luma OR abs(n.e - {first}e) > m.edge OR ({moved}) / 4 > m.changed)"
+
+
+@query(
+    f"""WITH RECURSIVE {EVENTS}, {_FRAMES}, n AS (SELECT user_id, pos, t, ['A', 'B', 'C', 'D'][floor(t / 86400)::INT % 4 + 1] AS mode, luma AS l, edge AS e, ink, row_number() OVER (PARTITION BY user_id ORDER BY t, pos) AS rn FROM fr),
+m(mode, luma, edge, changed, drift) AS (VALUES ('A', 8.0::DOUBLE, 6.0::DOUBLE, 0.10::DOUBLE, false), ('B', 3.0, 4.0, 0.06, false), ('C', 6.0, 6.0, 0.20, true), ('D', 4.0, 5.0, 0.06, true)),
+r AS (SELECT user_id, rn, pos, t, l, e, l AS fl, e AS fe, ink AS peak, true AS opens FROM n WHERE rn = 1
+ UNION ALL SELECT user_id, rn, pos, t, l, e, CASE WHEN o THEN l ELSE fl END, CASE WHEN o THEN e ELSE fe END, CASE WHEN o THEN ink ELSE greatest(peak, ink) END, o FROM (
+  SELECT n.*, r.fl, r.fe, r.peak, {_far("r.")} OR (NOT m.drift AND {_far("r.f")}) OR (n.mode = 'C' AND r.peak > 0 AND n.ink < 0.7::DOUBLE * r.peak) AS o FROM r JOIN n ON n.user_id = r.user_id AND n.rn = r.rn + 1 JOIN m ON m.mode = n.mode)),
+g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY rn) AS piece FROM r), p AS (SELECT *, max(t) OVER (PARTITION BY user_id, piece) - min(t) OVER (PARTITION BY user_id, piece) + 0.5 >= 1.5 OR piece = 1 AS stays FROM g)
+SELECT user_id, pos, (sum((opens AND stays)::INT) OVER (PARTITION BY user_id ORDER BY rn) - 1)::INT AS run FROM p"""
+)
 def build_runs(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf).select("user_id", "pos", "t", F.element_at(F.array(*map(F.lit, "ABCD")), (F.floor(F.col("t") / 86400) % 4 + 1).cast("int")).alias("mode"), F.array(*[(F.col("luma") + F.col("edge") * (k % 4)).alias(f"p{k}") for k in range(16)]).alias("pixels"), F.array_repeat("edge", 16).alias("edges"), "ink")
     return R.build_runs(f, K).select("user_id", "pos", "run")

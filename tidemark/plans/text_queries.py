@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -312,7 +314,17 @@ def alignment(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.alignment(se.withColumn("anchors", F.array(F.col("id") % 4)), st.withColumn("spoken", F.array(F.col("pos") % 4)), ["user_id"]))
 
 
-@query(None)
+#: What the generators of three seeds draw.
+_DRAWN = ", ".join(f"({seed}, {x!r})" for seed in range(3) for rng in [random.Random(seed)] for x in [rng.random() for _ in range(20)])
+
+
+@query(
+    f"""WITH {EVENTS}, {_STATES}, w AS (SELECT user_id, min(t) AS a, max(t) - min(t) AS span FROM ev GROUP BY user_id), rt AS (SELECT user_id, seed, round_even(a + x * span, 3) AS t FROM w, (VALUES {_DRAWN}) d(seed, x)),
+ow AS (SELECT user_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM se WHERE se.user_id = nd.user_id AND se.t BETWEEN nd.start - 1 AND nd."end")) AS hit FROM nd GROUP BY user_id),
+bs AS (SELECT nd.user_id, seed, count(*) FILTER (EXISTS (SELECT 1 FROM rt WHERE rt.user_id = nd.user_id AND rt.seed = s.seed AND rt.t BETWEEN nd.start - 1 AND nd."end")) / count(*) AS recall FROM nd, (SELECT unnest([0, 1, 2]) AS seed) s GROUP BY ALL),
+b AS (SELECT user_id, avg(recall) AS m, stddev_pop(recall) AS sd FROM bs GROUP BY user_id)
+SELECT u.user_id, round(coalesce(hit / n, -1), 6)::DOUBLE AS ivr, round(coalesce(m, -1), 6)::DOUBLE AS random_mean, round(coalesce(sd, -1), 6)::DOUBLE AS random_sd, round(CASE WHEN n IS NULL THEN -1 WHEN m > 0 THEN hit / n / m END, 6)::DOUBLE AS por FROM (SELECT DISTINCT user_id FROM st) u LEFT JOIN ow USING (user_id) LEFT JOIN b USING (user_id)"""
+)
 def against_random(spark: SparkSession, sf: str) -> DataFrame:
     st, se = _states(spark, sf)
     w = events(spark, sf).groupBy("user_id").agg(F.min("t").alias("start"), F.max("t").alias("end"))
@@ -320,7 +332,8 @@ def against_random(spark: SparkSession, sf: str) -> DataFrame:
     for seed in range(3):
         r = M.recall(st, S.random_times(w, ["user_id"], 20, seed), ["user_id"]).select("user_id", "recall")
         base = r if base is None else base.unionByName(r)
-    return M.against_random(M.recall(st, se, ["user_id"]), base, ["user_id"])
+    r = M.against_random(M.recall(st, se, ["user_id"]), base, ["user_id"])
+    return rounded(r.select("user_id", *[F.nanvl(c, F.lit(-1.0)).alias(c) for c in ("ivr", "random_mean", "random_sd", "por")]))
 
 
 @query(
