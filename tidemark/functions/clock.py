@@ -64,6 +64,19 @@ def frame_duration(fps: Column) -> Column:
     return F.when(fps > 0, 1 / fps).otherwise(F.lit(0.04))
 
 
+def media_probe(document: Column) -> Column:
+    """duration, start_time, width, height, fps and frame_duration of a prober's JSON: the container's numbers, else the first picture stream's, else 0."""
+    v = F.try_parse_json(document)
+    of = lambda x, k: F.try_variant_get(x, f"$.{k}", "string")
+    streams = F.coalesce(F.try_variant_get(v, "$.streams", "array<variant>"), F.array().cast("array<variant>"))
+    video = F.get(F.filter(streams, lambda s: of(s, "codec_type") == "video"), 0)
+    either = lambda k: F.coalesce(finite(of(v, f"format.{k}")), finite(of(video, k)), F.lit(0.0))
+    size = lambda k: F.coalesce(of(video, k).try_cast("int"), F.lit(0))
+    named = lambda k: F.when(of(video, k) != "", of(video, k))
+    fps = F.coalesce(rate(F.coalesce(named("avg_frame_rate"), named("r_frame_rate"))), F.lit(0.0))
+    return F.struct(either("duration").alias("duration"), either("start_time").alias("start_time"), size("width").alias("width"), size("height").alias("height"), fps.alias("fps"), frame_duration(fps).alias("frame_duration"))
+
+
 def to_source_time(pts: Column, source_start: Column, media_start: Column) -> Column:
     """Where in the source a time of a downloaded part lies."""
     return source_start + (pts - media_start)

@@ -53,25 +53,25 @@ def score_selection(selected: DataFrame, states: DataFrame, keys: list[str], lea
     return out.join(got, keys, "left").select(*keys, "selected", "precision", "redundancy", (F.coalesce("hit", F.lit(0)) / F.col("selected")).alias("efficiency"))
 
 
-def alignment(selected: DataFrame, states: DataFrame, keys: list[str], lead: float = LEAD) -> DataFrame:
+def alignment(selected: DataFrame, states: DataFrame, keys: list[str], lead: float = LEAD, width: float | None = None) -> DataFrame:
     """(keys, hits, aligned, alignment): of essential states shown that name what is said, the share for which a row shown cites some of it.
 
     ``selected`` has anchors, ``states`` spoken (arrays of segment ids).
     """
     s = states.filter("class = 'essential' AND size(spoken) > 0").select(*keys, "state_id", "start", "end", "spoken")
-    met = s.join(selected.select(*keys, "t", "anchors"), keys).filter(F.col("t").between(F.col("start") - lead, F.col("end")))
+    met = meet(s, selected.select(*keys, "t", "anchors"), keys, (F.col("start") - lead, F.col("end")), (F.col("t"), F.col("t")), width).filter(F.col("t").between(F.col("start") - lead, F.col("end")))
     per = met.groupBy(*keys, "state_id").agg(F.max(F.arrays_overlap("anchors", "spoken")).alias("ok"))
     return per.groupBy(*keys).agg(F.count("*").alias("hits"), F.count_if("ok").alias("aligned")).withColumn("alignment", F.col("aligned") / F.col("hits"))
 
 
-def losses(states: DataFrame, selected: DataFrame, pool: DataFrame, dropped: DataFrame, keys: list[str], lead: float = LEAD) -> DataFrame:
+def losses(states: DataFrame, selected: DataFrame, pool: DataFrame, dropped: DataFrame, keys: list[str], lead: float = LEAD, width: float | None = None) -> DataFrame:
     """(keys, state_id, reason) for essential states no selected row shows: triage_rejected if the pool has a row for it, else the drop reason (dedup, cap, blank), else not_in_pool."""
     need = states.filter("class = 'essential'")
-    missed = need.join(hits(need, selected, keys, lead).select(*keys, "state_id"), [*keys, "state_id"], "left_anti")
-    in_pool = hits(missed, pool, keys, lead).select(*keys, "state_id", F.lit(0).alias("rank"))
+    missed = need.join(hits(need, selected, keys, lead, width).select(*keys, "state_id"), [*keys, "state_id"], "left_anti")
+    in_pool = hits(missed, pool, keys, lead, width).select(*keys, "state_id", F.lit(0).alias("rank"))
     order = F.when(F.col("reason") == "dedup", 1).when(F.col("reason") == "cap", 2).when(F.col("reason") == "blank", 3)
     d = dropped.select(*keys, "t", order.alias("rank")).filter("rank IS NOT NULL")
-    lost = missed.join(d, keys).filter(F.col("t").between(F.col("start") - lead, F.col("end"))).select(*keys, "state_id", "rank")
+    lost = meet(missed, d, keys, (F.col("start") - lead, F.col("end")), (F.col("t"), F.col("t")), width).filter(F.col("t").between(F.col("start") - lead, F.col("end"))).select(*keys, "state_id", "rank")
     best = in_pool.unionByName(lost).groupBy(*keys, "state_id").agg(F.min("rank").alias("rank"))
     reason = F.when(F.col("rank") == 0, "triage_rejected").when(F.col("rank") == 1, "dedup_dropped").when(F.col("rank") == 2, "cap_dropped").when(F.col("rank") == 3, "blank_dropped").otherwise("not_in_pool")
     return missed.select(*keys, "state_id").join(best, [*keys, "state_id"], "left").select(*keys, "state_id", reason.alias("reason"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import islands
+from tidemark.operators.intervals import islands, meet
 
 
 def robust_threshold(rows: DataFrame, keys: list[str], value: str, floor: float = 0.04, times: float = 8.0) -> DataFrame:
@@ -56,10 +56,11 @@ def suppress(rows: DataFrame, keys: list[str], value: str, apart: float = 0.35)
     return one.select(*keys, F.explode("kept").alias("p")).select(*keys, F.col("p.t").alias("t"), F.col("p.v").alias(value))
 
 
-def windowed_peaks(rows: DataFrame, windows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Peaks within each window on its own: threshold, maxima and suppression per (keys, window_id)."""
+def windowed_peaks(rows: DataFrame, windows: DataFrame, keys: list[str], value: str, width: float | None = None) -> DataFrame:
+    """Peaks within each window on its own: threshold, maxima and suppression per (keys, window_id); with a ``width``, rows meet windows in buckets of that many seconds."""
     w = windows.select(*keys, "window_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    inside = rows.join(w, keys).filter((F.col("t") >= F.col("s")) & (F.col("t") < F.col("e"))).drop("s", "e")
+    met = meet(rows, w, keys, (F.col("t"), F.col("t")), (F.col("s"), F.col("e")), width)
+    inside = met.filter((F.col("t") >= F.col("s")) & (F.col("t") < F.col("e"))).drop("s", "e")
     by = [*keys, "window_id"]
     return suppress(local_maxima(inside, by, ["t"], value), by, value)
 
@@ -120,16 +121,15 @@ def smooth_modes(windows: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "x.window_no", "x.mode")
 
 
-def mode_at(points: DataFrame, windows: DataFrame, keys: list[str], point_id: str) -> DataFrame:
-    """Each point's mode: of the first window that holds it, the last window's after the end, else B."""
+def mode_at(points: DataFrame, windows: DataFrame, keys: list[str], point_id: str, width: float | None = None) -> DataFrame:
+    """Each point's mode: of the first window that holds it, the last window's after the end, else B; with a ``width``, points meet windows in buckets of that many seconds."""
     w = windows.select(*keys, "window_no", "start", "end", "mode")
-    met = points.select(*keys, point_id, "t").join(w, keys)
-    inside = (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))
-    out = met.groupBy(*keys, point_id).agg(
-        F.min_by("mode", F.when(inside, F.col("window_no"))).alias("own"), F.max("end").alias("over"), F.max_by("mode", "window_no").alias("final"), F.first("t").alias("t_")
-    )
-    mode = F.coalesce("own", F.when(F.col("t_") >= F.col("over"), F.col("final")), F.lit("B"))
-    return points.join(out.select(*keys, point_id, mode.alias("mode")), [*keys, point_id], "left").withColumn("mode", F.coalesce("mode", F.lit("B")))
+    met = meet(points.select(*keys, point_id, "t"), w, keys, (F.col("t"), F.col("t")), (F.col("start"), F.col("end")), width)
+    own = met.filter((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))).groupBy(*keys, point_id).agg(F.min_by("mode", "window_no").alias("own_"))
+    last = w.groupBy(*keys).agg(F.max("end").alias("over_"), F.max_by("mode", "window_no").alias("final_"))
+    out = points.join(own, [*keys, point_id], "left").join(last, keys, "left")
+    mode = F.coalesce("own_", F.when(F.col("t") >= F.col("over_"), F.col("final_")), F.lit("B"))
+    return out.withColumn("mode", mode).drop("own_", "over_", "final_")
 
 
 def build_record(rows: DataFrame, keys: list[str], ink: str, motion: str) -> DataFrame:

@@ -9,7 +9,11 @@ from tidemark.functions import clock as C
 from tidemark.functions import options as O
 from tidemark.functions import signature as G
 from tidemark.functions import text as T
+from tidemark.operators import audit as A
 from tidemark.operators import evidence as E
+from tidemark.operators import runs as R
+from tidemark.operators import series as S
+from tidemark.sources import logs
 from tidemark.plans.selection_queries import _VEC, vectors
 from tidemark.plans.tables import CHAPTERS, EVENTS, chapters, events, rounded, table
 
@@ -207,3 +211,59 @@ def retry_waits(spark: SparkSession, sf: str) -> DataFrame:
 )
 def provenance_lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", T.provenance_line(F.array("role", "text")).alias("line"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN 25 WHEN 1 THEN 30000 / 1001 ELSE 0 END::DOUBLE AS fps FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 0.5 WHEN p_partkey % 3 = 1 AND p_partkey % 4 < 3 THEN p_size ELSE 0 END::DOUBLE AS duration, CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE p_size * 2 END::INT AS width, round(fps, 6) AS fps, round(CASE WHEN fps > 0 THEN 1 / fps ELSE 0.04 END, 6)::DOUBLE AS frame FROM p"""
+)
+def media_probes(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    whole = F.when(k % 3 == 0, F.concat(F.lit('"duration":"'), n, F.lit('.5"'))).otherwise('"duration":"N/A"')
+    kind = F.when(k % 4 == 0, F.lit('"avg_frame_rate":"25/1"')).when(k % 4 == 1, '"avg_frame_rate":"","r_frame_rate":"30000/1001"').otherwise('"avg_frame_rate":"0/0"')
+    own = F.when(k % 3 == 1, F.concat(F.lit(',"duration":'), n)).otherwise("")
+    video = F.when(k % 4 < 3, F.concat(F.lit(',{"codec_type":"video","width":'), (F.col("p_size") * 2).cast("string"), F.lit(","), kind, own, F.lit("}"))).otherwise("")
+    info = F.concat(F.lit('{"format":{'), whole, F.lit('},"streams":[{"codec_type":"audio","width":9}'), video, F.lit("]}"))
+    # without a picture stream only the container tells the duration
+    m = table(spark, sf, "part").select("p_partkey", C.media_probe(info).alias("m")).select("p_partkey", "m.duration", "m.width", "m.fps", F.col("m.frame_duration").alias("frame"))
+    return rounded(m)
+
+
+@query(f"WITH {EVENTS}, s AS (SELECT user_id, pos, floor(value)::BIGINT AS n FROM ev) SELECT user_id, pos, rn::INT AS rn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, pos) AS rn FROM s) WHERE rn <= 6")
+def top_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return R.top_spans(events(spark, sf).select("user_id", "pos", F.floor("value").alias("settled_samples")), ["user_id"]).select("user_id", "pos", "rn")
+
+
+@query(f"""WITH {EVENTS} SELECT user_id, pos::VARCHAR AS "where", 'zqxjkvbw appears nowhere in the evidence' AS message FROM ev WHERE pos % 4 = 3""")
+def entity_checks(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.when(F.col("pos") % 4 == 0, "data_base").when(F.col("pos") % 4 == 1, "databaze").when(F.col("pos") % 4 == 2, "xy").otherwise("zqxjkvbw")
+    r = events(spark, sf).select("user_id", F.col("pos").alias("where"), F.array(name).alias("terms"), F.concat(F.lit("a data base, of "), F.col("kind")).alias("evidence"))
+    return A.entity_rules(r, ["user_id"]).select("user_id", "where", "message")
+
+
+_CLAMPED = "least(t + 3, greatest(t - 1, t + {x}))"
+
+
+@query(
+    f"""WITH {EVENTS} SELECT pos, CASE pos % 3 WHEN 0 THEN [{", ".join(f"round({_CLAMPED.format(x=x)}, 6)" for x in (0.10, 0.35, 0.70, 1.20, 1.80, 2.40))}]
+ WHEN 1 THEN [round(t, 6), round(t + 3 - 0.25, 6), round((t - 1) + ((t + 3) - (t - 1)) * 0.3, 6), round((t - 1) + ((t + 3) - (t - 1)) * 0.7, 6)] ELSE [{", ".join(f"round((t - 1) + ((t + 3) - (t - 1)) * {x}, 6)" for x in (0.1, 0.3, 0.5, 0.7, 0.9))}] END AS times FROM ev"""
+)
+def profile_times(spark: SparkSession, sf: str) -> DataFrame:
+    t, kind = F.col("t"), F.when(F.col("pos") % 3 == 0, "action_result").when(F.col("pos") % 3 == 1, "slide").otherwise("state")
+    return events(spark, sf).select("pos", O.target_times(kind, t, t - 1, t + 3, O.resolve_profile("advanced")).alias("times"))
+
+
+@query(
+    f"""WITH {EVENTS}, w AS (SELECT user_id, floor(t / 259200)::BIGINT AS window_id, pos, t, value FROM ev), a AS (SELECT *, median(value) OVER (PARTITION BY user_id, window_id) AS med FROM w), b AS (SELECT *, median(abs(value - med)) OVER (PARTITION BY user_id, window_id) AS mad, coalesce(lag(value) OVER o, -1) AS p, coalesce(lead(value) OVER o, -1) AS n FROM a WINDOW o AS (PARTITION BY user_id, window_id ORDER BY t))
+SELECT user_id, window_id, round(t, 6) AS t, value FROM b WHERE value >= p AND value >= n AND value >= greatest(0.04, med + 8 * mad)"""
+)
+def scene_windows(spark: SparkSession, sf: str) -> DataFrame:
+    e = events(spark, sf)
+    w = e.select("user_id").distinct().withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("user_id", F.col("window_id").cast("long").alias("window_id"), (F.col("window_id") * 259200.0).alias("start"), ((F.col("window_id") + 1) * 259200.0).alias("end"))
+    return rounded(S.windowed_peaks(e.select("user_id", "t", "value"), w, ["user_id"], "value", width=259200.0))
+
+
+@query(f"WITH {EVENTS} SELECT user_id, pos, CASE WHEN pos % 3 = 0 THEN 5 + (pos % 100) / 2.0 ELSE value END::DOUBLE AS t FROM ev")
+def sampled_times(spark: SparkSession, sf: str) -> DataFrame:
+    r = events(spark, sf).select("user_id", "pos", F.when(F.col("pos") % 3 > 0, F.col("value")).alias("pts"), F.lit(5.0).alias("start"), (F.col("pos") % 100).alias("i"))
+    return logs.sampled_times(r, 2.0).select("user_id", "pos", "t")

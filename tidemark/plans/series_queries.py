@@ -98,7 +98,7 @@ SELECT p.user_id, p.pos, coalesce(m.own, CASE WHEN m.t >= m.over THEN m.final EN
 )
 def mode_at(spark: SparkSession, sf: str) -> DataFrame:
     w = S.anchored_windows(frames(spark, sf), K, 259200.0, "motion", "motion", "luma", "edge", "ink")
-    return S.mode_at(events(spark, sf).filter("kind = 'error'"), w, K, "pos").select("user_id", "pos", "mode")
+    return S.mode_at(events(spark, sf).filter("kind = 'error'"), w, K, "pos", width=259200.0).select("user_id", "pos", "mode")
 
 
 @query(f"WITH {EVENTS} SELECT user_id, pos, round(abs(value - lag(value) OVER (PARTITION BY user_id, kind ORDER BY t, pos)), 6) AS delta FROM ev")

@@ -303,7 +303,7 @@ def loss_attribution(spark: SparkSession, sf: str) -> DataFrame:
     st, se = _states(spark, sf)
     e = events(spark, sf)
     reason = F.when(F.col("pos") % 3 == 0, "dedup").when(F.col("pos") % 3 == 1, "cap").otherwise("blank")
-    return M.losses(st, se, e.filter("kind = 'click'").select("user_id", "t"), e.filter("kind = 'error'").select("user_id", "t", reason.alias("reason")), ["user_id"])
+    return M.losses(st, se, e.filter("kind = 'click'").select("user_id", "t"), e.filter("kind = 'error'").select("user_id", "t", reason.alias("reason")), ["user_id"], width=86400.0)
 
 
 @query(
@@ -311,7 +311,7 @@ def loss_attribution(spark: SparkSession, sf: str) -> DataFrame:
 )
 def alignment(spark: SparkSession, sf: str) -> DataFrame:
     st, se = _states(spark, sf)
-    return rounded(M.alignment(se.withColumn("anchors", F.array(F.col("id") % 4)), st.withColumn("spoken", F.array(F.col("pos") % 4)), ["user_id"]))
+    return rounded(M.alignment(se.withColumn("anchors", F.array(F.col("id") % 4)), st.withColumn("spoken", F.array(F.col("pos") % 4)), ["user_id"], width=86400.0))
 
 
 #: What the generators of three seeds draw.
@@ -401,7 +401,7 @@ def chunk_overlap(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     kept = e.filter("kind != 'view'").select("user_id", F.col("t").alias("start"), (F.col("t") + 900).alias("end"), F.col("kind").alias("text"))
     new = e.filter("kind = 'view'").select("user_id", "pos", (F.col("t") - 300).alias("start"), (F.col("t") + 600).alias("end"), F.when(F.col("pos") % 2 == 0, "error").otherwise("click").alias("text"), F.lit(-1e9).alias("overlap_start"), F.lit(1e9).alias("overlap_end"))
-    return L.merge_chunks(kept, new, ["user_id"]).select("user_id", "pos")
+    return L.merge_chunks(kept, new, ["user_id"], width=86400.0).select("user_id", "pos")
 
 
 @query(f"WITH {EVENTS} SELECT user_id, round(t, 3) AS start, round(t, 3) + 60 AS \"end\", value FROM ev WHERE kind = 'view'")

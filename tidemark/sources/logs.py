@@ -89,19 +89,21 @@ def speech_segments(responses: DataFrame, keys: list[str]) -> tuple[DataFrame, D
     return kept, s.filter(~good).select(*keys, "pos", F.lit("untimed or out of range").alias("fault"))
 
 
-def merge_chunks(kept: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+def merge_chunks(kept: DataFrame, incoming: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
     """``incoming`` (pos, start, end, text, overlap_start, overlap_end) without what ``kept`` has said already.
 
     In the overlap of two chunks, an incoming segment goes if a kept one overlaps it in time
-    and has the same words, or holds its words (two or more) as a run.
+    and has the same words, or holds its words (two or more) as a run. With a ``width`` the two
+    meet in buckets of that many seconds.
     """
     from tidemark.functions.text import tokens
+    from tidemark.operators.intervals import meet
 
     word = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
     k = kept.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), word(F.col("text")).alias("said"))
     i = incoming.withColumn("words", word(F.col("text"))).withColumn("n", F.size(tokens(F.col("text"))))
     zone = i.filter((F.col("end") >= F.col("overlap_start")) & (F.col("start") <= F.col("overlap_end")) & (F.col("n") > 0))
-    met = zone.join(k, keys).filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("start")) & (F.col("e") >= F.col("overlap_start")) & (F.col("s") <= F.col("overlap_end")))
+    met = meet(zone, k, keys, (F.col("start"), F.col("end")), (F.col("s"), F.col("e")), width).filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("start")) & (F.col("e") >= F.col("overlap_start")) & (F.col("s") <= F.col("overlap_end")))
     same = (F.col("words") == F.col("said")) | ((F.col("n") >= 2) & F.contains("said", F.col("words")))
     gone = met.filter(same).select(*keys, "pos").distinct()
     return incoming.join(gone, [*keys, "pos"], "left_anti")
