@@ -88,10 +88,10 @@ def test_greedy_fill_takes_all_if_there_is_room(spark):
 
 
 def test_greedy_fill_query_chooses_among_all_candidates(spark):
-    from tidemark.plans.selection_queries import QUERIES, rows
+    from tidemark.plans.selection_queries import QUERIES, fill_rows
 
     sf = "/root/testdata/sf0.001"
-    r = rows(spark, sf).withColumn("importance", F.col("score") / 1e5).withColumn("signature", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(256)).cast("int") for i in range(16)]))
+    r = fill_rows(spark, sf)
     groups = {}
     for x in S.reserve_and_cap(r, ["grp"], 1, 20, 6).collect():
         groups.setdefault(x.grp, []).append(x)

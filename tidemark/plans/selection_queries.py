@@ -52,6 +52,11 @@ def cap_with_floor(spark: SparkSession, sf: str) -> DataFrame:
     return S.reserve_and_cap(rows(spark, sf), ["grp"], 2, 60, 12).select("grp", "id", "reserved", F.col("cap_eff").cast("long").alias("cap_eff"), "status")
 
 
+def fill_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates with an importance and a signature of 16 numbers that DuckDB can compute as well."""
+    return rows(spark, sf).withColumn("importance", F.col("score") / 1e5).withColumn("signature", F.array(*[(F.col("id") * (3 * i + 7) % 251).cast("int") for i in range(16)]))
+
+
 @query(
     f"""WITH RECURSIVE {_ROWS}, tk AS (SELECT DISTINCT grp, id FROM (SELECT *, row_number() OVER (PARTITION BY grp, tg ORDER BY score DESC, pos) AS rn FROM (SELECT *, unnest(target_ids) AS tg FROM rw)) WHERE rn <= 1),
 m AS (SELECT rw.*, tk.id IS NOT NULL AS bt FROM rw LEFT JOIN tk ON tk.grp = rw.grp AND tk.id = rw.id), n AS (SELECT *, bool_or(bt) OVER (PARTITION BY grp, chapter_id) AS held, row_number() OVER (PARTITION BY grp, chapter_id ORDER BY score DESC, pos) = 1 AS best FROM m),
@@ -67,7 +72,7 @@ s AS (SELECT 0 AS step, a.*, reserved AS kept, 0.5 * importance + 0.3 * novelty
 SELECT grp, id, CASE WHEN reserved THEN 'reserved' ELSE 'free' END AS status FROM s WHERE kept AND step = slots UNION ALL SELECT grp, id, CASE WHEN reserved THEN 'reserved' ELSE 'free' END FROM f JOIN g USING (grp) WHERE all_fit"""
 )
 def greedy_fill(spark: SparkSession, sf: str) -> DataFrame:
-    r = rows(spark, sf).withColumn("importance", F.col("score") / 1e5).withColumn("signature", F.array(*[(F.col("id") * (3 * i + 7) % 251).cast("int") for i in range(16)]))
+    r = fill_rows(spark, sf)
     return S.greedy_fill(S.reserve_and_cap(r, ["grp"], 1, 20, 6), ["grp"]).select("grp", "id", "status")
 
 
