@@ -177,8 +177,8 @@ _VEC = "vq AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x) *
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings as 64 small whole numbers, in place of pictures."""
-    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: (F.floor(F.abs(x) * 200) % 256).cast("int")).alias("q"))
+    """Embeddings as 64 small whole numbers, in place of pictures; multiplied as floats, like DuckDB does, as the double's product can fall below a whole number."""
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: (F.floor(F.abs(x) * F.lit(200).cast("float")) % 256).cast("int")).alias("q"))
 
 
 _DIFF = "list_sum(list_transform(range(1, 65), lambda i: abs(a.q[i] - b.q[i]))) / 64.0"
