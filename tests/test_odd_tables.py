@@ -39,3 +39,8 @@ def edges_of_numbers():
 def test_edges_of_numbers(spark, tmp_path, edges_of_numbers):
     got, wanted = compared(spark, tmp_path, "edge_map", embeddings=edges_of_numbers)
     assert got == wanted
+
+
+def test_masks_on_edges_of_numbers(spark, tmp_path, edges_of_numbers):
+    got, wanted = compared(spark, tmp_path, "masked_pictures", embeddings=edges_of_numbers)
+    assert got == wanted
