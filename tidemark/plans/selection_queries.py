@@ -195,7 +195,7 @@ def signature_distance(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_VEC}, k AS (SELECT vec_id, q, label AS grp FROM vq JOIN embeddings USING (vec_id)) SELECT a.grp, a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.grp = b.grp AND a.vec_id < b.vec_id WHERE {_DIFF} <= 24")
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf).select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), "q")
-    return D.hard_pairs(v, ["grp"], G.mean_difference(F.col("l.q"), F.col("r.q")) <= 24)
+    return D.close_pairs(v, ["grp"], "q", 64, 24)
 
 
 @query(
