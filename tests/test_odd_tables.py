@@ -91,3 +91,21 @@ def test_pairs_of_a_large_label_in_time(spark, tmp_path):
     q = np.floor(x * np.float32(200)).astype(np.int32)
     a, b = (np.concatenate(z) for z in zip(*[(np.full(len(f), i), f) for i in range(n) for f in [i + 1 + np.flatnonzero(np.abs(q[i + 1 :] - q[i]).sum(1) <= 24 * 64)]]))
     assert tuple(got) == (len(a), a.sum(), b.sum())
+
+
+def events(rows):
+    """Rows of (user, seconds, kind, value)."""
+    user, t, kind, value = zip(*rows)
+    at = pa.array([1704067200000000 + round(x * 1e6) for x in t], pa.timestamp("us"))
+    return pa.table({"event_id": pa.array(range(len(rows)), pa.int64()), "ts": at, "user_id": pa.array(user, pa.int64()), "event_type": pa.array(kind), "value": pa.array(value, pa.float64()), "props": pa.array(["{}"] * len(rows))})
+
+
+def test_health_of_intervals_without_length(spark, tmp_path):
+    """One empty interval among others; nothing but empty ones; many words a minute; one that starts long after the end."""
+    kinds = ["view", "click", "error"]
+    rows = [(1, 1000.0 * i, kinds[i % 3], 0.0 if i == 4 else 2.0) for i in range(9)]
+    rows += [(2, 500.0 * i, kinds[i % 2], 0.0) for i in range(4)]
+    rows += [(3, 0.5 * i, "view", 0.0005) for i in range(20)]
+    rows += [(4, 10.0, "view", 1.0), (4, 2592100.0, "click", 1.0)]
+    got, wanted = compared(spark, tmp_path, "transcript_health", events=events(rows))
+    assert got == wanted
